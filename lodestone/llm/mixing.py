@@ -104,15 +104,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), b
     done: list[DataFrame] = [still]
     schema = open_rows.schema
     level, most_groups = 0, max([1, *(max(1, -(-c // group_documents)) for _, _, c in found)])
-    while True:
 
-        def decide(part: pd.DataFrame, level: int = level) -> pd.DataFrame:
-            part = part.sort_values(["size", "doc_id", "p"], kind="stable")  # like sizes meet: little mass is left over
+    def decider(level: int):
+        def decide(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["size", "doc_id", "p"], ascending=[False, True, True], kind="stable")  # the small come last: what is left over is small
             keys = [f"{d}:{k}" for k, d in enumerate(part["doc_id"])]
             p = pivot(part["size"].to_numpy(), part["p"].to_numpy(), _draws(keys, seed, level))
             return part.assign(p=p)
 
-        out = materialize(open_rows.groupBy("source", "grp").applyInPandas(decide, schema), f"mix-level{level}")
+        return decide
+
+    while True:
+        out = materialize(open_rows.groupBy("source", "grp").applyInPandas(decider(level), schema), f"mix-level{level}")
         whole = (F.col("p") <= 0) | (F.col("p") >= 1)
         done.append(out.where(whole).drop("grp"))
         open_rows = out.where(~whole).withColumn("grp", F.floor(F.col("grp") / fan_in).cast("bigint"))
