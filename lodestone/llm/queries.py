@@ -11,6 +11,11 @@ from .common import table
 from .mixing import mix_sources
 from .packing import pack
 from .sstable import token_tables
+from .substring import remove_repeats
+
+
+def op3_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
