@@ -10,12 +10,15 @@ other kind of space sequence goes to the library whole.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 END_ID = np.array([1], "<u4").tobytes()
 #: Parts remembered by one Python worker, and the longest part remembered.
-KEPT_PARTS, KEPT_LENGTH = 700_000, 40
+KEPT_PARTS, KEPT_LENGTH = 1_000_000, 40
+#: Parts of characters that are neither white space nor combining, short enough to remember.
+PRINTED = re.compile(r"[!-{}-~\u00a1-\u024f]{1,40}").fullmatch
 
 
 def default_path(name: str) -> str:
@@ -24,20 +27,6 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Either(dict):
-    """The first table's entries, then the second's."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key):
-        return self.second[key]
-
-    def __contains__(self, key):
-        return super().__contains__(key) or key in self.second
-
-
 class Encoder:
     """ids(text) -> bytes.  lead: the space before a part belongs to it (byte-level BPE)."""
 
@@ -47,63 +36,93 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lead = " " if lead else ""
+        #: Ids of a part as it stands after a space.
         self.known: dict[str, bytes] = {}
+        self.tails = {c: self.library([c])[0] for c in ",."}
+        #: Stands between parts that are encoded together: one id, never joined to its neighbours.
+        self.mark = "\n" if lead else " | "
+        mark = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = mark[0] if len(mark) == 1 else None
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without white space or mark, 4,096 in one call."""
+        out: list[bytes] = []
+        for a in range(0, len(parts), 4096):
+            some = parts[a : a + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join([self.lead + p for p in some])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark_id)
+            if self.mark_id is None or len(ends) != len(some) - 1:
+                out += self.library([self.lead + p for p in some])
+                continue
+            raw, at = ids.tobytes(), 0
+            for e in (4 * ends).tolist():
+                out.append(raw[at:e])
+                at = e + 4
+            out.append(raw[at:])
+        return out
+
     @staticmethod
     def plain(part: str) -> bool:
         """Starts with a character that no tokenizer takes for white space."""
         c = ord(part[0])
         return 0x21 <= c <= 0x7E or 0xA1 <= c <= 0x24F
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        if self.lead:
-            cut = [[p if k == 0 else " " + p for k, p in enumerate(t.split(" "))] for t in texts]
-        else:
-            cut = [t.split(" ") for t in texts]
-        every = set().union(*cut)
-        wanted = every - self.known.keys()
-        if len(self.known) >= KEPT_PARTS and 3 * len(wanted) > len(every):  # the texts have changed
+    def learn(self, wanted: set[str], of: int) -> dict[str, bytes]:
+        """Ids of parts not known yet, ``of`` parts read; what is not found here has no plain start or is long."""
+        if len(self.known) >= KEPT_PARTS and 6 * len(wanted) > of:  # the texts have changed
             self.known.clear()
-            wanted = every
-        new = [p for p in wanted if p.strip(" ") and len(p) <= KEPT_LENGTH and self.plain(p[1:] if self.lead and p[0] == " " else p)]
-        found = dict(zip(new, self.library(new), strict=True))
-        if len(self.known) < KEPT_PARTS:
-            self.known.update(found)
-            known = self.known
-        else:
-            known = Either(found, self.known)
-        out: list[bytes | None] = []
-        get = known.__getitem__
-        for parts in cut:
-            try:
-                out.append(b"".join(map(get, parts)))
-            except KeyError:
-                out.append(None)
-        for k, value in enumerate(out):
-            if value is None:
-                out[k] = self.slowly(texts[k], cut[k], known)
+        known, ask, stemmed, rest = self.known, set(), [], []
+        for p in wanted:
+            if PRINTED(p):
+                if p[-1] in ",." and p[:-1].isalpha():  # letters and the mark after them are always encoded apart
+                    stemmed.append(p)
+                    p = p[:-1]
+                    if p in known:
+                        continue
+                ask.add(p)
+            elif p and len(p) <= KEPT_LENGTH and self.plain(p):
+                rest.append(p)
+        single = list(ask)
+        found = dict(zip(single, self.together(single), strict=True))
+        found.update(zip(rest, self.library([self.lead + p for p in rest]), strict=True))
+        for p in stemmed:
+            stem = p[:-1]
+            found[p] = (found[stem] if stem in found else known[stem]) + self.tails[p[-1]]
+        if not self.lead:
+            found[""] = b""
+        if len(known) < KEPT_PARTS:
+            known.update(found)
+        return found
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        get = self.known.get
+        cut = [t.split(" ") for t in texts]
+        heads = [c.pop(0) for c in cut] if self.lead else [""] * len(cut)
+        values = [list(map(get, parts)) for parts in cut]
+        gaps = [[i for i, v in enumerate(vs) if v is None] if None in vs else [] for vs in values]
+        found = self.learn({parts[i] for parts, gap in zip(cut, gaps, strict=True) for i in gap}, sum(map(len, cut)))
+        first = self.library(heads) if self.lead else [b""] * len(cut)
+        out: list[bytes] = []
+        for head, start, parts, vs, gap in zip(heads, first, cut, values, gaps, strict=True):
+            for i in gap:
+                vs[i] = found.get(parts[i])
+            out.append(self.slowly(head, parts, vs) if gap and None in vs else start + b"".join(vs))
         return out
 
-    def slowly(self, text: str, parts: list[str], known) -> bytes:
-        """Runs of known parts are looked up; what lies between goes to the library in one piece."""
-        pieces: list[str] = []
-        run: list[str] = []
-        for k, p in enumerate(parts):
-            body = p[1:] if self.lead and k else p
-            if body and self.plain(body):
-                if run:
-                    pieces.append("".join(run))
-                    run = []
-                run.append(p)
+    def slowly(self, head: str, parts: list[str], values: list[bytes | None]) -> bytes:
+        """Known parts are taken; what lies between goes to the library in one piece."""
+        runs: list[list] = [[head, None]]
+        for p, v in zip(parts, values, strict=True):
+            if p and self.plain(p):
+                runs.append([" " + p, v])
             else:
-                run.append(p if self.lead else " " + p)
-        pieces.append("".join(run))
-        missing = [p for p in pieces if p not in known]
-        found = dict(zip(missing, self.library(missing), strict=True))
-        return b"".join(known[p] if p in known else found[p] for p in pieces)
+                runs[-1] = [runs[-1][0] + " " + p, None]
+        found = iter(self.library([text if self.lead else text.lstrip(" ") for text, v in runs if v is None]))
+        return b"".join(next(found) if v is None else v for _, v in runs)
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
