@@ -71,13 +71,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
+        if len(word) <= 24:
             self[word] = value
         return value
 

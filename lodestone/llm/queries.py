@@ -7,21 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html, langid, toxicity
 from .common import table
 from .mixing import mix_sources
+from .neardup import components
 from .packing import pack
 from .sstable import token_tables
 from .substring import remove_repeats
+from .vectors import cosine_components, top_products
+
+
+def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.fit(pages))
 
 
 def op3_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", (toxicity.fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_voronoi_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
 def op8_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_tables(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -30,8 +59,13 @@ def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_projection_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    every = (op1_compression_toxicity, op2_html_main_text, op3_fm_index_substrings, op4_gru_language, op5_best_fit_packing, op6_tensored_minhash, op7_voronoi_top_products, op8_sstable_tokens, op9_pivotal_mix, op10_projection_cosine)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

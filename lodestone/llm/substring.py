@@ -51,7 +51,7 @@ class Powers:
     @classmethod
     def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, 1 << 20)
+            size = max(n, 1 << 18)
             for name, base in (("up", BASE), ("down", INVERSE)):
                 x = np.full(size, base, np.uint64)
                 x[0] = 1
@@ -115,7 +115,7 @@ def find_passages(keyed: DataFrame, window: int, gram: int) -> DataFrame:
             a = 0
             while a < len(texts):
                 words, lengths, b = [], [], a
-                while b < len(texts) and len(words) < 200_000:
+                while b < len(texts) and len(words) < 120_000:
                     own = texts[b].encode().split() if texts[b] else []
                     words += own
                     lengths.append(len(own))
@@ -160,14 +160,13 @@ def hot_windows(hot: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, c, w = (batch.column(i).to_pylist() for i in range(3))
-            rows: list[tuple] = []
-            for i, raw in enumerate(batch.column(3).to_pylist()):
-                words = raw.split(b" ")
-                for t in range(len(words) - window + 1):
-                    h = xxhash.xxh3_128_digest(b" ".join(words[t : t + window]))
-                    rows.append((a[i], c[i], w[i], t, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
-            if rows:
+            for a in range(0, batch.num_rows, 256):
+                rows: list[tuple] = []
+                for one in batch.slice(a, 256).to_pylist():
+                    words = one["words"].split(b" ")
+                    for t in range(len(words) - window + 1):
+                        h = xxhash.xxh3_128_digest(b" ".join(words[t : t + window]))
+                        rows.append((one["a"], one["c"], one["w"], t, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["a", "c", "w", "t", "h1", "h2"])
 
     rows = hot.dropDuplicates(["a", "c"]).select("a", "c", "w", "words").mapInArrow(run, "a bigint, c bigint, w bigint, t bigint, h1 bigint, h2 bigint")

@@ -18,6 +18,7 @@ END_ID = np.array([1], "<u4").tobytes()
 #: Parts remembered by one Python worker, and the longest part remembered.
 KEPT_PARTS, KEPT_LENGTH = 1_000_000, 40
 #: Parts of characters that are neither white space nor combining, short enough to remember.
+MARKS = ".,;:!?*#%&$"
 PRINTED = re.compile(r"[!-{}-~\u00a1-\u024f]{1,40}").fullmatch
 
 
@@ -36,9 +37,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lead = " " if lead else ""
+        #: The tokenizer lower-cases letter by letter, as str.lower does but for two letters.
+        self.lower = not lead and self.library(["AbC\u00c9"]) == self.library(["abc\u00e9"])
         #: Ids of a part as it stands after a space.
         self.known: dict[str, bytes] = {}
-        self.tails = {c: self.library([c])[0] for c in ",."}
+        self.tails: dict[str, bytes] = {}
         #: Stands between parts that are encoded together: one id, never joined to its neighbours.
         self.mark = "\n" if lead else " | "
         mark = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
@@ -77,20 +80,24 @@ class Encoder:
         known, ask, stemmed, rest = self.known, set(), [], []
         for p in wanted:
             if PRINTED(p):
-                if p[-1] in ",." and p[:-1].isalpha():  # letters and the mark after them are always encoded apart
-                    stemmed.append(p)
-                    p = p[:-1]
-                    if p in known:
+                stem = p.rstrip(MARKS)
+                if stem != p and stem.isalpha():  # letters and the marks after them are always encoded apart
+                    stemmed.append((p, stem, p[len(stem) :]))
+                    if stem in known:
                         continue
+                    p = stem
                 ask.add(p)
             elif p and len(p) <= KEPT_LENGTH and self.plain(p):
                 rest.append(p)
         single = list(ask)
         found = dict(zip(single, self.together(single), strict=True))
         found.update(zip(rest, self.library([self.lead + p for p in rest]), strict=True))
-        for p in stemmed:
-            stem = p[:-1]
-            found[p] = (found[stem] if stem in found else known[stem]) + self.tails[p[-1]]
+        new = list({tail for _, _, tail in stemmed}.difference(self.tails))
+        self.tails.update(zip(new, self.library(new), strict=True))
+        for p, stem, tail in stemmed:
+            found[p] = (found[stem] if stem in found else known[stem]) + self.tails[tail]
+        if len(self.tails) > 10_000:
+            self.tails.clear()
         if not self.lead:
             found[""] = b""
         if len(known) < KEPT_PARTS:
@@ -99,6 +106,8 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
+        if self.lower:
+            texts = [t if "\u03a3" in t or "\u0130" in t else t.lower() for t in texts]
         get = self.known.get
         cut = [t.split(" ") for t in texts]
         heads = [c.pop(0) for c in cut] if self.lead else [""] * len(cut)
