@@ -89,23 +89,33 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
+def relabel(ids: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """ids with ``column`` replaced by its label, where it has one.  labels: (id, component)."""
+    named = labels.select(F.col("id").alias(column), F.col("component").alias("_label"))
+    rest = [c for c in ids.columns if c != column]
+    return ids.join(named, column, "left").select(*rest, F.coalesce("_label", column).alias(column))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", tag: str = "cc") -> DataFrame:
     """(id, component): the smallest id reachable, for each id that an edge touches.
 
-    Minimum labels with pointer jumping; each round is a written table, and the
-    rounds grow with the logarithm of the longest chain.  Self links are
-    allowed; nulls are not.
+    Contraction: each id hooks onto its smallest neighbour, two pointer jumps
+    flatten what that makes, and the edges between what is left go on to the next
+    round.  A star is one round; the rounds grow with the logarithm of the
+    longest chain, and the edges shrink with each.  Every round is a written
+    table.  Nulls are not allowed; self links are.
     """
-    both = edges.select(F.col(src).alias("id"), F.col(dst).alias("other"))
-    both = materialize(both.union(both.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), f"{tag}-edges")
-    labels = materialize(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")), f"{tag}-0")
+    live = materialize(edges.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v")).distinct(), f"{tag}-0")
+    found = None
     for k in range(1, 64):
-        near = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("seen"))
-        grown = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("seen", "component")).alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        grown = grown.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component"))
-        grown = materialize(grown, f"{tag}-{k}")
-        if grown.where(F.col("was") != F.col("component")).isEmpty():
-            return grown.select("id", "component")
-        labels = grown.select("id", "component")
+        both = live.select(F.col("u").alias("id"), F.col("v").alias("near")).union(live.select("v", "u"))
+        hooks = materialize(both.groupBy("id").agg(F.least(F.col("id"), F.min("near")).alias("component")), f"{tag}-hooks-{k}")
+        for j in range(2):
+            hooks = relabel(hooks, "component", hooks)
+        hooks = materialize(hooks.select("id", "component"), f"{tag}-labels-{k}")
+        found = hooks if found is None else materialize(relabel(found, "component", hooks).select("id", "component"), f"{tag}-found-{k}")
+        live = relabel(relabel(live, "u", hooks), "v", hooks).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        live = materialize(live, f"{tag}-{k}")
+        if live.isEmpty():
+            return found
     raise RuntimeError("components did not settle in 64 rounds")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, connected_components, materialize, mix, word_hashes
+from .common import GOLDEN, connected_components, materialize, mix, relabel, word_hashes
 from .substring import with_keys
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -218,8 +218,10 @@ def components(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 3
             got = compare_block(part.column("d").to_pylist(), part.column("label").to_pylist(), sides, sets_here, percent)
             return pa.table({"src": pa.array([x for x, _ in got], pa.int64()), "dst": pa.array([y for _, y in got], pa.int64())})
 
-        more = dealt.groupBy("cluster", "p", "q").applyInArrow(compare, "src bigint, dst bigint")
-        comp = connected_components(links.unionByName(more), tag="all")
+        more = materialize(dealt.groupBy("cluster", "p", "q").applyInArrow(compare, "src bigint, dst bigint").distinct(), "more-links")
+        across = relabel(relabel(more, "src", comp), "dst", comp)
+        comp = comp.unionByName(more.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(comp, "id", "left_anti").withColumn("component", F.col("id")))
+        comp = relabel(comp, "component", connected_components(across, tag="all")).select("id", "component")
     named = sets.select("h1", "h2", "d").join(comp.withColumnRenamed("id", "d"), "d", "left").select("h1", "h2", F.coalesce("component", "d").alias("component"))
     out = seen.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(named, ["h1", "h2"], "left")
     ids = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
