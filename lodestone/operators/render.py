@@ -29,7 +29,7 @@ def escape_xml(text: Column) -> Column:
 
 
 def number(x: Column) -> Column:
-    return F.regexp_replace(F.format_number(x, "0.####"), r"^-0$", "0")
+    return F.regexp_replace(F.regexp_replace((F.round(x, 4) + 0.0).cast("string"), r"\.0$", ""), r"^-0$", "0")
 
 
 def scene(nodes: DataFrame, ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,15 +1,354 @@
-"""Every query of the engine's own operators, by name."""
+"""Every query of the engine's own operators, by name, and its equivalent in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geometry, includes, languages, paths
+from ..operators import extract, graph, layout, render, reports, resolve
+from . import families as fam
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+# The hand-off graph, the virtual tree, and what they lead to, for the oracles.
+U = """WITH RECURSIVE t AS (SELECT user_id src, lead(user_id) OVER (ORDER BY ts,event_id) dst FROM events),
+g AS (SELECT src,dst,count(*) n FROM t WHERE dst IS NOT NULL AND src<>dst GROUP BY ALL),
+e AS (SELECT src,dst FROM (SELECT *,row_number() OVER (PARTITION BY src ORDER BY n DESC,dst) r FROM g) WHERE r<=2),
+v AS (SELECT src id FROM e UNION SELECT dst FROM e)"""
+SCC = U + """, r(s,t) AS (SELECT id,id FROM v UNION SELECT r.s,e.dst FROM r JOIN e ON r.t=e.src),
+comp AS (SELECT a.s id, min(a.t) scc_id FROM r a JOIN r b ON a.s=b.t AND a.t=b.s GROUP BY 1)"""
+BFS = U + """, w(s,v,d,sig) AS (SELECT id,id,0,1::DOUBLE FROM v UNION ALL
+SELECT w.s,e.dst,w.d+1,sum(w.sig) FROM w JOIN e ON w.v=e.src WHERE w.d<40 GROUP BY 1,2,3),
+sp AS (SELECT s,v,min(d) d,arg_min(sig,d) sig FROM w GROUP BY 1,2)"""
+BC = BFS + """, bc AS (SELECT a.v, sum(a.sig*b.sig/p.sig) x FROM sp a JOIN sp b ON a.v=b.s JOIN sp p ON p.s=a.s AND p.v=b.v
+WHERE a.s<>a.v AND b.s<>b.v AND a.s<>b.v AND p.d=a.d+b.d GROUP BY 1),
+bb AS (SELECT v.id, coalesce(x,0)/((SELECT count(*)-1 FROM v)*(SELECT count(*)-2 FROM v)) score FROM v LEFT JOIN bc ON v.id=bc.v)"""
+V = """WITH RECURSIVE b AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_size AS sz, count(*) OVER () AS n FROM part),
+x AS (SELECT i, i % 4 AS c, i // 4 AS m, sz, n FROM b),
+y AS (SELECT i, c, m, sz, CASE WHEN m > 0 THEN 4*(m // 2)+c ELSE -1 END t1,
+ CASE WHEN m % 11 = 0 AND 4*(2*m+1)+c < n THEN 4*(2*m+1)+c ELSE -1 END t2 FROM x),
+p AS (SELECT *, CASE c WHEN 0 THEN '/v/py/mod'||i||'.py' WHEN 1 THEN '/v/src/mod'||i||'.rs' WHEN 2 THEN '/v/ts/mod'||i||'.ts' ELSE '/v/cpp/mod'||i||'.hpp' END AS file,
+ CASE c WHEN 0 THEN 'Python' WHEN 1 THEN 'Rust' WHEN 2 THEN 'TypeScript' ELSE 'Cpp' END AS language FROM y),
+ed AS (SELECT DISTINCT a.file src, z.file dst FROM p a JOIN p z ON (z.i = a.t1 OR z.i = a.t2) WHERE a.i <> z.i)"""
+# Lines: the head, one for each target, the function, the blank ones, and the last.
+LOC = "(1 + (c=3)::INT + (t1>=0)::INT + (t2>=0)::INT + 1 + (c=0)::INT + sz + 1)"
+SIZE_OF = f"(SELECT min({LOC}) FROM p), (SELECT max({LOC}) FROM p)"
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if oracle:
+            _ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+def _rows(columns: str, rows: list[tuple]) -> str:
+    """SQL of fixed rows, for operators that are held against given cases."""
+    show = lambda x: "NULL" if x is None else ("TRUE" if x else "FALSE") if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+# --- Functions over given cases -------------------------------------------------------------------
+
+PATHS = [("path\\to\\file.h", "path/to/file.h"), ("./file.h", "file.h"), ("path/./file.h", "path/file.h"), ("path/../file.h", "file.h"), ("path/to/../file.h", "path/file.h"), ("path/to/../../file.h", "file.h"), ("../file.h", "../file.h"), ("../../file.h", "../../file.h"), ("path/../../file.h", "../file.h"), ("/path/to/file.h", "/path/to/file.h"), ("/path/./file.h", "/path/file.h"), ("/path/../file.h", "/file.h"), ("path//to///file.h", "path/to/file.h"), ("a/..", "."), ("", ".")]
+
+
+@query("path_normalize", _rows("path, normal", PATHS))
+def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p, _ in PATHS], "path string").select("path", paths.normalize_path(F.col("path")).alias("normal"))
+
+
+INCLUDES = [("iostream", True, False), ("vector", True, False), ("string.h", True, False), ("myheader", False, False), ("boost/algorithm.hpp", False, True), ("qt/QApplication", False, True), ("QT/QMainWindow", False, True), ("GL/glew.h", False, True), ("glm/vec3.hpp", False, True), ("glfw/glfw3.h", False, True), ("SDL/SDL.h", False, True), ("sys/socket.h", False, True), ("unistd.h", False, True), ("windows.h", False, True), ("zlib.h", False, True), ("openssl/ssl.h", False, True), ("myheader.h", False, False), ("utils/helper.hpp", False, False), ("project/config.h", False, False), ("glue.h", False, False)]
+
+
+@query("include_filter", _rows("name, is_standard, is_library, is_filtered", [(n, s, e, s or e) for n, s, e in INCLUDES]))
+def include_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("name")
+    return spark.createDataFrame([(n,) for n, _, _ in INCLUDES], "name string").select("name", includes.is_standard_header(name).alias("is_standard"), includes.is_external_library(name).alias("is_library"), includes.is_filtered_include(name).alias("is_filtered"))
+
+
+@query("arrow_geometry", "SELECT n_nationkey AS id, round(10*n_nationkey - 20*cos(atan2(3*n_nationkey+1, 10*n_nationkey)), 6) AS tip_x, round(3*n_nationkey+1 - 20*sin(atan2(3*n_nationkey+1, 10*n_nationkey)), 6) AS tip_y, round(10*n_nationkey - 20*cos(atan2(3*n_nationkey+1, 10*n_nationkey)) - 10*cos(atan2(3*n_nationkey+1, 10*n_nationkey)+0.5), 6) AS left_x FROM nation")
+def arrow_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    head = geometry.arrowhead(F.lit(0.0), F.lit(0.0), 10.0 * n, 3.0 * n + 1)
+    return fam.table(spark, sf_dir, "nation").select(n.alias("id"), *[F.round(head[c], 6).alias(c) for c in ("tip_x", "tip_y", "left_x")])
+
+
+# --- The virtual source tree ----------------------------------------------------------------------
+
+
+@query("lang_detect", V + " SELECT file, language FROM p")
+def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fam.part_files(spark, sf_dir).select(F.col("path").alias("file"), languages.language_of(F.col("path")).alias("language"))
+
+
+@query("project_languages", "SELECT * FROM (VALUES ('Python'),('Rust'),('TypeScript'),('Cpp')) AS t(language)")
+def project_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.files import project_languages as found
+
+    return found(fam.part_files(spark, sf_dir))
+
+
+@query("loc_count", V + f" SELECT file, {LOC}::INT AS loc FROM p")
+def loc_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fam.part_files(spark, sf_dir).select(F.col("path").alias("file"), paths.line_count(F.col("content")).alias("loc"))
+
+
+IMPORTS = V + """, im AS (SELECT file, CASE c WHEN 0 THEN 'os' WHEN 1 THEN 'std::fs' WHEN 2 THEN 'react' ELSE 'vector' END AS path, FALSE AS is_local FROM p
+UNION ALL SELECT file, 'string.h', TRUE FROM p WHERE c = 3
+UNION ALL SELECT file, 'f', FALSE FROM p WHERE c = 0 AND (t1 >= 0 OR t2 >= 0)
+UNION ALL SELECT file, CASE c WHEN 0 THEN 'py.mod'||t WHEN 1 THEN 'crate::mod'||t WHEN 2 THEN './mod'||t ELSE 'mod'||t||'.hpp' END, TRUE FROM (SELECT file, c, t1 t FROM p WHERE t1 >= 0 UNION SELECT file, c, t2 FROM p WHERE t2 >= 0))"""
+
+
+@query("import_extract", IMPORTS + " SELECT file, path, is_local FROM im")
+def import_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fam.part_project(spark, sf_dir).imports.select("file", "path", "is_local")
+
+
+@query("symbol_extract", V + " SELECT file, 'function' AS kind, 'f_'||i AS name FROM p")
+def symbol_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_facts(fam.part_files(spark, sf_dir)).where("kind IN ('function', 'container')").select("file", "kind", "name")
+
+
+@query("module_map", V + " SELECT file, 'crate::mod'||i AS module FROM p WHERE c = 1")
+def module_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fam.part_files(spark, sf_dir).where(F.col("path").endswith(".rs")).select(F.col("path").alias("file"))
+    return resolve.module_map(files, F.lit("/v"))
+
+
+def _resolved(language: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = fam.part_project(spark, sf_dir)
+        rust = p.nodes.where("language = 'Rust'").select("file")
+        found = resolve.resolve_imports(p.imports.where((F.col("language") == language) & F.col("is_local")), p.inventory, rust, F.lit("/v"))
+        return found.where("file <> target").select("file", "target").distinct()
+
+    return run
+
+
+for _name, _language in (("resolve_python", "Python"), ("resolve_rust", "Rust"), ("resolve_typescript", "TypeScript"), ("resolve_cpp", "Cpp")):
+    query(_name, V + f" SELECT ed.src AS file, ed.dst AS target FROM ed JOIN p ON p.file = ed.src WHERE p.language = '{_language}'")(_resolved(_language))
+
+
+@query("dependency_edges", V + " SELECT src, dst FROM ed")
+def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fam.part_project(spark, sf_dir).edges
+
+
+@query("node_summary", IMPORTS + f""" SELECT p.file, regexp_extract(p.file, '([^/]*)$', 1) AS name, CASE language WHEN 'Cpp' THEN 'C++' ELSE language END AS language, {LOC}::INT AS loc, 1::BIGINT AS functions, 0::BIGINT AS containers,
+ (SELECT count(*) FROM im WHERE im.file = p.file) AS imports, (SELECT count(*) FROM ed WHERE ed.src = p.file) AS dependencies FROM p""")
+def node_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fam.part_project(spark, sf_dir).summary()
+
+
+@query("incoming_deps", V + " SELECT dst AS file, count(*) AS n_incoming, string_agg(src, ',' ORDER BY src) AS sources FROM ed GROUP BY 1")
+def incoming_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fam.part_project(spark, sf_dir)
+    return reports.incoming(p.edges, p.nodes).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("outgoing_deps", V + " SELECT src AS file, count(*) AS n_outgoing, string_agg(dst, ',' ORDER BY dst) AS targets FROM ed GROUP BY 1")
+def outgoing_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fam.part_project(spark, sf_dir)
+    return reports.outgoing(p.edges, p.nodes).withColumn("targets", F.array_join("targets", ","))
+
+
+@query("import_partition", IMPORTS + " SELECT file, count(*) FILTER (is_local) AS n_local, count(*) FILTER (NOT is_local) AS n_external FROM im GROUP BY 1")
+def import_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.import_partition(fam.part_project(spark, sf_dir).nodes)
+
+
+@query("files_by_language", V + " SELECT language, count(*) AS files, min(file) AS first FROM p GROUP BY 1")
+def files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.files_by_language(fam.part_project(spark, sf_dir).nodes).select("language", F.size("files").cast("bigint").alias("files"), F.col("files")[0].alias("first"))
+
+
+@query("loc_bounds", V + f" SELECT min({LOC})::INT AS min_loc, max({LOC})::INT AS max_loc FROM p")
+def loc_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.loc_bounds(fam.part_files(spark, sf_dir).select(paths.line_count(F.col("content")).alias("loc")))
+
+
+@query("node_size", V + f", z AS (SELECT file, {LOC} loc, (SELECT min({LOC}) FROM p) lo, (SELECT max({LOC}) FROM p) hi FROM p) SELECT file, round(CASE WHEN hi = lo THEN 30 ELSE 20 + (loc - lo)::DOUBLE / (hi - lo) * 20 END, 6) AS size FROM z")
+def node_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = fam.part_files(spark, sf_dir).select(F.col("path").alias("file"), paths.line_count(F.col("content")).alias("loc"))
+    sized = nodes.join(F.broadcast(reports.loc_bounds(nodes)))  # one row
+    return sized.select("file", F.round(geometry.node_size(F.col("loc"), F.col("min_loc"), F.col("max_loc")), 6).alias("size"))
+
+
+@query("tree_scc_histogram", V + """, two AS (SELECT count(*) k FROM ed a JOIN ed b ON a.src = b.dst AND a.dst = b.src),
+n2 AS (SELECT k // 2 AS pairs, (SELECT count(*) FROM (SELECT src FROM ed UNION SELECT dst FROM ed)) AS nodes FROM two)
+SELECT 1::BIGINT AS size, nodes - 2*pairs AS count FROM n2 UNION ALL SELECT 2, pairs FROM n2""")
+def tree_scc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = fam.part_project(spark, sf_dir).indexed()
+    return graph.size_histogram(graph.strongly_connected(edges))
+
+
+@query("svg_marks", V + " SELECT z, count(*) AS marks FROM (SELECT 0 AS z FROM ed UNION ALL SELECT 1 FROM p UNION ALL SELECT 1 FROM p UNION ALL SELECT 2 FROM (VALUES (1),(2),(3),(4),(5),(6),(7),(8))) GROUP BY z")
+def svg_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.svg_marks(*fam.part_project(spark, sf_dir).scene()).where(F.length("fragment") > 0).groupBy("z").agg(F.count("*").alias("marks"))
+
+
+# --- The hand-off graph ---------------------------------------------------------------------------
+
+
+@query("handoff_edges", U + " SELECT src, dst FROM e")
+def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fam.handoff_edges(spark, sf_dir)
+
+
+@query("transpose", U + " SELECT dst AS src, src AS dst FROM e")
+def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.transpose(fam.handoff_edges(spark, sf_dir))
+
+
+@query("degrees", U + " SELECT id, (SELECT count(*) FROM e WHERE dst = id) AS in_degree, (SELECT count(*) FROM e WHERE src = id) AS out_degree FROM v")
+def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.degrees(fam.handoff_edges(spark, sf_dir))
+
+
+def _scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.strongly_connected(fam.materialize(fam.handoff_edges(spark, sf_dir), "handoff"))
+
+
+@query("scc_assign", SCC + " SELECT id, scc_id FROM comp")
+def scc_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scc(spark, sf_dir)
+
+
+@query("scc_histogram", SCC + " SELECT size, count(*) AS count FROM (SELECT count(*) size FROM comp GROUP BY scc_id) GROUP BY 1")
+def scc_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.size_histogram(_scc(spark, sf_dir))
+
+
+@query("largest_scc", SCC + " SELECT scc_id, count(*) AS size FROM comp GROUP BY 1 ORDER BY size DESC, scc_id LIMIT 1")
+def largest_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.largest_component(_scc(spark, sf_dir))
+
+
+@query("sccs_by_size", SCC + ", z AS (SELECT scc_id, count(*) size, string_agg(id, ',' ORDER BY id) members FROM comp GROUP BY 1) SELECT size, count(*) AS n, string_agg(members, ';' ORDER BY scc_id) AS components FROM z GROUP BY 1")
+def sccs_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components_by_size(_scc(spark, sf_dir)).select("size", F.size("components").cast("bigint").alias("n"), F.array_join(F.transform("components", lambda c: F.array_join(c, ",")), ";").alias("components"))
+
+
+@query("scc_stats", SCC + " SELECT (SELECT count(DISTINCT scc_id) FROM comp) AS sccs, (SELECT count(*) FROM v) AS nodes")
+def scc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scc(spark, sf_dir).agg(F.count_distinct("scc_id").alias("sccs"), F.count("*").alias("nodes"))
+
+
+@query("bfs_sigma", BFS + ", s5 AS (SELECT id FROM v ORDER BY id LIMIT 5) SELECT s, v, d::INT AS d, sig AS sigma FROM sp WHERE s IN (SELECT id FROM s5)")
+def bfs_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths from the five smallest ids: single sources are what the operator is for."""
+    edges = fam.materialize(fam.handoff_edges(spark, sf_dir), "handoff")
+    return graph.shortest_paths(edges, graph.vertices_of(edges).orderBy("id").limit(5))
+
+
+@query("betweenness", BC + " SELECT id, round(score, 6) AS score FROM bb")
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.betweenness(fam.materialize(fam.handoff_edges(spark, sf_dir), "handoff")).select("id", F.round("score", 6).alias("score"))
+
+
+@query("chokepoints_topk", BC + " SELECT id, round(score, 6) AS score FROM bb ORDER BY round(score, 9) DESC, id LIMIT 5")
+def chokepoints_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = graph.betweenness(fam.materialize(fam.handoff_edges(spark, sf_dir), "handoff")).withColumn("score", F.round("score", 9))
+    return graph.chokepoints(scores).select("id", F.round("score", 6).alias("score"))
+
+
+@query("score_lookup", BC + SCC[len(U):] + ", sz AS (SELECT scc_id, count(*) size FROM comp GROUP BY 1) SELECT v.id, round(score, 6) AS score, sz.size AS scc_size, sz.size > 1 AS is_cycle FROM v JOIN bb ON bb.id = v.id JOIN comp ON comp.id = v.id JOIN sz ON sz.scc_id = comp.scc_id")
+def score_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = fam.materialize(fam.handoff_edges(spark, sf_dir), "handoff")
+    scc = graph.strongly_connected(edges)
+    sizes = scc.join(graph.component_sizes(scc), "scc_id").select("id", F.col("size").alias("scc_size"), "is_cycle")
+    return graph.betweenness(edges).select("id", F.round("score", 6).alias("score")).join(sizes, "id", "left")
+
+
+# --- Layouts --------------------------------------------------------------------------------------
+
+CIRCLE = U + ", q AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM v)"
+
+
+def _circle(spark: SparkSession, sf_dir: str, config: layout.CircularConfig = layout.CircularConfig()) -> DataFrame:
+    names = graph.vertices_of(fam.handoff_edges(spark, sf_dir)).withColumnRenamed("id", "name")
+    ids = graph.dense_ids(names, "name")
+    return layout.circular(ids, config).join(ids, "id").select(F.col("name").alias("id"), "x", "y")
+
+
+@query("circular_layout", CIRCLE + " SELECT id, round(300*cos(2*pi()*k/n), 6) + 0 AS x, round(300*sin(2*pi()*k/n), 6) + 0 AS y FROM q")
+def circular_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _circle(spark, sf_dir).select("id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query("fit_box", CIRCLE + ", c AS (SELECT id, 300*cos(2*pi()*k/n) x, 300*sin(2*pi()*k/n) y FROM q), b AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM c) SELECT id, round((x-(x0+x1)/2)/greatest(x1-x0,y1-y0)*800+500, 6) AS x, round((y-(y0+y1)/2)/greatest(x1-x0,y1-y0)*800+500, 6) AS y FROM c, b")
+def fit_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.fit_box(_circle(spark, sf_dir)).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+TREE = V + """, te AS (SELECT i src, t1 dst FROM y WHERE t1 >= 0 AND t1 <> i), tv AS (SELECT i id FROM y),
+ly(id, l) AS (SELECT id, 0 FROM tv WHERE id NOT IN (SELECT dst FROM te) UNION SELECT te.dst, ly.l+1 FROM ly JOIN te ON te.src = ly.id),
+lay AS (SELECT id, min(l) layer FROM ly GROUP BY 1),
+deg AS (SELECT id, (SELECT count(*) FROM te WHERE src=id) + (SELECT count(*) FROM te WHERE dst=id) g FROM tv),
+od AS (SELECT lay.id, layer, row_number() OVER (PARTITION BY layer ORDER BY g DESC, lay.id) - 1 AS ord, count(*) OVER (PARTITION BY layer) AS w FROM lay JOIN deg ON deg.id = lay.id)"""
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, vertices = fam.part_tree(spark, sf_dir)
+    return layout.layered(edges.withColumn("graph", F.lit("tree")), vertices.withColumn("graph", F.lit("tree")), steps="layers")
+
+
+@query("layer_assign", TREE + " SELECT id, layer::INT AS layer FROM lay")
+def layer_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layers(spark, sf_dir).select("id", "layer")
+
+
+@query("layer_order", TREE + " SELECT id, layer::INT AS layer, ord::INT AS ord FROM od")
+def layer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _layers(spark, sf_dir).select("id", "layer", "ord")
+
+
+@query("crossing_count", TREE + ", ends AS (SELECT a.layer, a.ord p, b.ord q FROM te JOIN od a ON a.id = te.src JOIN od b ON b.id = te.dst WHERE b.layer = a.layer + 1) SELECT layer::INT AS layer, (SELECT count(*) FROM ends f JOIN ends h ON h.layer = f.layer AND f.p < h.p AND f.q >= h.q WHERE f.layer = z.layer) AS crossings FROM (SELECT DISTINCT layer FROM ends) z")
+def crossing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.crossing_counts(_layers(spark, sf_dir), fam.part_tree(spark, sf_dir)[0])
+
+
+@query("sugiyama_coords")
+def sugiyama_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole layered layout of the hand-off graph; its steps go one after another, tests hold them."""
+    edges = fam.handoff_edges(spark, sf_dir)
+    out = layout.layered(edges.withColumn("graph", F.lit("handoff")), graph.vertices_of(edges).withColumn("graph", F.lit("handoff")))
+    return out.select("id", "layer", "ord", "is_dummy", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("hit_test", CIRCLE + ", c AS (SELECT id, 300*cos(2*pi()*k/n) x, 300*sin(2*pi()*k/n) y FROM q), pt AS (SELECT n_nationkey point, 300*cos(n_nationkey*0.25) px, 300*sin(n_nationkey*0.25) py FROM nation) SELECT point, min(id) AS id FROM pt JOIN c ON sqrt((px-x)*(px-x)+(py-y)*(py-y)) < 30 GROUP BY 1")
+def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    points = fam.table(spark, sf_dir, "nation").select(n.alias("point"), (300 * F.cos(n * 0.25)).alias("x"), (300 * F.sin(n * 0.25)).alias("y"))
+    return layout.hit_test(points, _circle(spark, sf_dir).withColumn("radius", F.lit(30.0)))
+
+
+# --- Page links -----------------------------------------------------------------------------------
+
+
+@query("page_links", "SELECT page_id, count(*) AS links, count(*) FILTER (starts_with(href, '/')) AS n_local FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) GROUP BY 1")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fam.page_links(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("links"), F.count_if("is_local").alias("n_local"))
+
+
+@query("page_link_targets", "SELECT href, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) GROUP BY 1 ORDER BY n DESC, href LIMIT 20")
+def page_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report."""
+    return fam.page_links(spark, sf_dir).groupBy("href").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "href").limit(20)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
