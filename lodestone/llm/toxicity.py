@@ -209,21 +209,23 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> ToxicityModel:
     return model
 
 
-def fit(labelled: DataFrame, sample: int = 3000, sample_chars: int = 6000, seed: int = 0) -> ToxicityModel:
-    """labelled: doc_id, text, toxic.  At most ``sample`` rows of each class, the first by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_chars: int = 6000, seed: int = 0) -> ToxicityModel:
+    """docs: doc_id, text; labels: doc_id, toxic.  At most ``sample`` rows of each class, the first by a hash of the id.
+
+    Ids are chosen without the texts; only the chosen ones' texts are fetched.
+    Rows of the held-out fold are left out.
+    """
+    known = training_ids(labels).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     rows = []
     for value in (0, 1):
-        some = labelled.where(F.col("toxic") == value).select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(sample)
-        chosen = labelled.where(F.col("toxic") == value).join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
-        # A bounded sample: the broadcast holds at most ``sample`` ids.
-        rows += chosen.select("doc_id", F.substring("text", 1, sample_chars).alias("text"), "toxic").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+        some = known.where(F.col("toxic") == value).orderBy("h", "doc_id").limit(sample).select("doc_id", "toxic")
+        # At most ``sample`` ids.
+        chosen = docs.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).join(F.broadcast(some), "doc_id")
+        rows += chosen.dropDuplicates(["doc_id"]).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] or "" for r in rows], [r["toxic"] for r in rows], seed)
 
 
-_MODELS: dict[bytes, ToxicityModel] = {}
-
-
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", column: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 of each whole text, higher where toxic is likelier.
 
@@ -249,13 +251,12 @@ def fold(of: int, doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.pmod(crc_of_id(doc_id), F.lit(of)), F.lit(-1))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the labelled rows outside the held-out fold (remainder 1 of 3)."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").where(fold(3) != 1).join(known, "doc_id")
+def training_ids(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the labelled ids outside the held-out fold (remainder 1 of 3)."""
+    return labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold(3) != 1).select("doc_id", "toxic").dropDuplicates(["doc_id"])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, at_least: float = 0.7, **options) -> DataFrame:
     """docs without the rows that score ``at_least`` or more; columns as they were."""
-    model = fit(training_rows(docs, labels), **options)
+    model = fit(docs, labels, **options)
     return score(docs, model, column="_toxicity").where(F.col("_toxicity") < at_least).select(*docs.columns)

@@ -104,7 +104,7 @@ def test_toxicity_rows(spark):
     assert got.columns.count("score") == 1 and got.count() == 13
     assert all(0 <= r["score"] <= 1 for r in got.collect())
     assert toxicity.score(empty_docs(spark), model).count() == 0
-    none = toxicity.fit(spark.createDataFrame([], "doc_id bigint, text string, toxic int"))
+    none = toxicity.fit(empty_docs(spark), spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert none.score("any text") == 0.0
 
 
