@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import language_of
-from ..functions.paths import dotted_to_path, join_path, line_count, parent_dir
+from ..functions.paths import join_path, line_count, parent_dir
 from . import lexers
 
 FACTS = "file string, language string, kind string, name string"
@@ -46,18 +46,12 @@ def imports_of(facts: DataFrame, inventory: DataFrame) -> DataFrame:
     return joined.withColumn("is_local", local).withColumn("path", path).select("file", "language", "raw", "path", "is_local")
 
 
-def nodes(files: DataFrame, inventory: DataFrame, macro_includes: bool = False) -> DataFrame:
+def nodes(files: DataFrame, inventory: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """One row for each file: file, loc, language, imports, functions, containers, external_references; lists sorted."""
-    facts = extract_facts(files, macro_includes)
+    facts = extract_facts(files) if facts is None else facts
     lists = facts.groupBy("file").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name")))).alias(name) for kind, name in (("function", "functions"), ("container", "containers"), ("reference", "external_references"))])
     imports = imports_of(facts, inventory).groupBy("file").agg(F.array_sort(F.collect_set(F.struct("path", "is_local"))).alias("imports"))
     base = files.select(F.col("path").alias("file"), line_count(F.col("content")).alias("loc"), language_of(F.col("path")).alias("language")).where("language IS NOT NULL AND loc IS NOT NULL")
     none = F.array().cast("array<string>")
     out = base.join(lists, "file", "left").join(imports, "file", "left")
     return out.select("file", "loc", "language", F.coalesce("imports", F.array().cast("array<struct<path:string,is_local:boolean>>")).alias("imports"), *[F.coalesce(c, none).alias(c) for c in ("functions", "containers", "external_references")])
-
-
-def module_file(base: str, dotted: str) -> tuple:
-    """Column pair: the module's file and its package file below a folder column."""
-    stem = join_path(F.col(base), dotted_to_path(F.col(dotted)))
-    return F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py"))

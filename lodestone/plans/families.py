@@ -21,7 +21,8 @@ def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     the next; ranges are sorted by themselves and only their ends meet.
     """
     events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id")
-    ordered = events.repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("part", F.spark_partition_id())
+    # Written once: the ranges are drawn from a sample, and both readers have to see the same.
+    ordered = materialize(events.repartitionByRange("ts", "event_id").withColumn("part", F.spark_partition_id()), "events")
     within = ordered.withColumn("dst", F.lead("user_id").over(Window.partitionBy("part").orderBy("ts", "event_id")))
     # Ends: one row for each range.
     last = ordered.groupBy("part").agg(F.max(F.struct("ts", "event_id", "user_id")).alias("z"), F.min(F.struct("ts", "event_id", "user_id")).alias("a"))

@@ -10,9 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.paths import normalize_path
 from .operators import extract, graph, render, reports, resolve
 from .sources import files as sources
+from .sources.shared import materialize
 
 
 @dataclass
@@ -29,9 +29,9 @@ class Project:
     @classmethod
     def build(cls, files: DataFrame, inventory: DataFrame, root: str, compat: bool = False, macro_includes: bool = False) -> Project:
         """From files(path, root, content) and inventory(path, is_node)."""
-        facts = extract.extract_facts(files, macro_includes)
+        facts = materialize(extract.extract_facts(files, macro_includes), "facts")  # texts are read once
         imports = extract.imports_of(facts, inventory)
-        nodes = extract.nodes(files, inventory, macro_includes)
+        nodes = extract.nodes(files, inventory, facts)
         edges = resolve.dependency_edges(facts, imports, inventory, nodes.select("file", "language"), F.lit(root), compat)
         return cls(root, inventory, facts, imports, nodes, edges)
 
@@ -103,4 +103,4 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
-__all__ = ["Project", "checked", "main", "normalize_path"]
+__all__ = ["Project", "checked", "main"]
