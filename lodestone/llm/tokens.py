@@ -17,9 +17,9 @@ import numpy as np
 END_ID = np.array([1], "<u4").tobytes()
 #: Parts remembered by one Python worker, and the longest part remembered.
 KEPT_PARTS, KEPT_LENGTH = 1_000_000, 40
-#: Parts of characters that are neither white space nor combining, short enough to remember.
+#: Parts of characters that are neither white space nor combining, nor become so in lower case (U+0130); short enough to remember.
 MARKS = ".,;:!?*#%&$"
-PRINTED = re.compile(r"[!-{}-~\u00a1-\u024f]{1,40}").fullmatch
+PRINTED = re.compile(r"[!-{}-~\u00a1-\u012f\u0131-\u024f]{1,40}").fullmatch
 
 
 def default_path(name: str) -> str:
