@@ -382,6 +382,8 @@ def made_up_page(rng: random.Random) -> tuple[str, list[bool]]:
     def main_part() -> str:
         a, z = rng.choice([("<article>", "</article>")] * 5 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), named("content article post entry-content post-body story article-body main-content text main body"), named("content article post entry-content post-body story article-body main-content")])
         out = leaf(rng.choice(["h1", "h1", "h2"]), rng.randint(2, 12), True, rng.choice(["", "."])) if rng.random() < 0.85 else ""
+        if out and rng.random() < 0.12:
+            out = "<header>" + out + "</header>"  # an article's own head line
         for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5, 6, 8, 12, 20]) if out else rng.randint(1, 9)):
             x = rng.random()
             if x < 0.72:
@@ -401,6 +403,8 @@ def made_up_page(rng: random.Random) -> tuple[str, list[bool]]:
                 out += boiler("advert")
             else:
                 out += boiler(rng.choice(["side", "notice", "form"]))
+        if rng.random() < 0.12:
+            out += boiler(rng.choice(["comments", "comments", "side", "form", "footer"]))
         return a + out + z
 
     before = [k for k in ("menu", "header", "notice", "advert", "side", "form") if rng.random() < {"menu": 0.8, "header": 0.4, "advert": 0.5}.get(k, 0.2)]
