@@ -147,6 +147,11 @@ def largest_component(scc: DataFrame) -> DataFrame:
     return component_sizes(scc).orderBy(F.desc("size"), "scc_id").limit(1).select("scc_id", "size")
 
 
+def members_of_largest(scc: DataFrame) -> DataFrame:
+    """(id) of the largest component."""
+    return scc.join(F.broadcast(largest_component(scc).select("scc_id")), "scc_id", "left_semi").select("id")  # one row
+
+
 def components_by_size(scc: DataFrame) -> DataFrame:
     """(size, components): lists of sorted member lists."""
     each = scc.groupBy("scc_id").agg(F.array_sort(F.collect_list("id")).alias("members"))

@@ -82,6 +82,15 @@ def arrow_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fam.table(spark, sf_dir, "nation").select(n.alias("id"), *[F.round(head[c], 6).alias(c) for c in ("tip_x", "tip_y", "left_x")])
 
 
+COLORS = [("Python", "Python", "#FFD43B", 255, 212, 59, "black"), ("Rust", "Rust", "#DEA584", 222, 165, 132, "black"), ("TypeScript", "TypeScript", "#007ACC", 0, 122, 204, "white"), ("Cpp", "C++", "#00599C", 0, 89, 156, "white")]
+
+
+@query("language_colors", _rows("language, display, color, r, g, b, label", COLORS))
+def language_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rgb = languages.rgb_of(F.col("color"))
+    return languages.dimension(spark).select("language", "display", "color").distinct().select("*", *[rgb[k].alias(c) for k, c in enumerate("rgb")], languages.label_color(F.col("color")).alias("label"))
+
+
 # --- The virtual source tree ----------------------------------------------------------------------
 
 
@@ -238,6 +247,11 @@ def sccs_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components_by_size(_scc(spark, sf_dir)).select("size", F.size("components").cast("bigint").alias("n"), F.array_join(F.transform("components", lambda c: F.array_join(c, ",")), ";").alias("components"))
 
 
+@query("largest_members", SCC + " SELECT id FROM comp WHERE scc_id = (SELECT scc_id FROM comp GROUP BY 1 ORDER BY count(*) DESC, scc_id LIMIT 1)")
+def largest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.members_of_largest(_scc(spark, sf_dir))
+
+
 @query("scc_stats", SCC + " SELECT (SELECT count(DISTINCT scc_id) FROM comp) AS sccs, (SELECT count(*) FROM v) AS nodes")
 def scc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scc(spark, sf_dir).agg(F.count_distinct("scc_id").alias("sccs"), F.count("*").alias("nodes"))
@@ -285,6 +299,23 @@ def circular_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _circle(spark, sf_dir).select("id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
 
 
+@query("export_circle", CIRCLE + " SELECT id, round(600+320*cos(2*pi()*k/n), 6) AS x, round(450+320*sin(2*pi()*k/n), 6) AS y FROM q")
+def export_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _circle(spark, sf_dir, layout.EXPORT_CIRCLE).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("screen_positions", CIRCLE + " SELECT id, round((300*cos(2*pi()*k/n) - 50)*0.5 + 400, 6) AS x, round((300*sin(2*pi()*k/n) - 25)*0.5 + 300, 6) AS y FROM q")
+def screen_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The circle through a camera that sees 1600 by 900 around (50, 25), on a screen of 800 by 600."""
+    x, y = geometry.world_to_screen(F.col("x"), F.col("y"), (-750.0, -425.0, 1600.0, 900.0), (800.0, 600.0))
+    return _circle(spark, sf_dir).select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query("visible_edges", CIRCLE + ", c AS (SELECT id, 300*cos(2*pi()*k/n) x, 300*sin(2*pi()*k/n) y FROM q), i AS (SELECT id FROM c WHERE x BETWEEN 0 AND 200 AND y BETWEEN 0 AND 300) SELECT src, dst FROM e WHERE src IN (SELECT id FROM i) OR dst IN (SELECT id FROM i)")
+def visible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.visible(_circle(spark, sf_dir), fam.handoff_edges(spark, sf_dir), 200.0, 300.0)[1]
+
+
 @query("fit_box", CIRCLE + ", c AS (SELECT id, 300*cos(2*pi()*k/n) x, 300*sin(2*pi()*k/n) y FROM q), b AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM c) SELECT id, round((x-(x0+x1)/2)/greatest(x1-x0,y1-y0)*800+500, 6) AS x, round((y-(y0+y1)/2)/greatest(x1-x0,y1-y0)*800+500, 6) AS y FROM c, b")
 def fit_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.fit_box(_circle(spark, sf_dir)).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
