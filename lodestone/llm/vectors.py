@@ -310,7 +310,8 @@ def projection_links(vectors: DataFrame, rows: int, cosine: float, window: int,
                     held_ids, held = own_ids[-window:], own[-window:]
 
     parts = max(shuffle_partitions(vectors.sparkSession), -(-rows * passes // 200_000))
-    dealt = vectors.mapInArrow(keys, "pass int, key bigint, id bigint, embedding array<float>").repartitionByRange(parts, "pass", "key").sortWithinPartitions("pass", "key", "id")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    dealt = vectors.mapInArrow(keys, f"pass int, key bigint, id bigint, embedding {kind}").repartitionByRange(parts, "pass", "key").sortWithinPartitions("pass", "key", "id")
     return dealt.select("pass", "id", "embedding").mapInArrow(sweep, "src bigint, dst bigint").distinct()
 
 
@@ -330,9 +331,11 @@ def cosine_components(vectors: DataFrame, cosine: float = 0.95, window: int = 12
     component, also those that no window held, are then counted exactly, in
     blocks of ``block`` vectors, so that a component of any size is many tasks.
     """
-    spark = vectors.sparkSession
     fit = usable("embedding") & F.exists("embedding", lambda x: x != 0)
-    rows = materialize(vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.when(F.coalesce(fit, F.lit(False)), F.col("embedding").cast("array<float>")).alias("embedding")).withColumn("same", F.when(F.col("embedding").isNotNull(), F.xxhash64(F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))))), "vectors")
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    plain = F.transform("embedding", lambda x: (x + F.lit(0).cast(kind)).cast(kind))  # one zero
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.when(F.coalesce(fit, F.lit(False)), plain).alias("embedding"))
+    rows = materialize(rows.withColumn("same", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding"))), "vectors")
     valid = rows.where("embedding IS NOT NULL AND id IS NOT NULL")
     classes = materialize(valid.groupBy("same", "embedding").agg(F.min("id").alias("id"), F.count_distinct(F.col("id")).alias("copies")), "vector-classes")
     n = classes.count()
