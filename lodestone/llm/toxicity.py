@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 RUN = 5  # bytes
 FRAME = (b"\x00" * 32 + b" ", b" " + b"\x00" * 16)
 LONGEST = 64  # bytes of a word in one window; longer words are cut
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 FEATURES = 5
 
 
