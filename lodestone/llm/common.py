@@ -15,7 +15,6 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel  # noqa: F401  (re-exported for callers)
 
 #: What ends a word: space and the ASCII controls \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,7 +46,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._scratch_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -109,13 +121,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", t
     found = None
     for k in range(1, 64):
         both = live.select(F.col("u").alias("id"), F.col("v").alias("near")).union(live.select("v", "u"))
-        hooks = materialize(both.groupBy("id").agg(F.least(F.col("id"), F.min("near")).alias("component")), f"{tag}-hooks-{k}")
-        for j in range(2):
-            hooks = relabel(hooks, "component", hooks)
-        hooks = materialize(hooks.select("id", "component"), f"{tag}-labels-{k}")
+        first = materialize(both.groupBy("id").agg(F.least(F.col("id"), F.min("near")).alias("component")), f"{tag}-hooks-{k}")
+        hooks = relabel(first, "component", first)
+        hooks = materialize(relabel(hooks, "component", hooks).select("id", "component"), f"{tag}-labels-{k}")
+        before, gone = found, live
         found = hooks if found is None else materialize(relabel(found, "component", hooks).select("id", "component"), f"{tag}-found-{k}")
         live = relabel(relabel(live, "u", hooks), "v", hooks).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         live = materialize(live, f"{tag}-{k}")
+        release(first, gone, *([] if before is None else [before, hooks]))
         if live.isEmpty():
+            release(live)
             return found
     raise RuntimeError("components did not settle in 64 rounds")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, connected_components, materialize, mix, relabel, word_hashes
+from .common import GOLDEN, connected_components, materialize, mix, relabel, release, word_hashes
 from .substring import with_keys
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -180,23 +180,27 @@ def components(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 3
     sets = seen.where("h1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").alias("d"), "k")).alias("u"), F.min_by("halves", F.struct("doc_id", "k")).alias("halves"))
     sets = materialize(sets.select("h1", "h2", "u.d", "u.k", "halves"), "sets")
     halves = sets.select("d", "k", F.posexplode("halves").alias("g", "half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("sets")).where("sets >= 2").select("half")
+    # Counts are written before their joins: with plain exchanges on both sides, hot keys' rows can be split.
+    shared = materialize(halves.groupBy("half").agg(F.count("*").alias("sets")).where("sets >= 2").select("half"), "shared-halves")
     side = lambda first: F.collect_list(F.when((F.col("g") < m) == F.lit(first), F.col("half")))
     hit = halves.join(shared, "half").groupBy("d", "k").agg(side(True).alias("a"), side(False).alias("b")).where("size(a) > 0 AND size(b) > 0")
     hit = materialize(hit, "half-hits")
+    release(shared)
     tables = hit.select("d", "k", F.explode(F.expr("flatten(transform(a, x -> transform(b, y -> xxhash64(x, y))))")).alias("t"))
-    leaders = tables.groupBy("t").agg(F.min(F.struct("d", "k")).alias("x"), F.count("*").alias("size")).where("size >= 2")
+    leaders = materialize(tables.groupBy("t").agg(F.min(F.struct("d", "k")).alias("x"), F.count("*").alias("size")).where("size >= 2"), "leaders")
     buckets = materialize(tables.join(leaders, "t").select("t", "d", "k", F.col("x.d").alias("xd"), F.col("x.k").alias("xk"), "size"), "buckets")
+    release(hit, leaders)
     near = buckets.select("d", "k").distinct()
     texts = materialize(with_keys(docs.select("doc_id", "text")).select("d", "k", "text").join(near.hint("shuffle_hash"), ["d", "k"]).dropDuplicates(["d", "k"]), "near-texts")
 
     pairs = materialize(buckets.where("d <> xd OR k <> xk").select("xd", "xk", "d", "k").distinct(), "pairs")
-    load = pairs.groupBy("xd", "xk").agg(F.ceil(F.count("*") / 256).cast("bigint").alias("parts"))
+    load = materialize(pairs.groupBy("xd", "xk").agg(F.ceil(F.count("*") / 256).cast("bigint").alias("parts")), "loads")
     members = pairs.join(load, ["xd", "xk"]).select("xd", "xk", F.pmod(F.xxhash64("d", "k"), "parts").alias("salt"), F.col("d").alias("y"), "d", "k")
     lead = load.select("xd", "xk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("salt")).select("xd", "xk", "salt", F.lit(None).cast("bigint").alias("y"), F.col("xd").alias("d"), F.col("xk").alias("k"))
     held = members.unionByName(lead).join(texts, ["d", "k"]).select("xd", "xk", "salt", "y", "text")
     ordered = held.repartition("xd", "xk", "salt").sortWithinPartitions("xd", "xk", "salt", F.col("y").asc_nulls_first())
     links = materialize(confirm(ordered, width, percent), "links")
+    release(pairs, load)
 
     comp = connected_components(links, tag="star")
     labelled = buckets.join(comp.withColumnsRenamed({"id": "d", "component": "label"}), "d", "left").withColumn("label", F.coalesce("label", "d"))
@@ -222,6 +226,9 @@ def components(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 3
         across = relabel(relabel(more, "src", comp), "dst", comp)
         comp = comp.unionByName(more.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(comp, "id", "left_anti").withColumn("component", F.col("id")))
         comp = relabel(comp, "component", connected_components(across, tag="all")).select("id", "component")
+        comp = materialize(comp, "components")
+        release(more)
+    release(links, buckets, texts, left)
     named = sets.select("h1", "h2", "d").join(comp.withColumnRenamed("id", "d"), "d", "left").select("h1", "h2", F.coalesce("component", "d").alias("component"))
     out = seen.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(named, ["h1", "h2"], "left")
     ids = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -229,7 +236,11 @@ def components(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 3
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, **options) -> DataFrame:
-    """One document of each group stays: the one of the smallest id, once.  Columns as they were."""
+    """One document of each group stays: the one of the smallest id.  Columns as they were.
+
+    Rows alike in id and text are one; rows of one id with different texts all
+    stay or all go; rows without id stay.
+    """
     keep = components(docs, width, percent, **options).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id IS NOT NULL").join(keep.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("_k", F.xxhash64("text")).dropDuplicates(["doc_id", "_k"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

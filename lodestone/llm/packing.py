@@ -81,10 +81,10 @@ def tokenized_pieces(docs: DataFrame, sequence: int, tokenizer: str, lead: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, lead)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(ids), 512):
+            for a in range(0, batch.num_rows, 512):
+                ids, texts = (batch.column(i).slice(a, 512).to_pylist() for i in range(2))
                 rows: list[tuple] = []
-                for doc, got in zip(ids[a : a + 512], enc.batch([t or "" for t in texts[a : a + 512]]), strict=True):
+                for doc, got in zip(ids, enc.batch([t or "" for t in texts]), strict=True):
                     got += END_ID
                     n = len(got) // 4
                     for start in range(0, n, sequence):

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import delete, materialize, scratch
 from .tokens import END_ID, default_path, encoder
 
 MAGIC, FOOTER = b"LDSSTAB1", struct.Struct("<8s6QII")
@@ -212,10 +212,9 @@ def write_tables(docs: DataFrame, path: str, tokenizer: str | None = None, shard
         width = 2 if enc.tokenizer.get_vocab_size() <= 65_536 else 4
         out = Writer(width)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(ids), 512):
-                got = enc.batch([t or "" for t in texts[a : a + 512]])
-                for doc, value in zip(ids[a : a + 512], got, strict=True):
+            for a in range(0, batch.num_rows, 512):
+                ids, texts = (batch.column(i).slice(a, 512).to_pylist() for i in range(2))
+                for doc, value in zip(ids, enc.batch([t or "" for t in texts]), strict=True):
                     for part in out.add(doc, value + END_ID):
                         yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], names=["part"])
         if out.keys:
@@ -246,11 +245,16 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_tables(docs: DataFrame, tokenizer: str | None = None, path: str | None = None, lead: bool = False) -> DataFrame:
-    """Write the files, read them back: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
+    """Write the files, read them back: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
+
+    Files under a given path stay; without one they are deleted when read.
+    """
     spark = docs.sparkSession
-    path = path or scratch(spark, "token-tables")
-    write_tables(docs, path, tokenizer, lead=lead)
-    rows = materialize(read_tables(spark, path), "token-digest")
+    folder = path or scratch(spark, "token-tables")
+    write_tables(docs, folder, tokenizer, lead=lead)
+    rows = materialize(read_tables(spark, folder), "token-digest")
+    if path is None:
+        delete(spark, folder)
     # One row for each file; a file holds many thousands of documents.
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
     before = totals.alias("a").join(F.broadcast(totals).alias("b"), F.col("b.shard") < F.col("a.shard"), "left").groupBy(F.col("a.shard").alias("shard")).agg(F.coalesce(F.sum("b.ids"), F.lit(0)).alias("before"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, materialize, mix, word_hashes
+from .common import GOLDEN, materialize, mix, release, word_hashes
 from .fmindex import FMIndex, matched_intervals
 
 GRAM = 8
@@ -185,8 +185,10 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = GRAM, hot_pass
     docs: doc_id, text.  Spans may overlap; texts without any are left out.
     """
     rows = materialize(find_passages(with_keys(docs.select("doc_id", "text")).where("text IS NOT NULL"), window, gram), "passages")
-    repeated = rows.groupBy("a").agg(F.count("*").alias("times")).where("times >= 2").select("a")
+    # Written, so that the join has plain exchanges on both sides and can split a hot anchor's rows.
+    repeated = materialize(rows.groupBy("a").agg(F.count("*").alias("times")).where("times >= 2").select("a"), "repeated-anchors")
     places = materialize(rows.join(repeated, "a"), "places")
+    release(rows, repeated)
     kinds = places.groupBy("a", "c").agg(F.count("*").alias("w"), F.min(F.struct("d", "k", "s", "n")).alias("at"))
     kinds = materialize(kinds.select("a", "c", "w", "at.d", "at.k", "at.s", "at.n"), "kinds")
     hot = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot_passages).select("a", F.lit(True).alias("hot"))
@@ -194,9 +196,11 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = GRAM, hot_pass
     texts = with_keys(docs.select("doc_id", "text")).select("d", "k", "text")
     words = materialize(fetch_words(texts.join(wanted.hint("shuffle_hash"), ["d", "k"])), "passage-words")
     shards = max(1, -(-kinds.count() // shard_passages))
+    release(kinds)
     shard = F.pmod(F.xxhash64("a", F.lit("shard")), F.lit(shards))
     cold = words.where(~F.col("hot")).withColumn("shard", shard).groupBy("shard").applyInArrow(lambda t: match_shard(t, window), "a bigint, c bigint, begins array<int>, ends array<int>")
-    found = cold.unionByName(hot_windows(words.where("hot"), window))
+    found = materialize(cold.unionByName(hot_windows(words.where("hot"), window)), "repeated-spans")
+    release(words)
     spans = places.join(found, ["a", "c"]).select("d", "k", F.expr("transform(begins, x -> x + s)").alias("begins"), F.expr("transform(ends, x -> x + s)").alias("ends"))
     return spans.groupBy("d", "k").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
 

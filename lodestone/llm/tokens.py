@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import pairwise
 
 import numpy as np
 
 END_ID = np.array([1], "<u4").tobytes()
 #: Parts remembered by one Python worker, and the longest part remembered.
-KEPT_PARTS, KEPT_LENGTH = 1_000_000, 40
+KEPT_PARTS, KEPT_LENGTH = 700_000, 40
 #: Parts of characters that are neither white space nor combining, nor become so in lower case (U+0130); short enough to remember.
+#: Begins a part that follows a line feed, not a space.
+LINE = "\x00"
 MARKS = ".,;:!?*#%&$"
 PRINTED = re.compile(r"[!-{}-~\u00a1-\u012f\u0131-\u024f]{1,40}").fullmatch
 
@@ -55,16 +58,14 @@ class Encoder:
         out: list[bytes] = []
         for a in range(0, len(parts), 4096):
             some = parts[a : a + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join([self.lead + p for p in some])], add_special_tokens=False)[0].ids, "<u4")
+            joined = self.lead + (self.mark + self.lead).join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.mark_id)
             if self.mark_id is None or len(ends) != len(some) - 1:
                 out += self.library([self.lead + p for p in some])
                 continue
-            raw, at = ids.tobytes(), 0
-            for e in (4 * ends).tolist():
-                out.append(raw[at:e])
-                at = e + 4
-            out.append(raw[at:])
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            out += [raw[x:y] for x, y in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)]
         return out
 
     @staticmethod
@@ -79,54 +80,91 @@ class Encoder:
             self.known.clear()
         known, ask, stemmed, rest = self.known, set(), [], []
         for p in wanted:
-            if PRINTED(p):
-                stem = p.rstrip(MARKS)
-                if stem != p and stem.isalpha():  # letters and the marks after them are always encoded apart
-                    stemmed.append((p, stem, p[len(stem) :]))
-                    if stem in known:
+            if p and (len(p) <= KEPT_LENGTH and "|" not in p and " " not in p if p.isascii() and p.isprintable() else PRINTED(p)):
+                if p[-1] in MARKS:
+                    stem = p.rstrip(MARKS)
+                    if stem.isalpha():  # letters and the marks after them are always encoded apart
+                        stemmed.append((p, stem))
+                        if stem not in known:
+                            ask.add(stem)
                         continue
-                    p = stem
                 ask.add(p)
             elif p and len(p) <= KEPT_LENGTH and self.plain(p):
-                rest.append(p)
+                rest.append((p, self.lead + p))
+            elif self.lead and p[:1] == LINE and PRINTED(p[1:]):
+                rest.append((p, "\n" + p[1:]))
+        found = known if len(known) < KEPT_PARTS else {}
         single = list(ask)
-        found = dict(zip(single, self.together(single), strict=True))
-        found.update(zip(rest, self.library([self.lead + p for p in rest]), strict=True))
-        new = list({tail for _, _, tail in stemmed}.difference(self.tails))
-        self.tails.update(zip(new, self.library(new), strict=True))
-        for p, stem, tail in stemmed:
-            found[p] = (found[stem] if stem in found else known[stem]) + self.tails[tail]
-        if len(self.tails) > 10_000:
-            self.tails.clear()
+        found.update(zip(single, self.together(single), strict=True))
+        if rest:
+            found.update(zip([p for p, _ in rest], self.library([text for _, text in rest]), strict=True))
+        if stemmed:
+            new = list({p[len(stem) :] for p, stem in stemmed}.difference(self.tails))
+            self.tails.update(zip(new, self.library(new), strict=True))
+            tails = self.tails
+            for p, stem in stemmed:
+                ids = found.get(stem)
+                found[p] = (known[stem] if ids is None else ids) + tails[p[len(stem) :]]
+            if len(tails) > 10_000:
+                tails.clear()
         if not self.lead:
             found[""] = b""
-        if len(known) < KEPT_PARTS:
-            known.update(found)
         return found
 
+    def lines(self, text: str) -> str:
+        """Single line feeds between plain characters as a space and a mark: such a line feed is always a token of its own."""
+        if "\n" not in text or LINE in text:
+            return text
+        cut = text.split("\n")
+        out = [cut[0]]
+        for a, b in pairwise(cut):
+            out += [" " + LINE if a and b and self.plain(a[-1]) and self.plain(b) else "\n", b]
+        return "".join(out)
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        if self.lower:
-            texts = [t if "\u03a3" in t or "\u0130" in t else t.lower() for t in texts]
+        if self.lower:  # white space is dropped, whatever it is
+            texts = [(t if "\u03a3" in t or "\u0130" in t else t.lower()).replace("\n", " ") for t in texts]
+        if self.lead:
+            odd = [k for k, t in enumerate(texts) if LINE in t]
+            if odd:
+                out, whole = self.batch([t for t in texts if LINE not in t]), dict(zip(odd, self.library([texts[k] for k in odd]), strict=True))
+                rest = iter(out)
+                return [whole[k] if k in whole else next(rest) for k in range(len(texts))]
+            texts = list(map(self.lines, texts))
         get = self.known.get
         cut = [t.split(" ") for t in texts]
         heads = [c.pop(0) for c in cut] if self.lead else [""] * len(cut)
         values = [list(map(get, parts)) for parts in cut]
-        gaps = [[i for i, v in enumerate(vs) if v is None] if None in vs else [] for vs in values]
-        found = self.learn({parts[i] for parts, gap in zip(cut, gaps, strict=True) for i in gap}, sum(map(len, cut)))
+        gaps: list[list[int]] = []
+        wanted: set[str] = set()
+        for parts, vs in zip(cut, values, strict=True):
+            gap, i = [], -1
+            for _ in range(vs.count(None)):
+                i = vs.index(None, i + 1)
+                gap.append(i)
+                wanted.add(parts[i])
+            gaps.append(gap)
+        found = self.learn(wanted, sum(map(len, cut))).get if wanted else None
         first = self.library(heads) if self.lead else [b""] * len(cut)
         out: list[bytes] = []
         for head, start, parts, vs, gap in zip(heads, first, cut, values, gaps, strict=True):
+            whole = True
             for i in gap:
-                vs[i] = found.get(parts[i])
-            out.append(self.slowly(head, parts, vs) if gap and None in vs else start + b"".join(vs))
+                ids = found(parts[i])
+                if ids is None:
+                    whole = False
+                vs[i] = ids
+            out.append(start + b"".join(vs) if whole else self.slowly(head, parts, vs))
         return out
 
     def slowly(self, head: str, parts: list[str], values: list[bytes | None]) -> bytes:
         """Known parts are taken; what lies between goes to the library in one piece."""
         runs: list[list] = [[head, None]]
         for p, v in zip(parts, values, strict=True):
-            if p and self.plain(p):
+            if p[:1] == LINE and self.lead:
+                runs.append(["\n" + p[1:], v])
+            elif p and self.plain(p):
                 runs.append([" " + p, v])
             else:
                 runs[-1] = [runs[-1][0] + " " + p, None]

@@ -282,20 +282,24 @@ def projection_links(vectors: DataFrame, rows: int, cosine: float, window: int,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = sign_keys(unit(matrix(batch.column(1))), passes, seed)
-            for p in range(passes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), p, np.int32)), pa.array(k[:, p]), batch.column(0), batch.column(1)], names=["pass", "key", "id", "embedding"])
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for size in np.unique(sizes):  # vectors of one length only meet each other
+                some = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                k = sign_keys(unit(matrix(some.column(1))), passes, seed)
+                for p in range(passes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size * passes + p, np.int64)), pa.array(k[:, p]), some.column(0), some.column(1)], names=["pass", "key", "id", "embedding"])
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_pass, held_ids, held = None, np.zeros(0, np.int64), np.zeros((0, 1))
         for batch in batches:
             number, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            x = unit(matrix(batch.column(2))) if batch.num_rows else np.zeros((0, 1))
+            every = unit(matrix(batch.column(2))) if batch.num_rows else np.zeros((0, 1))
             cuts = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(number)]])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if number[a] != held_pass or held.shape[1] != x.shape[1]:
+                x = every[:, : number[a] // passes]
+                if number[a] != held_pass:
                     held_pass, held_ids, held = number[a], np.zeros(0, np.int64), np.zeros((0, x.shape[1]))
                 for at in range(a, b, 2 * window):
                     end = min(b, at + 2 * window)
@@ -311,7 +315,7 @@ def projection_links(vectors: DataFrame, rows: int, cosine: float, window: int,
 
     parts = max(shuffle_partitions(vectors.sparkSession), -(-rows * passes // 200_000))
     kind = vectors.schema["embedding"].dataType.simpleString()
-    dealt = vectors.mapInArrow(keys, f"pass int, key bigint, id bigint, embedding {kind}").repartitionByRange(parts, "pass", "key").sortWithinPartitions("pass", "key", "id")
+    dealt = vectors.mapInArrow(keys, f"pass bigint, key bigint, id bigint, embedding {kind}").repartitionByRange(parts, "pass", "key").sortWithinPartitions("pass", "key", "id")
     return dealt.select("pass", "id", "embedding").mapInArrow(sweep, "src bigint, dst bigint").distinct()
 
 

@@ -64,7 +64,7 @@ def test_components_of_links(spark, links):
 @pytest.mark.parametrize("name,lead", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_ids_equal_the_library(name, lead):
     rng = random.Random(5)
-    alphabet = " \n\ta.'1é́  s<|>ΩΣİ§|,\x1cB"
+    alphabet = " \n\ta.'1é́  s<|>ΩΣİ§|,\x1cB\x00\n"
     texts = ["", " ", "  a", "don't 's", "a  b", "日本 語", "<|endoftext|> a", "x" * 300 + " y"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
     e = tokens.Encoder(tokens.default_path(name), lead)
     want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -363,7 +363,7 @@ def test_minhash_odd_rows(spark):
     assert got[got.doc_id.isna()].kept.all()
     assert neardup.components(empty_docs(spark)).count() == 0
     kept = neardup.drop_near_duplicates(odd_docs(spark))
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 6, 8, 9] and kept.columns == odd_docs(spark).columns
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 2, 3, 4, 5, 6, 8, 9, 9] and kept.columns == odd_docs(spark).columns
 
 
 # --- 7 and 10 vectors -----------------------------------------------------------------------------
@@ -375,7 +375,7 @@ def vector_rows(spark, seed=2, n=400, dim=8):
     x[50:80] = x[50] + rng.normal(scale=0.02, size=(30, dim))
     x[90] = x[91] = x[92]
     rows = [(int(i), [float(v) for v in x[i]]) for i in range(n)]
-    odd = [(1000, None), (1001, [float("nan")] * dim), (1002, [None] + [1.0] * (dim - 1)), (1003, [0.0] * dim), (1004, [float("inf")] * dim), (1050, []), (None, rows[3][1]), rows[7]]
+    odd = [(1000, None), (1001, [float("nan")] * dim), (1002, [None] + [1.0] * (dim - 1)), (1003, [0.0] * dim), (1004, [float("inf")] * dim), (1050, []), (None, rows[3][1]), rows[7], (1051, rows[5][1][:-1])]
     return rows, spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>")
 
 
@@ -383,8 +383,8 @@ def vector_rows(spark, seed=2, n=400, dim=8):
 def test_top_products(spark, options):
     rows, frame = vector_rows(spark)
     x = np.floor(256 * np.array([v for _, v in rows], np.float32).astype(float)).astype(np.int64)
-    ids = [i for i, _ in rows] + [1003]
-    x = np.concatenate([x, np.zeros((1, x.shape[1]), np.int64)])
+    ids = [i for i, _ in rows] + [1003, 1051]
+    x = np.concatenate([x, np.zeros((1, x.shape[1]), np.int64), np.append(x[5][:-1], 0)[None]])  # filled with a zero
     want = []
     for k, i in enumerate(ids):
         if i % 50 == 0:
@@ -421,9 +421,9 @@ def brute_cosine(ids, x, least=0.95):
 def test_cosine_components(spark, block):
     rows, frame = vector_rows(spark)
     want = brute_cosine([i for i, _ in rows], np.array([v for _, v in rows], np.float32).astype(float))
-    want |= {i: (0, i, True) for i in (1000, 1001, 1002, 1003, 1004, 1050)}
+    want |= {i: (0, i, True) for i in (1000, 1001, 1002, 1003, 1004, 1050, 1051)}
     got = vectors.cosine_components(frame, block=block).collect()
-    assert len(got) == len(rows) + 8
+    assert len(got) == len(rows) + 9
     for r in got:
         assert tuple(r)[1:] == (want[r["vec_id"]] if r["vec_id"] is not None else (0, None, True)), r
     assert vectors.cosine_components(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
