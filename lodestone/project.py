@@ -51,6 +51,14 @@ class Project:
         by = lambda c: ids.select(F.col("file").alias(c), F.col("id").alias(f"{c}_id"))
         return ids, self.edges.join(by("src"), "src").join(by("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
 
+    def analysis(self) -> list[str]:
+        """The analysis panel: components by size, and the five highest betweenness scores."""
+        ids, edges = self.indexed()
+        edges, vertices = materialize(edges, "edges"), ids.select("id")
+        sizes = graph.size_histogram(graph.strongly_connected(edges, vertices)).collect()
+        top = graph.chokepoints(graph.betweenness(edges, vertices)).join(ids, "id").orderBy(F.desc("score"), "id").collect()
+        return [f"{r['count']} components of {r['size']}" for r in sizes] + [f"{r['file']}: {r['score']:.6f}" for r in top]
+
     def scene(self) -> tuple[DataFrame, DataFrame]:
         return render.scene(self.nodes, self.indexed()[0], self.edges)
 
@@ -76,7 +84,7 @@ def checked(path: str | None, out: str | None) -> tuple[str, str | None]:
             raise ValueError("Output filename cannot be empty")
         if "/" in out or "\\" in out:
             raise ValueError("Output filename cannot contain path separators")
-        if not out.endswith((".svg", ".png")):
+        if out != "gui" and not out.endswith((".svg", ".png")):
             raise ValueError("Unsupported output format")
     return os.path.realpath(path), out
 
@@ -87,15 +95,20 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("output", nargs="?")
     parser.add_argument("-v", "--verbose", action="store_true")
     parser.add_argument("--no-gitignore", action="store_true")
+    parser.add_argument("--version", action="version", version="lodestone 0.1")
     given = parser.parse_args(args)
     try:
         path, out = checked(given.path, given.output)
         spark = SparkSession.builder.appName("lodestone").getOrCreate()
         project = Project.scan(spark, path, given.no_gitignore)
-        if given.verbose or out is None:
+        panels = out in (None, "gui")  # no window is opened: its panels are printed
+        if given.verbose or panels:
             for r in project.summary().orderBy("file").toLocalIterator():
                 print(f"{r['file']}: {r['language']}, {r['loc']} lines, {r['functions']} functions, {r['containers']} containers, {r['imports']} imports, {r['dependencies']} dependencies")
-        if out:
+        if panels:
+            for line in project.analysis():
+                print(line)
+        else:
             project.export(out)
     except ValueError as error:
         print(f"Error: {error}", file=sys.stderr)

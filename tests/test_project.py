@@ -39,6 +39,18 @@ def test_cpp_tree_and_drawings(spark, tmp_path):
         p.export(str(tmp_path / "o.gif"))
 
 
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from lodestone.project import main
+
+    tree(tmp_path / "t", {"a.py": "import b\n", "b.py": "import a\n", "c.py": "import a\n"})
+    monkeypatch.chdir(tmp_path)
+    assert main([str(tmp_path / "t")]) == 0
+    said = capsys.readouterr().out
+    assert "a.py: Python, 2 lines" in said and "1 components of 2" in said and "a.py: 0.500000" in said
+    assert main([str(tmp_path / "t"), "o.svg", "-v"]) == 0 and (tmp_path / "o.svg").exists()
+    assert main([str(tmp_path / "none")]) == 1 and main([str(tmp_path / "t"), "o.gif"]) == 1
+
+
 def test_python_tree(spark, tmp_path):
     tree(tmp_path, {"main.py": "import utils\nimport api.routes\nimport os\n", "utils.py": "", "api/__init__.py": "", "api/routes.py": "from ..utils import x\nfrom . import y\n"})
     p = Project.scan(spark, str(tmp_path))
