@@ -166,21 +166,13 @@ def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, most: int
     sources = sources or vertices_of(edges)
     edges = materialize(edges.where("src <> dst").select("src", "dst"), "bfs-edges")
     frontier = materialize(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "bfs-0")
-    levels = [frontier]
+    out, seen = frontier, frontier.select("s", "v")
     for d in range(1, most):
         grown = frontier.join(edges, frontier["v"] == edges["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        for level in levels[-1:] if len(levels) < 2 else [seen]:
-            grown = grown.join(level.select("s", "v"), ["s", "v"], "left_anti")
-        frontier = materialize(grown.select("s", "v", F.lit(d).alias("d"), "sigma"), f"bfs-{d}")
+        frontier = materialize(grown.join(seen, ["s", "v"], "left_anti").select("s", "v", F.lit(d).alias("d"), "sigma"), f"bfs-{d}")
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-        seen = levels[0].unionByName(levels[1])
-        for level in levels[2:]:
-            seen = seen.unionByName(level)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+        out, seen = out.unionByName(frontier), seen.unionByName(frontier.select("s", "v"))
     return out
 
 

@@ -62,7 +62,8 @@ def every_file(root: str) -> list[str]:
 
 def decode_utf8(files: DataFrame) -> DataFrame:
     """Rows whose bytes are valid UTF-8, as text; the others go."""
-    return files.where(F.is_valid_utf8("content")).withColumn("content", F.decode("content", "UTF-8"))
+    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))  # decode fails on other bytes, wherever a filter is moved to
+    return files.withColumn("content", text).where("content IS NOT NULL")
 
 
 def scan(spark: SparkSession, root: str, no_gitignore: bool = False) -> tuple[DataFrame, DataFrame]:

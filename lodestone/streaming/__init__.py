@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extract import extract_facts
+from ..sources.files import decode_utf8
 
 
 def watch(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Facts of every file that comes to be below a folder, each file once; a stream to write or to join."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    text = found.where(F.is_valid_utf8("content")).select(F.regexp_replace("path", r"^[a-z]+:(?://[^/]*)?(?=/)", "").alias("path"), F.decode("content", "UTF-8").alias("content"))
-    return extract_facts(text)
+    return extract_facts(decode_utf8(found.select(F.regexp_replace("path", r"^[a-z]+:(?://[^/]*)?(?=/)", "").alias("path"), "content")))
