@@ -94,7 +94,7 @@ class LanguageModel:
             logits /= logits.sum(1, keepdims=True)
             logits *= real[:, None, :]
             np.add.at(total, [i for i, _ in some], logits.sum(0).T)
-        return total / np.maximum(1, [[len(t)] for t in texts])
+        return total / np.maximum(1, np.array([len(t) for t in texts], np.int64))[:, None]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.languages:

@@ -165,7 +165,7 @@ def compare_block(ids: list[int], labels: list[int], side: np.ndarray, sets: lis
     return out
 
 
-def components(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 3, miss: float = 1e-5, seed: int = 7, block: int = 2000) -> DataFrame:
+def components(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 3, miss: float = 1e-5, seed: int = 7, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     docs: doc_id, text; further columns are ignored.  Words are runs of other

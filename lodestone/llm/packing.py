@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .tokens import END_ID, default_path, encoder
 
+#: Parts of texts that a worker remembers, at some 200 bytes each; nothing else is large here.
+KEPT_PARTS = 1_200_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -79,7 +81,7 @@ def tokenized_pieces(docs: DataFrame, sequence: int, tokenizer: str, lead: bool
     """PIECES of every document: full windows first, then the rest, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, lead)
+        enc = encoder(tokenizer, lead, KEPT_PARTS)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 ids, texts = (batch.column(i).slice(a, 512).to_pylist() for i in range(2))

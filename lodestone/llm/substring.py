@@ -191,12 +191,12 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = GRAM, hot_pass
     release(rows, repeated)
     kinds = places.groupBy("a", "c").agg(F.count("*").alias("w"), F.min(F.struct("d", "k", "s", "n")).alias("at"))
     kinds = materialize(kinds.select("a", "c", "w", "at.d", "at.k", "at.s", "at.n"), "kinds")
-    hot = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot_passages).select("a", F.lit(True).alias("hot"))
+    hot = materialize(kinds.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot_passages).select("a", F.lit(True).alias("hot")), "hot-anchors")
     wanted = kinds.join(hot, "a", "left").groupBy("d", "k").agg(F.collect_list(F.struct("a", "c", "s", "n", "w", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
     texts = with_keys(docs.select("doc_id", "text")).select("d", "k", "text")
     words = materialize(fetch_words(texts.join(wanted.hint("shuffle_hash"), ["d", "k"])), "passage-words")
     shards = max(1, -(-kinds.count() // shard_passages))
-    release(kinds)
+    release(kinds, hot)
     shard = F.pmod(F.xxhash64("a", F.lit("shard")), F.lit(shards))
     cold = words.where(~F.col("hot")).withColumn("shard", shard).groupBy("shard").applyInArrow(lambda t: match_shard(t, window), "a bigint, c bigint, begins array<int>, ends array<int>")
     found = materialize(cold.unionByName(hot_windows(words.where("hot"), window)), "repeated-spans")
@@ -224,10 +224,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, **options) -> DataFrame:
     places of each other.  kept_text is the text as it was where nothing goes,
     else the kept words joined by one space (null stays null).
     """
-    names = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed", "kept_sha256")]
-    keyed = with_keys(docs.select(*names).withColumnsRenamed({"d": "_d", "k": "_k"}))
+    names = [c for c in docs.columns if c not in ("text", "kept_text", "n_words", "n_removed", "kept_sha256")]
+    rest = [f"_c{i}" for i in range(len(names))]  # columns that come along may have any names
+    plain = docs.select("doc_id", "text", *[F.col(c).alias(r) for c, r in zip(names, rest, strict=True)])
+    keyed = with_keys(plain).select("d", "k", *rest, "text")
     joined = keyed.join(repeated_spans(docs, window, **options).hint("shuffle_hash"), ["d", "k"], "left")
-    rest = [c for c in keyed.columns if c not in ("d", "k", "text")]
     out_schema = keyed.select(*rest, "text").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,5 +246,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, **options) -> DataFrame:
             cols = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=[*rest, "text", "n_words", "n_removed", "kept_sha256"])
 
-    out = joined.select(*rest, "text", "begins", "ends").mapInArrow(run, out_schema).withColumnRenamed("text", "kept_text")
-    return out.withColumnsRenamed({"_d": "d", "_k": "k"})
+    out = joined.select(*rest, "text", "begins", "ends").mapInArrow(run, out_schema)
+    return out.withColumnsRenamed(dict(zip(rest, names, strict=True)) | {"text": "kept_text"})

@@ -34,11 +34,12 @@ def default_path(name: str) -> str:
 class Encoder:
     """ids(text) -> bytes.  lead: the space before a part belongs to it (byte-level BPE)."""
 
-    def __init__(self, path: str, lead: bool):
+    def __init__(self, path: str, lead: bool, kept: int = KEPT_PARTS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kept = kept
         self.lead = " " if lead else ""
         #: The tokenizer lower-cases letter by letter, as str.lower does but for two letters.
         self.lower = not lead and self.library(["AbC\u00c9"]) == self.library(["abc\u00e9"])
@@ -76,7 +77,7 @@ class Encoder:
 
     def learn(self, wanted: set[str], of: int) -> dict[str, bytes]:
         """Ids of parts not known yet, ``of`` parts read; what is not found here has no plain start or is long."""
-        if len(self.known) >= KEPT_PARTS and 6 * len(wanted) > of:  # the texts have changed
+        if len(self.known) >= self.kept and 6 * len(wanted) > of:  # the texts have changed
             self.known.clear()
         known, ask, stemmed, rest = self.known, set(), [], []
         for p in wanted:
@@ -93,7 +94,7 @@ class Encoder:
                 rest.append((p, self.lead + p))
             elif self.lead and p[:1] == LINE and PRINTED(p[1:]):
                 rest.append((p, "\n" + p[1:]))
-        found = known if len(known) < KEPT_PARTS else {}
+        found = known if len(known) < self.kept else {}
         single = list(ask)
         found.update(zip(single, self.together(single), strict=True))
         if rest:
@@ -175,8 +176,8 @@ class Encoder:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, lead: bool) -> Encoder:
+def encoder(path: str, lead: bool, kept: int = KEPT_PARTS) -> Encoder:
     """One for each Python worker."""
     if (path, lead) not in _ENCODERS:
-        _ENCODERS[path, lead] = Encoder(path, lead)
+        _ENCODERS[path, lead] = Encoder(path, lead, kept)
     return _ENCODERS[path, lead]
