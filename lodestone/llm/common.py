@@ -80,6 +80,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def small(batches, rows: int = 512):
+    """Batches in slices, so that only a slice's texts are Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound."""
 

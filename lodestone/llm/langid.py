@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
 from .toxicity import fold
 
 SEGMENT, LANES = 160, 1024
@@ -243,7 +244,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in small(batches, 2048):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             got: list[tuple[str, float]] = []
             a = 0

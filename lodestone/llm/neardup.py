@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, connected_components, materialize, mix, relabel, release, word_hashes
+from .common import GOLDEN, connected_components, materialize, mix, relabel, release, small, word_hashes
 from .substring import with_keys
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, width: int, m: int, rows: int, seed: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = HalfKeys(m, rows, seed)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(2).to_pylist()
             a = 0
             while a < len(texts):
@@ -122,7 +122,7 @@ def confirm(rows: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leader = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in small(batches):
             cols = [batch.column(i).to_pylist() for i in range(5)]
             src, dst = [], []
             for xd, xk, salt, y, text in zip(*cols, strict=True):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, materialize, mix, release, word_hashes
+from .common import GOLDEN, materialize, mix, release, small, word_hashes
 from .fmindex import FMIndex, matched_intervals
 
 GRAM = 8
@@ -109,7 +109,7 @@ def find_passages(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     """Step 1: KEYED rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             d, k = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             texts = batch.column(2).to_pylist()
             a = 0
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, **options) -> DataFrame:
     out_schema = keyed.select(*rest, "text").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, begins, ends = (batch.column(batch.schema.get_field_index(f)) for f in ("text", "begins", "ends"))
             kept, n, gone, sha = [], [], [], []
             for t, b, e in zip(texts.to_pylist(), begins.to_pylist(), ends.to_pylist(), strict=True):

@@ -34,6 +34,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import crc_of_id, small
+
 RUN = 5  # bytes
 FRAME = (b"\x00" * 32 + b" ", b" " + b"\x00" * 16)
 LONGEST = 64  # bytes of a word in one window; longer words are cut
@@ -237,7 +239,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in small(batches):
             got = [m.score(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*rest, column])
 
@@ -246,8 +248,6 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", column: str
 
 def fold(of: int, doc_id: str | Column = "doc_id") -> Column:
     """Remainder of crc32 of the id as text; a null id counts as in no fold."""
-    from .common import crc_of_id
-
     return F.coalesce(F.pmod(crc_of_id(doc_id), F.lit(of)), F.lit(-1))
 
 
