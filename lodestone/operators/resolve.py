@@ -110,12 +110,14 @@ def resolve_imports(imports: DataFrame, inventory: DataFrame, rust_files: DataFr
     compat: local Python imports are looked up from the root, without their dots.
     """
     modules = module_map(rust_files, root)
-    known = imports.join(modules, "file", "left") if "module" not in imports.columns else imports
     written = F.when(F.lit(compat) & (F.col("language") == "Python"), F.col("path")).otherwise(F.col("raw"))
-    keys = F.lit(None).cast("array<string>")
+    wanted = None
     for language, make in RESOLVERS.items():
-        keys = F.when(F.col("language") == language, make(written, F.col("file"), root, F.col("module"))).otherwise(keys)
-    return first_match(known.select("file", "language", "raw", keys.alias("keys")), lookup_table(inventory, modules), ["file", "language", "raw"])
+        own = imports.where(F.col("language") == language)
+        own = own.join(modules, "file", "left") if language == "Rust" else own.withColumn("module", F.lit(None).cast("string"))
+        keyed = own.select("file", "language", "raw", make(written, F.col("file"), root, F.col("module")).alias("keys"))
+        wanted = keyed if wanted is None else wanted.unionByName(keyed)
+    return first_match(wanted, lookup_table(inventory, modules), ["file", "language", "raw"])
 
 
 def dependency_edges(facts: DataFrame, imports: DataFrame, inventory: DataFrame, nodes: DataFrame, root: Column, compat: bool = False) -> DataFrame:

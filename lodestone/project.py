@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.languages import language_of
 from .operators import extract, graph, render, reports, resolve
 from .sources import files as sources
 from .sources.shared import materialize
@@ -30,9 +31,10 @@ class Project:
     def build(cls, files: DataFrame, inventory: DataFrame, root: str, compat: bool = False, macro_includes: bool = False) -> Project:
         """From files(path, root, content) and inventory(path, is_node)."""
         facts = materialize(extract.extract_facts(files, macro_includes), "facts")  # texts are read once
-        imports = extract.imports_of(facts, inventory)
+        imports = materialize(extract.imports_of(facts, inventory), "imports")
         nodes = extract.nodes(files, inventory, facts)
-        edges = resolve.dependency_edges(facts, imports, inventory, nodes.select("file", "language"), F.lit(root), compat)
+        known = files.select(F.col("path").alias("file"), language_of(F.col("path")).alias("language"))
+        edges = resolve.dependency_edges(facts, imports, inventory, known, F.lit(root), compat)
         return cls(root, inventory, facts, imports, nodes, edges)
 
     @classmethod
