@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, shuffle_partitions
+from .common import connected_components, materialize, mix, shuffle_partitions
 
 #: Rows of a table that is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 100_000
@@ -232,25 +232,27 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
 
 # --- Sorted projection passes ---------------------------------------------------------------------
 
+#: Rows from which the crowding of prefixes is estimated; it decides costs, never results.
+MEASURED_ROWS = 20_000
+MOST_SIGNS = 48
 
-def passes_needed(rows: int, window: int, cosine: float, miss: float) -> int:
-    """Passes after which a pair at the threshold was within the window once, but for a chance of ``miss``.
 
-    A sign agrees with chance 1 - angle / pi; to come within the window a pair
-    has to agree in about log2(rows / window) signs, and in three more since
-    vectors lie unevenly.
+def passes_needed(signs: int, cosine: float, miss: float) -> int:
+    """Passes after which a pair at the threshold agreed in all ``signs`` signs once, but for a chance of ``miss``.
+
+    A sign agrees with chance 1 - angle / pi, however the vectors lie, and the
+    signs are independent of each other.
     """
-    signs = max(0.0, math.log2(max(1, rows) / window)) + 3
     near = (1 - math.acos(cosine) / math.pi) ** signs
-    return max(4, math.ceil(math.log(miss) / math.log(1 - near)))
+    return 1 if near >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-near)))
 
 
-def sign_keys(x: np.ndarray, passes: int, seed: int) -> np.ndarray:
-    """rows x passes: 63 signs of random projections, the first as the highest bit."""
+def sign_keys(x: np.ndarray, signs: int, passes: int, seed: int) -> np.ndarray:
+    """rows x passes: signs of random projections, the first as the highest bit."""
     out = np.zeros((len(x), passes), np.int64)
-    for p in range(passes):
-        planes = np.random.default_rng((seed, p)).standard_normal((x.shape[1], 63))
-        out[:, p] = ((x @ planes) > 0).astype(np.int64) @ (np.int64(1) << np.arange(62, -1, -1, dtype=np.int64))
+    for p in range(passes if signs else 0):
+        planes = np.random.default_rng((seed, p)).standard_normal((x.shape[1], signs))
+        out[:, p] = ((x @ planes) > 0).astype(np.int64) @ (np.int64(1) << np.arange(signs - 1, -1, -1, dtype=np.int64))
     return out
 
 
@@ -275,51 +277,132 @@ def spanning(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return ids[root[keep]], ids[keep]
 
 
-def projection_links(vectors: DataFrame, rows: int, cosine: float, window: int, passes: int, seed: int) -> DataFrame:
+def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Vectors of one length only meet each other.  Batches: id, embedding."""
+    for batch in batches:
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        for size in np.unique(sizes) if batch.num_rows else ():
+            yield int(size), batch.take(pa.array(np.flatnonzero(sizes == size)))
+
+
+def sampled_keys(vectors: DataFrame, rows: int, signs: int, passes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and keys of at most about MEASURED_ROWS vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for size, some in by_length(batches):
+            k = sign_keys(unit(matrix(some.column(1))), signs, passes, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size, np.int64)), pa.array(list(k), pa.list_(pa.int64()))], names=["size", "keys"])
+
+    one_of = max(1, -(-rows // MEASURED_ROWS))
+    some = vectors.where(F.pmod(F.xxhash64("id", F.lit("crowding")), F.lit(one_of)) == 0).mapInArrow(run, "size bigint, keys array<bigint>").toArrow()
+    return some.column("size").to_numpy(), some.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, passes)
+
+
+def signs_for(sizes: np.ndarray, keys: np.ndarray, rows: int, cosine: float, miss: float, room: int, carry: int) -> int:
+    """Signs with the least work over all passes, as the sampled keys (of MOST_SIGNS signs) tell how prefixes are crowded."""
+    work = []
+    for signs in range(MOST_SIGNS + 1):
+        each = []
+        for k in keys.T:
+            n = np.unique(np.stack([sizes, k >> (MOST_SIGNS - signs)]), axis=1, return_counts=True)[1].astype(float)
+            scale = rows / max(1, len(sizes))
+            each.append((n * (carry * np.maximum(1, np.ceil(n * scale / room)) + (n - 1) * scale)).sum() / max(1, len(sizes)))
+        work.append(passes_needed(signs, cosine, miss) * np.mean(each))
+    return int(np.argmin(work))
+
+
+def crowded(sizes: np.ndarray, keys: np.ndarray, rows: int, room: int) -> dict[tuple[int, int, int], int]:
+    """Of each (length, pass, key) that holds more than ``room`` rows, as the sample tells: into how many parts its rows go."""
+    out, scale = {}, rows / max(1, len(sizes))
+    for p, k in enumerate(keys.T):
+        groups, n = np.unique(np.stack([sizes, k]), axis=1, return_counts=True)
+        for g in np.flatnonzero((n >= 8) & (n * scale > room)):
+            out[int(groups[0, g]), p, int(groups[1, g])] = math.ceil(n[g] * scale / room)
+    return out
+
+
+def group_links(ids: np.ndarray, own: np.ndarray, x: np.ndarray, cosine: float, crossing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all rows that links of the group connect; ``crossing``: only links between different parts count.
+
+    Rows known to be connected are not compared again.
+    """
+    src = dst = np.zeros(0, np.int64)
+    root, place = np.arange(len(ids)), np.arange(len(ids))
+    for a in range(0, len(ids), 256):
+        some = place[a : a + 256]
+        rest = place[a:]
+        if (root[some] == root[a]).all():
+            rest = rest[root[rest] != root[a]]
+        if not len(rest):
+            continue
+        near = x[some] @ x[rest].T >= cosine
+        if crossing:
+            near &= own[some][:, None] != own[rest]
+        i, j = np.nonzero(near)
+        i, j = some[i], rest[j]
+        new = root[i] != root[j]
+        if new.any():
+            src, dst = spanning(place, np.concatenate([src, i[new]]), np.concatenate([dst, j[new]]))
+            root = place.copy()
+            root[dst] = src
+    return ids[src], ids[dst]
+
+
+def projection_links(vectors: DataFrame, rows: int, cosine: float, miss: float, seed: int, room: int, carry: int) -> DataFrame:
     """(src, dst): verified links that connect what the passes found.  vectors: id, embedding."""
+    signs = signs_for(*sampled_keys(vectors, rows, MOST_SIGNS, 3, seed + 1), rows, cosine, miss, room, carry)
+    passes = passes_needed(signs, cosine, miss)
+    parts_of = crowded(*sampled_keys(vectors, rows, signs, passes, seed), rows, room)
+    names = ["pass", "key", "pair", "own", "id", "embedding"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            for size in np.unique(sizes):  # vectors of one length only meet each other
-                some = batch.take(pa.array(np.flatnonzero(sizes == size)))
-                k = sign_keys(unit(matrix(some.column(1))), passes, seed)
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size * passes + p, np.int64)), pa.array(k[:, p]), some.column(0), some.column(1)], names=["pass", "key", "id", "embedding"])
+        for size, some in by_length(batches):
+            ids = some.column(0).to_numpy()
+            k = sign_keys(unit(matrix(some.column(1))), signs, passes, seed)
+            spread = mix(ids.astype(np.uint64)) >> np.uint64(1)
+            for p in range(passes):
+                parts = np.array([parts_of.get((size, p, v), 1) for v in k[:, p].tolist()], np.int64)
+                own = (spread % parts.astype(np.uint64)).astype(np.int64)
+                at = np.repeat(np.arange(len(ids)), parts)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+                pair = np.minimum(own[at], other) * parts[at] + np.maximum(own[at], other)
+                for a in range(0, len(at), 10_000):
+                    t = at[a : a + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), size * passes + p, np.int64)), pa.array(k[t, p]), pa.array(pair[a : a + 10_000]), pa.array(own[t]), pa.array(ids[t]), some.column(1).take(pa.array(t))], names=names)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_pass, held_ids, held = None, np.zeros(0, np.int64), np.zeros((0, 1))
+        held_group, held = None, []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            ids, own, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            src, dst = group_links(ids, own, x, cosine, (own != own[0]).any())
+            if len(src):
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
         for batch in batches:
-            number, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            every = unit(matrix(batch.column(2))) if batch.num_rows else np.zeros((0, 1))
-            cuts = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1, [len(number)]])
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
+            own, ids = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            every = unit(matrix(batch.column(5)))
+            cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(group)]])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                x = every[:, : number[a] // passes]
-                if number[a] != held_pass:
-                    held_pass, held_ids, held = number[a], np.zeros(0, np.int64), np.zeros((0, x.shape[1]))
-                for at in range(a, b, 2 * window):
-                    end = min(b, at + 2 * window)
-                    own_ids, own = np.concatenate([held_ids, ids[at:end]]), np.concatenate([held, x[at:end]])
-                    cos = own @ own[len(held) :].T
-                    i, j = np.nonzero(cos >= cosine)
-                    j = j + len(held)
-                    near = (i < j) & (j - i <= window)
-                    if near.any():
-                        src, dst = spanning(own_ids, i[near], j[near])
-                        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
-                    held_ids, held = own_ids[-window:], own[-window:]
-
-    parts = max(shuffle_partitions(vectors.sparkSession), -(-rows * passes // 200_000))
+                if held and tuple(group[a]) != held_group:
+                    yield from links()
+                    held = []
+                held_group = tuple(group[a])
+                held.append((ids[a:b], own[a:b], every[a:b, : group[a, 0] // passes]))
+        if held:
+            yield from links()
+
+    tasks = max(shuffle_partitions(vectors.sparkSession), -(-rows * passes // 200_000))
     kind = vectors.schema["embedding"].dataType.simpleString()
-    dealt = vectors.mapInArrow(keys, f"pass bigint, key bigint, id bigint, embedding {kind}").repartitionByRange(parts, "pass", "key").sortWithinPartitions("pass", "key", "id")
-    return dealt.select("pass", "id", "embedding").mapInArrow(sweep, "src bigint, dst bigint").distinct()
+    # A group is within one task, so that no border parts it.
+    dealt = vectors.mapInArrow(keys, f"pass bigint, key bigint, pair bigint, own bigint, id bigint, embedding {kind}").repartition(tasks, "pass", "key", "pair").sortWithinPartitions("pass", "key", "pair", "id")
+    return dealt.mapInArrow(sweep, "src bigint, dst bigint").distinct()
 
 
-def cosine_components(vectors: DataFrame, cosine: float = 0.95, window: int = 128, miss: float = 1e-4, seed: int = 3, block: int = 1024) -> DataFrame:
+def cosine_components(vectors: DataFrame, cosine: float = 0.95, miss: float = 1e-4, seed: int = 3, block: int = 1024, carry: int = 1000) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors.
 
     vectors: vec_id, embedding (further columns are ignored).  Vectors that are
@@ -329,11 +412,15 @@ def cosine_components(vectors: DataFrame, cosine: float = 0.95, window: int = 12
     vec_id belong together and are no links of each other.  A row without vec_id
     keeps to itself (component_id null, kept true).
 
-    The passes sort all vectors by the signs of random projections and compare
-    each with its next ``window`` neighbours; their number follows from the rows
-    and ``miss``.  Links found join vectors into components; links within a
-    component, also those that no window held, are then counted exactly, in
-    blocks of ``block`` vectors, so that a component of any size is many tasks.
+    A pass sorts all vectors by the signs of random projections and compares all
+    that agree in every sign, however many they are; a crowded prefix is compared
+    in parts of about ``4 * block`` rows.  The number of passes follows from that
+    of the signs and ``miss`` alone, so the chance to miss a pair is the same
+    wherever it lies.  How many signs make the least work is measured on a sample
+    (``carry``: the comparisons that taking a row through a pass is worth).  Links
+    found join vectors into components; links within a component, also those
+    that no pass held, are then counted exactly, in blocks of ``block`` vectors, so
+    that a component of any size is many tasks.
     """
     fit = usable("embedding") & F.exists("embedding", lambda x: x != 0)
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
@@ -343,8 +430,7 @@ def cosine_components(vectors: DataFrame, cosine: float = 0.95, window: int = 12
     valid = rows.where("embedding IS NOT NULL AND id IS NOT NULL")
     classes = materialize(valid.groupBy("same", "embedding").agg(F.min("id").alias("id"), F.count_distinct(F.col("id")).alias("copies")), "vector-classes")
     n = classes.count()
-    passes = passes_needed(n, window, cosine, miss)
-    links = projection_links(classes.select("id", "embedding"), n, cosine, window, passes, seed)
+    links = projection_links(classes.select("id", "embedding"), n, cosine, miss, seed, 4 * block, carry)
     comp = connected_components(links, tag="vectors")
     members = materialize(classes.join(comp, "id"), "vector-members")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -429,6 +430,35 @@ def test_cosine_components(spark, block):
     assert vectors.cosine_components(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def cone_rows(n=24_000, dim=64, pairs=300, seed=5):
+    """A third of the rows in one cone (cosine about 0.9 with each other), in it pairs at cosine 0.955."""
+    rng = np.random.default_rng(seed)
+    level = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = level(rng.normal(size=(n, dim)))
+    axis = x[0]
+    side = rng.normal(size=(n // 3, dim))
+    side = level(side - (side @ axis)[:, None] * axis)
+    x[: n // 3] = np.sqrt(0.9) * axis + np.sqrt(0.1) * side
+    a = x[:pairs]
+    across = rng.normal(size=a.shape)
+    across = level(across - (across * a).sum(1)[:, None] * a)
+    x[n // 3 - pairs : n // 3] = 0.955 * a + np.sqrt(1 - 0.955**2) * across
+    return x[rng.permutation(n)].astype(np.float32)
+
+
+@pytest.mark.parametrize("options", [{}, {"carry": 10}])
+def test_cosine_components_of_crowded_rows(spark, options):
+    x = cone_rows()
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    u = vectors.unit(x.astype(float))
+    links = np.zeros(len(x), int)
+    for a in range(0, len(x), 2000):
+        links[a : a + 2000] = (u[a : a + 2000] @ u.T >= 0.95).sum(1) - 1
+    assert links.sum() >= 600
+    got = {r["vec_id"]: r["n_links"] for r in vectors.cosine_components(frame, **options).collect()}
+    assert [got[i] for i in range(len(x))] == links.tolist()
+
+
 # --- 8 token tables -------------------------------------------------------------------------------
 
 
