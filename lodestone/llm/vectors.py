@@ -80,7 +80,7 @@ class Cells:
         return cell, np.sqrt(((x - self.pivots[cell]) ** 2).sum(1))
 
     def bounds(self, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each query: a score that k rows reach at least; for each cell a score that no row of it passes."""
+        """Of each query: a score that rows of k ids reach at least; for each cell a score that no row of it passes."""
         reach = products(q, self.rows).astype(float)
         reach[ids[:, None] == self.ids] = -np.inf
         at_least = np.full(len(q), -np.inf)
@@ -102,7 +102,8 @@ def summarize(data: DataFrame, cells: Cells, kept: int) -> None:
         out = []
         for c in np.unique(cell):
             own = np.flatnonzero(cell == c)
-            pick = own[np.lexsort((ids[own], far[own]))[:kept]]
+            pick = own[np.lexsort((ids[own], far[own]))]
+            pick = pick[np.sort(np.unique(ids[pick], return_index=True)[1])[:kept]]  # an id once
             out.append(table(cell[pick], ids[pick], far[pick], x[pick], np.full(len(pick), radius[own].max())))
         return pa.concat_tables(out)
 
@@ -125,6 +126,7 @@ def summarize(data: DataFrame, cells: Cells, kept: int) -> None:
     rows.sort(key=lambda r: (r["cell"], r["far"], r["id"]))
     for r in rows:
         cells.radius[r["cell"]] = r["radius"]
+    rows = list({r["id"]: r for r in reversed(rows)}.values())  # k rows of the summary are k ids, as in the answer
     if rows:
         cells.rows, cells.ids = np.array([r["v"] for r in rows]), np.array([r["id"] for r in rows])
 
@@ -139,8 +141,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
     repeated row counts once.
 
     Data and queries are put in the cells of a few dozen pivots.  From a summary
-    (each cell's radius and a few of its rows) every query gets a score that k
-    rows reach, and each cell one that none of its rows passes.  Query cells are
+    (each cell's radius and a few of its rows, an id once) every query gets a score
+    that k ids reach, and each cell one that none of its rows passes.  Query cells are
     gathered into groups of bounded size; a cell's rows go to the groups that
     may need them, dealt into slices of bounded size, and each group and slice is
     solved by itself, its cells in order of promise.

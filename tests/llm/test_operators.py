@@ -401,6 +401,16 @@ def test_top_products_few_rows(spark):
     assert [tuple(r) for r in vectors.top_products(two, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 7, 65536)]
 
 
+@pytest.mark.parametrize("times", [2, 6])
+@pytest.mark.parametrize("n", [20, 400])
+def test_top_products_repeated_rows(spark, times, n):
+    rows, _ = vector_rows(spark, n=n) if n > 92 else ([(i, [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(6).normal(size=(n, 8)).astype(np.float32))], None)
+    once = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    often = spark.createDataFrame(rows * times, "vec_id bigint, embedding array<float>")
+    want, got = (sorted(map(tuple, vectors.top_products(f, F.col("vec_id") % 10 == 0).collect())) for f in (once, often))
+    assert got == want and len(got) == 5 * len([i for i, _ in rows if i % 10 == 0])
+
+
 def brute_cosine(ids, x, least=0.95):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= least
