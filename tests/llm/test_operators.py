@@ -469,6 +469,22 @@ def test_cosine_components_of_crowded_rows(spark, options):
     assert [got[i] for i in range(len(x))] == links.tolist()
 
 
+def test_cosine_components_in_many_partitions(spark):
+    rng = np.random.default_rng(11)
+    a, across = rng.normal(size=(2, 125, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    across -= (across * a).sum(1)[:, None] * a
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.concatenate([a, 0.951 * a + np.sqrt(1 - 0.951**2) * across]))]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        got = {r["vec_id"]: tuple(r)[1:] for r in vectors.cosine_components(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), carry=10).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == {i: (1, i % 125, i < 125) for i in range(250)}
+
+
 # --- 8 token tables -------------------------------------------------------------------------------
 
 
