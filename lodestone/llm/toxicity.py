@@ -16,9 +16,9 @@ trained on those of their words that hold a run of bytes which toxic documents
 have often and ordinary ones hardly ever; the ordinary dictionary is trained on
 all words of ordinary documents, then again with the words it did worst on.
 
-Training takes a bounded sample of labelled rows (``sample`` of each class,
-``sample_chars`` characters of each text) to the driver; scoring reads every
-whole text, and each distinct word is compressed once in a worker.
+Training takes a bounded sample of labelled rows, with whole texts (``sample`` of
+each class, fewer where texts have more than ``sample_chars`` characters on
+average), to the driver; scoring reads every whole text, and each distinct word is compressed once in a worker.
 """
 
 from __future__ import annotations
@@ -214,16 +214,24 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_chars: int = 6000, seed: int = 0) -> ToxicityModel:
     """docs: doc_id, text; labels: doc_id, toxic.  At most ``sample`` rows of each class, the first by a hash of the id.
 
-    Ids are chosen without the texts; only the chosen ones' texts are fetched.
-    Rows of the held-out fold are left out.
+    Texts are taken whole; of each class the rows end where they would pass
+    ``sample * sample_chars`` characters, but one is always taken.  Ids are chosen
+    without the texts; only the chosen ones' texts are fetched.  Rows of the
+    held-out fold are left out.
     """
+    spark = docs.sparkSession
     known = training_ids(labels).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     rows = []
     for value in (0, 1):
-        some = known.where(F.col("toxic") == value).orderBy("h", "doc_id").limit(sample).select("doc_id", "toxic")
+        some = known.where(F.col("toxic") == value).orderBy("h", "doc_id").limit(sample)
         # At most ``sample`` ids.
-        chosen = docs.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).join(F.broadcast(some), "doc_id")
-        rows += chosen.dropDuplicates(["doc_id"]).collect()
+        lengths = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).join(F.broadcast(some), "doc_id").groupBy("h", "doc_id").agg(F.max("n").alias("n")).collect()
+        lengths.sort(key=lambda r: (r["h"], r["doc_id"]))
+        fit_in = np.cumsum([r["n"] for r in lengths]) <= sample * sample_chars
+        ids = [(r["doc_id"], value) for k, r in enumerate(lengths) if fit_in[k] or not k]
+        if ids:
+            wanted = spark.createDataFrame(ids, docs.select("doc_id").schema.add("toxic", "integer"))
+            rows += docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"]).collect()  # the chosen ones' texts
     rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] or "" for r in rows], [r["toxic"] for r in rows], seed)
 

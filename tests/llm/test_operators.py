@@ -116,6 +116,30 @@ def test_toxicity_query(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in got.itertuples())
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """Toxic words stand behind the first 6,000 characters only."""
+    texts, labels = toxic_corpus()
+    rng = random.Random(1)
+    ordinary = [w for t, y in zip(texts, labels, strict=True) if not y for w in t.split()]
+    texts = [" ".join(rng.choices(ordinary, k=1500)) + " " + t for t in texts]
+    assert min(map(len, texts)) > 6000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, rows)
+    held = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((model.score(texts[i]) >= 0.7) == bool(labels[i]) for i in held) >= 0.97 * len(held)
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, seed: taken.extend(zip(texts, toxic, strict=True)))
+    docs = [(i, "word " * (100 if i % 3 else 1000)) for i in range(200)]
+    toxicity.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id bigint, toxic int"), sample=20, sample_chars=500)
+    for y in (0, 1):
+        own = [t for t, toxic in taken if toxic == y]
+        assert own and set(own) <= {t for _, t in docs} and sum(map(len, own)) <= 20 * 500
+
+
 # --- 2 html ---------------------------------------------------------------------------------------
 
 
