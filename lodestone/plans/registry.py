@@ -264,6 +264,12 @@ def bfs_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(edges, graph.vertices_of(edges).orderBy("id").limit(5))
 
 
+@query("bfs_sigma_all", BFS + " SELECT s, v, d::INT AS d, sig AS sigma FROM sp")
+def bfs_sigma_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths from every id."""
+    return graph.shortest_paths(fam.materialize(fam.handoff_edges(spark, sf_dir), "handoff"))
+
+
 @query("betweenness", BC + " SELECT id, round(score, 6) AS score FROM bb")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.betweenness(fam.materialize(fam.handoff_edges(spark, sf_dir), "handoff")).select("id", F.round("score", 6).alias("score"))
