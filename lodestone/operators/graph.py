@@ -7,6 +7,7 @@ to fit are worked on in one task or with a broadcast adjacency; beyond
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,21 +159,27 @@ def components_by_size(scc: DataFrame) -> DataFrame:
     return each.groupBy(F.size("members").cast("bigint").alias("size")).agg(F.array_sort(F.collect_list("members")).alias("components"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, most: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(s, v, d, sigma): distance and number of shortest paths from each source; a level for each round.
 
-    Parallel edges count each, self loops never lie on a shortest path.
+    Parallel edges count each, self loops never lie on a shortest path.  ``most``
+    bounds the rounds: where they do not suffice, this raises.
     """
     sources = sources or vertices_of(edges)
     edges = materialize(edges.where("src <> dst").select("src", "dst"), "bfs-edges")
     frontier = materialize(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "bfs-0")
     out, seen = frontier, frontier.select("s", "v")
-    for d in range(1, most):
+    for d in itertools.count(1):
+        if most is not None and d > most:
+            raise RuntimeError(f"paths are longer than {most - 1} edges")
         grown = frontier.join(edges, frontier["v"] == edges["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
         frontier = materialize(grown.join(seen, ["s", "v"], "left_anti").select("s", "v", F.lit(d).alias("d"), "sigma"), f"bfs-{d}")
         if frontier.isEmpty():
             break
         out, seen = out.unionByName(frontier), seen.unionByName(frontier.select("s", "v"))
+        if d % 50 == 0:  # plans stay short, however many levels
+            out = materialize(out, f"bfs-to-{d}")
+            seen = out.select("s", "v")
     return out
 
 

@@ -196,3 +196,11 @@ def test_streaming_facts(spark, tmp_path):
         assert {(r["kind"], r["name"]) for r in spark.table("facts").collect()} == {("import", "os"), ("import_local", "d.h")}
     finally:
         q.stop()
+
+
+def test_shortest_paths_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(53)], "src bigint, dst bigint")
+    start = spark.createDataFrame([(0,)], "id bigint")
+    assert {r["v"]: (r["d"], r["sigma"]) for r in graph.shortest_paths(chain, start).collect()} == {i: (i, 1.0) for i in range(54)}
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(chain, start, most=5)
