@@ -249,14 +249,13 @@ LAYOUTS = {"circular": circular, "layered": layered}
 def hit_test(points: DataFrame, nodes: DataFrame, reach: float = 40.0) -> DataFrame:
     """(point, id): the smallest id whose circle holds the point.  points(point, x, y), nodes(id, x, y, radius).
 
-    Both are put on a grid of cells as wide as the largest radius; a node meets
-    the points of its own and the eight cells around.
+    Both are put on a grid of cells ``reach`` wide; a node meets the points of
+    every cell that its circle's square touches.
     """
-    cell = lambda c: F.floor(F.col(c) / reach).cast("bigint")
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    cell = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / reach).cast("bigint")
+    touched = lambda c: F.explode(F.sequence(cell(F.col(c) - 1.001 * F.col("radius")), cell(F.col(c) + 1.001 * F.col("radius"))))
     p = points.select("point", F.col("x").alias("px"), F.col("y").alias("py"), cell("x").alias("i"), cell("y").alias("j"))
-    n = nodes.select("id", F.col("x").alias("nx"), F.col("y").alias("ny"), "radius", cell("x").alias("ci"), cell("y").alias("cj"))
-    n = n.withColumn("di", F.explode(near)).withColumn("dj", F.explode(near)).withColumns({"i": F.col("ci") + F.col("di"), "j": F.col("cj") + F.col("dj")})
+    n = nodes.where("radius > 0").select("id", F.col("x").alias("nx"), F.col("y").alias("ny"), "radius", touched("x").alias("i"), "y").withColumn("j", touched("y"))
     dx, dy = F.col("px") - F.col("nx"), F.col("py") - F.col("ny")
     return p.join(n, ["i", "j"]).where(F.sqrt(dx * dx + dy * dy) < F.col("radius")).groupBy("point").agg(F.min("id").alias("id"))
 

@@ -198,6 +198,13 @@ def test_streaming_facts(spark, tmp_path):
         q.stop()
 
 
+def test_hit_test_of_wide_circles(spark):
+    nodes = spark.createDataFrame([(1, 39.0, 39.0, 56.0), (2, 500.0, 500.0, 130.0), (3, 501.0, 500.0, 1.0)], "id bigint, x double, y double, radius double")
+    points = [(1, 81.0, 39.0), (2, 39.0, -2.0), (3, 94.9, 39.0), (4, 95.1, 39.0), (5, 500.0, 629.0), (6, 501.0, 500.5), (7, 408.5, 408.5)]
+    got = layout.hit_test(spark.createDataFrame(points, "point bigint, x double, y double"), nodes).collect()
+    assert {r["point"]: r["id"] for r in got} == {1: 1, 2: 1, 3: 1, 5: 2, 6: 2, 7: 2}
+
+
 def test_shortest_paths_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(53)], "src bigint, dst bigint")
     start = spark.createDataFrame([(0,)], "id bigint")
