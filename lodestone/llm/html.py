@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 from .common import word_hashes
 
 # Element names of the HTML standard by their role here.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source svg path use input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source svg path use input object param math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option".split())
+RAW = frozenset("script style noscript template textarea title iframe svg option".split())
+#: Without an end tag these reach to the end of the page.
+TO_THE_END = frozenset("script style textarea title iframe".split())
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -56,6 +58,8 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     now: Block | None = None
     raw_until, at = "", 0
+    foreign = False
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal now
@@ -89,10 +93,16 @@ def blocks_of(page: str) -> list[Block]:
 
     for m in TAG.finditer(page):
         if raw_until:
-            if not (m[1] and m[2] and m[2].lower() == raw_until):
+            name = (m[2] or "").lower()
+            if m[1] and name == raw_until:
+                raw_until, at = "", m.end()
                 continue
-            raw_until, at = "", m.end()
-            continue
+            if name == "foreignobject":
+                foreign = not m[1] and "svg" not in unclosed
+            # An option ends at the next one or its parent's end; HTML's own blocks end a drawing.
+            if not (raw_until == "option" and name and name not in INLINE or raw_until == "svg" and not foreign and (name in P_ENDS or name in SIBLINGS)):
+                continue
+            raw_until, at = "", m.start()
         text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
@@ -107,11 +117,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in RAW:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
-                if end is None:
+                if name not in unclosed and re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at) is None:
+                    unclosed.add(name)
+                if name in unclosed and name in TO_THE_END:
                     at = len(page)
                     break
-                raw_until = name
+                if name not in unclosed or name in ("option", "svg"):
+                    raw_until, foreign = name, False
             if name not in INLINE:
                 flush()
             continue

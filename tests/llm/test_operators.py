@@ -150,6 +150,20 @@ def test_blocks():
         html.blocks_of(odd)
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<form><datalist><option value=a><option value=b></datalist></form><article><p>one</p></article>", ["one"]),
+    ("<form><datalist><option>a<option>b</datalist></form><p>one</p><select><option>c</option></select><p>two", ["one", "two"]),
+    ("<select><option>a<option>b</select><p>one<select><optgroup><option>c</form><p>two", ["one", "two"]),
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b <object data=o><param name=n>fallback</object> c</p>", ["a x=2 b fallback c"]),
+    ("<object><p>one</p><math><mi>x<p>two", ["one", "x", "two"]),
+    ("<svg><path><p>one</p><svg><text>t</text></svg><p>two</p><svg><foreignObject><p>no</p></foreignObject></svg>three", ["one", "two", "three"]),
+    ("<noscript><p>one</p><template><p>two</p>", ["one", "two"]),
+    ("<p>one</p><script>var a = '<p>no</p>';<p>no</p>", ["one"]),
+])
+def test_blocks_after_elements_without_end(page, want):
+    assert [b.text for b in html.blocks_of(page)] == want
+
+
 def test_labeller(spark):
     model = html.fit(None, made_up=400, steps=120)
     rng, right, total = random.Random(99), 0, 0
