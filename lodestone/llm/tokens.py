@@ -181,3 +181,9 @@ def encoder(path: str, lead: bool, kept: int = KEPT_PARTS) -> Encoder:
     if (path, lead) not in _ENCODERS:
         _ENCODERS[path, lead] = Encoder(path, lead, kept)
     return _ENCODERS[path, lead]
+
+
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()

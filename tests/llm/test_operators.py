@@ -526,22 +526,51 @@ def test_cosine_components_in_many_partitions(spark):
 # --- 8 token tables -------------------------------------------------------------------------------
 
 
-def test_table_file():
+def test_table_file(monkeypatch):
     rng = np.random.default_rng(1)
-    w, parts, rows = sstable.Writer(2), [], []
+    w, parts, rows = sstable.Writer(2, 3), [], []
     for doc in [None, None, -5, -5, *range(0, 4000, 3)]:
-        ids = rng.integers(0, 60_000, rng.integers(1, 200)).astype("<u4").tobytes()
-        rows.append((doc, ids))
+        ids = rng.integers(0, 60_000, rng.integers(1, 200)).astype("<u2").tobytes()
+        if doc == 3:
+            ids = sstable.MARK * 3  # the mark itself, as ids
+        rows.append((doc, np.frombuffer(ids, "<u2").astype("<u4").tobytes()))
         parts += list(w.add(doc, ids))
-    data = b"".join(p + b"\n" for p in [*parts, *w.finish()])
-    r = sstable.Reader(data)
+    parts += list(w.finish())
+    data = b"".join(p + sstable.MARK for p in parts)
+    assert data.split(sstable.MARK) == [*parts, b""]
+    r = sstable.Table.of(data)
     assert list(r.scan()) == rows and len(r.blocks) > 3
-    for doc in (None, -5, 0, 2997, 3999):
-        assert r.get(doc) == [v for d, v in rows if d == doc]
-    assert r.get(1) == [] and r.get(10**9) == []
-    for broken in (data[:-5], data[:-66] + b"\n", b""):
+    for doc in (None, -5, 0, 3, 2997, 3999):
+        assert r.get(sstable.key_of(doc)) == [v for d, v in rows if d == doc]
+    assert r.get(sstable.key_of(1)) == [] and r.get(sstable.key_of(10**9)) == []
+    for broken in (data[:-5], data[: -64 - 16 - 2] + sstable.MARK, b""):
         with pytest.raises(ValueError):
-            sstable.Reader(broken)
+            sstable.Table.of(broken)
+    with pytest.raises(ValueError):
+        list(sstable.entries(parts[0][:-1] + b"?"))
+
+
+def test_table_folder(spark, tmp_path):
+    """Files of few documents; a hot id fills several; lookups and both kinds of reading agree."""
+    rng = random.Random(3)
+    rows = [(7 if i % 3 == 0 else i, " ".join(rng.choice("abc de fgh ij".split()) for _ in range(rng.randint(0, 60)))) for i in range(600)] + [(None, "none"), (-4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    folder = str(tmp_path / "tables")
+    sstable.write_tables(docs, folder, shard_bytes=2000)
+    e = tokens.Encoder(tokens.default_path("word_bpe_49k.json"), False)
+    want: dict = {}
+    for (doc, _), ids in zip(rows, e.library([t or "" for _, t in rows]), strict=True):
+        want.setdefault(doc, []).append(ids + tokens.END_ID)
+    got = sstable.Folder(spark, folder)
+    assert len(got.files) > 8 and sum(got.table(k).documents for k in range(len(got.files))) == len(rows)
+    assert sum(sstable.key_of(7) in got.table(k).firsts for k in range(len(got.files))) >= 2
+    for doc in [None, -4, 7, 8, 599, 598, 3, 10**12]:
+        assert sorted(got.get(doc)) == sorted(want.get(doc, []))
+    read = sstable.read_tables(spark, folder)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in read.collect()) == Counter((d, zlib.crc32(v)) for d, vs in want.items() for v in vs)
+    before = {r["file"]: r["before"] for r in sstable.ids_before(read, together=3).collect()}
+    sizes = [got.table(k).ids for k in range(len(got.files))]
+    assert before == {k: sum(sizes[:k]) for k in range(len(sizes))}
 
 
 def check_tables(got, docs):
