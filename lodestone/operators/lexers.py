@@ -9,6 +9,7 @@ from the text itself.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 Fact = tuple[str, str]
@@ -163,12 +164,12 @@ RS_MACRO = re.compile(r"\b(?!macro_rules\b)\w+!\s*[(\[{]|\bmacro_rules!\s*\w+\s*
 
 def _rs_mask(code: str) -> str:
     masked = re.sub(RS_TOKENS, lambda m: _blank(m[0]) if m.group("c") is not None else m[0][0] + _blank(m[0][1:-1]) + m[0][-1], code)
-    at = 0
+    out, at = [], 0
     while m := RS_MACRO.search(masked, at):
         end = closing(masked, m.end() - 1)
-        masked = masked[: m.end()] + _blank(masked[m.end() : end]) + masked[end:]
-        at = m.end()
-    return masked
+        out += [masked[at : m.end()], _blank(masked[m.end() : end])]
+        at = end
+    return "".join(out) + masked[at:]
 
 
 def _rs_split(body: str) -> list[str]:
@@ -228,7 +229,8 @@ def rust_facts(code: str, stem: str) -> Iterator[Fact]:
     for m in re.finditer(r"\b(?:struct|enum|trait)\s+(\w+)", masked):
         yield "container", m[1]
     for m in re.finditer(r"(?:^|[;{}\]\s])(?:unsafe\s+|default\s+)*impl\b", masked):
-        rest = masked[m.end() : (masked + "{").index("{", m.end())]
+        brace = masked.find("{", m.end())
+        rest = masked[m.end() : brace if brace >= 0 else len(masked)]
         rest = rest.partition(" where ")[0].strip()
         if rest.startswith("<"):
             depth = 0
@@ -251,11 +253,56 @@ def rust_facts(code: str, stem: str) -> Iterator[Fact]:
 
 TS_TOKENS = re.compile(r"""(?P<c>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<s>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?|(?<=[=(,:;!&|?{}\[])\s*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)""", re.S)
 TS_NOT_METHODS = frozenset("if for while switch catch function return with await typeof new super import constructor_".split())
+TS_MODIFIERS = frozenset("public private protected static readonly override async get set abstract".split())
 _TS_BEFORE = re.compile(r"(?:^|[;{}\n)])\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?$")
 
 
+class Brackets:
+    """Partners of all brackets and the brace around every place, found in one pass.
+
+    ``closing``: of an opening parenthesis, counting parentheses alone.
+    ``after``: of any opening bracket, counting all kinds alike: the place behind its partner.
+    """
+
+    def __init__(self, masked: str):
+        self.closing: dict[int, int] = {}
+        self.after: dict[int, int] = {}
+        self.changes, self.around = [-1], [-1]  # from a place on: the innermost open brace, -1 for none
+        parens: list[int] = []
+        braces: list[int] = []
+        every: list[int] = []
+        for m in re.finditer(r"[()\[\]{}]", masked):
+            at, c = m.start(), m[0]
+            if c in "([{":
+                every.append(at)
+            elif every:
+                self.after[every.pop()] = at + 1
+            if c == "(":
+                parens.append(at)
+            elif c == ")" and parens:
+                self.closing[parens.pop()] = at
+            elif c in "{}":
+                if c == "{":
+                    braces.append(at)
+                elif braces:
+                    braces.pop()
+                self.changes.append(at + 1)
+                self.around.append(braces[-1] if braces else -1)
+        self.end = len(masked)
+
+    def brace_around(self, at: int) -> int:
+        return self.around[bisect_right(self.changes, at) - 1]
+
+
+_TS_METHOD = re.compile(r"(?<![\w$.])(?:async\s++|get\s++|set\s++|\*\s*+)*(#?[A-Za-z_$][\w$]*+)\s*+(?:\?\s*+)?(?:<[^()]*>\s*+)?\(")
+_TS_BLOCK = re.compile(r"\)\s*+(?::\s*+[^;{}=]*?(?:\{[^{}]*\}[^;{}=]*?)?)?\{")
+_TS_CONTINUES = re.compile(r"\s*+[.,?:+\-*/&|=]")
+_TS_STOP = re.compile(r"[()\[\]{};,\n]")
+
+
 def typescript_facts(code: str) -> Iterator[Fact]:
     masked = mask(code, TS_TOKENS)
+    brackets = Brackets(masked)
 
     def string_at(at: int) -> str | None:
         if at >= len(masked) or masked[at] not in "\"'":
@@ -263,23 +310,22 @@ def typescript_facts(code: str) -> Iterator[Fact]:
         end = masked.find(masked[at], at + 1)
         return code[at:end].strip("\"").strip("'") if end > 0 else None
 
-    for m in re.finditer(r"(?<![\w.$])(?:import\s*(?=[\"'])|import\s+(?:type\s+|typeof\s+)?[\w$*{}\s,]+?\s*\bfrom\s*(?=[\"'])|export\s+(?:type\s+)?(?:\*(?:\s*as\s+[\w$]+)?|\{[^}]*\})\s*from\s*(?=[\"']))", masked):
+    def has_body(paren: int) -> bool:
+        """Whether a block follows the parameters that begin at ``paren``, maybe after a return type."""
+        return bool(_TS_BLOCK.match(masked, brackets.closing.get(paren, brackets.end)))
+
+    for m in re.finditer(r"(?<![\w.$])(?:import\s*+(?=[\"'])|import\s++(?:type\s++|typeof\s++)?[\w$*{}\s,]+?\bfrom\s*+(?=[\"'])|export\s++(?:type\s++)?(?:\*(?:\s*+as\s++[\w$]++)?|\{[^}]*\})\s*+from\s*+(?=[\"']))", masked):
         path = string_at(m.end())
         if path is not None:
             yield "import_local" if path.startswith(".") else "import", path
-    for m in re.finditer(r"\bfunction\s+([\w$]+)\s*(?:<[^(]*>)?\s*\(", masked):
-        if _TS_BEFORE.search(masked[max(0, m.start() - 80) : m.start()]) and _ts_body(masked, m.end() - 1):
+    for m in re.finditer(r"\bfunction\s++([\w$]++)\s*+(?:<[^(]*>\s*+)?\(", masked):
+        if _TS_BEFORE.search(masked[max(0, m.start() - 80) : m.start()]) and has_body(m.end() - 1):
             yield "function", m[1]
-    for m in re.finditer(r"(?<![\w$.])(?:async\s*|get\s+|set\s+|\*\s*)*(#?[A-Za-z_$][\w$]*)\s*\??\s*(?:<[^()]*>)?\s*\(", masked):
-        before = masked[: m.start()].rstrip()
-        last = re.search(r"([\w$]+|.)$", before, re.S)
-        opens = not before or before[-1] in "{};," or (last is not None and last[1] in ("public", "private", "protected", "static", "readonly", "override", "async", "get", "set", "abstract")) or (before[-1] in ")'\"" and "\n" in masked[len(before) : m.start()]) or before[-1] == "*"
-        if m[1] in TS_NOT_METHODS or not opens or not _ts_body(masked, m.end() - 1):
-            continue
-        if _ts_inside_members(masked, m.start()):
+    for m in _TS_METHOD.finditer(masked):
+        if m[1] not in TS_NOT_METHODS and _ts_opens(masked, m.start()) and has_body(m.end() - 1) and _ts_members(masked, brackets.brace_around(m.start())):
             yield "function", m[1]
     for m in re.finditer(r"\b(?:const|let)\s+", masked):
-        for name in _ts_arrows(masked, m.end()):
+        for name in _ts_arrows(masked, m.end(), brackets):
             yield "function", name
     for m in re.finditer(r"\b(class|interface|enum|type)\s+([A-Za-z_$][\w$]*)", masked):
         before = masked[max(0, m.start() - 80) : m.start()]
@@ -288,56 +334,67 @@ def typescript_facts(code: str) -> Iterator[Fact]:
         after = masked[m.end() : m.end() + 400]
         if m[1] == "type" and not re.match(r"\s*(?:<[^=]*>)?\s*=", after):
             continue
-        if m[1] != "type" and "{" not in masked[m.end() :]:
+        if m[1] != "type" and masked.find("{", m.end()) < 0:
             continue
         yield "container", m[2]
 
 
-def _ts_body(masked: str, paren: int) -> bool:
-    """Whether a block follows the parameters that begin at ``paren``, maybe after a return type."""
-    end = closing(masked, paren)
-    return bool(re.compile(r"\)\s*(?::\s*[^;{}=]*?(?:\{[^{}]*\}[^;{}=]*?)?)?\{").match(masked, end))
+def _ts_opens(masked: str, at: int) -> bool:
+    """Whether a member can begin at ``at``, as what stands before it tells."""
+    k = at
+    while k and masked[k - 1].isspace():
+        k -= 1
+    if not k or masked[k - 1] in "{};,*":
+        return True
+    if masked[k - 1] in ")'\"":
+        return "\n" in masked[k:at]
+    word = re.search(r"[\w$]+$", masked[max(0, k - 16) : k])
+    return word is not None and word[0] in TS_MODIFIERS
 
 
-def _ts_inside_members(masked: str, at: int) -> bool:
-    """Whether the innermost brace around ``at`` opens a class body or an object literal."""
-    depth = 0
-    for k in range(at - 1, -1, -1):
-        c = masked[k]
-        if c == "}":
-            depth += 1
-        elif c == "{":
-            if not depth:
-                head = masked[max(0, k - 300) : k]
-                return bool(re.search(r"\bclass\b[^;{}]*$", head) or re.search(r"(?:[=(,:\[?]|\breturn|\bdefault)\s*$", head) and not re.search(r"=>\s*$", head))
-            depth -= 1
-    return False
+def _ts_members(masked: str, brace: int) -> bool:
+    """Whether a brace opens a class body or an object literal."""
+    if brace < 0:
+        return False
+    head = masked[max(0, brace - 300) : brace]
+    return bool(re.search(r"\bclass\b[^;{}]*$", head) or re.search(r"(?:[=(,:\[?]|\breturn|\bdefault)\s*$", head) and not re.search(r"=>\s*$", head))
 
 
-def _ts_arrows(masked: str, at: int) -> Iterator[str]:
+def _ts_arrows(masked: str, at: int, brackets: Brackets) -> Iterator[str]:
     """Names of a declaration list whose values are arrow functions."""
     while True:
-        m = re.compile(r"\s*([A-Za-z_$][\w$]*)\s*(?::[^=;]*?(?:=>[^=;]*?)?)?=(?![=>])\s*").match(masked, at)
+        m = re.compile(r"\s*+([A-Za-z_$][\w$]*+)\s*+(?::[^=;]*?(?:=>[^=;]*?)?)?=(?![=>])\s*+").match(masked, at)
         if not m:
             return
         value = m.end()
-        if re.compile(r"(?:async\s+)?[A-Za-z_$][\w$]*\s*=>").match(masked, value):
+        if re.compile(r"(?:async\s++)?[A-Za-z_$][\w$]*+\s*+=>").match(masked, value):
             yield m[1]
-        elif p := re.compile(r"(?:async\s*)?(?:<[^()]*>)?\s*\(").match(masked, value):
-            end = closing(masked, p.end() - 1)
-            if re.compile(r"\)\s*(?::\s*[^;=]*?)?=>").match(masked, end):
+        elif p := re.compile(r"(?:async\s*+)?(?:<[^()]*>\s*+)?\(").match(masked, value):
+            end = brackets.closing.get(p.end() - 1, brackets.end)
+            if re.compile(r"\)\s*+(?::\s*+[^;=]*?)?=>").match(masked, end):
                 yield m[1]
-        depth = 0
-        for k in range(value, len(masked)):
-            c = masked[k]
-            depth += (c in "([{") - (c in ")]}")
-            if depth < 0 or c == ";" or (c == "\n" and not depth and masked[value:k].strip() and not re.match(r"\s*[.,?:+\-*/&|=]", masked[k:]) and not masked[value:k].rstrip().endswith(("=>", ",", "=", "(")) and masked[value:k].count("=>") >= 0):
-                return
-            if c == "," and not depth:
-                at = k + 1
+        k = value
+        while stop := _TS_STOP.search(masked, k):
+            k, c = stop.start(), stop[0]
+            if c in "([{":
+                k = brackets.after.get(k, brackets.end)
+            elif c == ",":
                 break
+            elif c != "\n" or _ts_ends(masked, value, k):
+                return
+            else:
+                k += 1
         else:
             return
+        at = k + 1
+
+
+def _ts_ends(masked: str, value: int, line_feed: int) -> bool:
+    """Whether a declaration ends at a line feed: something stands before it that needs no more, and no operator follows."""
+    k = line_feed
+    while k > value and masked[k - 1].isspace():
+        k -= 1
+    return k > value and not masked.startswith("=>", max(value, k - 2)) and masked[k - 1] not in ",=(" and not _TS_CONTINUES.match(masked, line_feed)
 
 
 # --- C++ ------------------------------------------------------------------------------------------

@@ -104,3 +104,24 @@ def test_broken_texts_do_not_fail():
     for language in ("Python", "Rust", "TypeScript", "Cpp"):
         for code in ("", "((((", "}}}}", '"""', "'", "/*", "use ;", "import", "from", "def", "class", "fn", "\x00", "é" * 50, "{" * 500):
             lexers.facts(language, "/p/f", code)
+
+
+def test_long_files_take_linear_time():
+    import time
+
+    code = {
+        "TypeScript": "/* note */\nimport { a } from './a@';\nclass C@ { m(): void { call(x); } }\nconst f@ = (x) => { return g(x, [1, { a: 2 }]); };\nrun(function () { go(1, () => { on(); }); });\n",
+        "Rust": "impl A@ for B { fn f@(&self) { println!(\"{}\", x); a::b@(); } }\n",
+        "Python": "class C@:\n    def f@(self):\n        return self.a.b(c(1), [d.e])\n",
+        "Cpp": "#include \"a@.h\"\nint f@(int a) { if (a) { return g(a); } return 1; }\n",
+    }
+    for language, unit in code.items():
+        text = "".join(unit.replace("@", str(i)) for i in range(1_000_000 // len(unit)))
+        began = time.process_time()
+        found = lexers.facts(language, "/p/x", text)
+        assert len(found) > 3000 and time.process_time() - began < 10, language
+
+
+def test_typescript_names_that_begin_like_modifiers():
+    got = of("TypeScript", "class A { asyncRun() { return 1 } async wait() { return 2 } getter() { return 3 } }\n")
+    assert got["function"] == {"asyncRun", "wait", "getter"}
