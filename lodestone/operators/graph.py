@@ -12,7 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
@@ -20,14 +22,19 @@ from ..sources.shared import materialize
 SMALL_EDGES = 2_000_000
 
 
-def dense_ids(names: DataFrame, name: str = "file") -> DataFrame:
-    """(id, name): 0, 1, ... in name order.  Sorted by ranges; each range's offset is added to its own count."""
-    ordered = names.select(name).distinct().repartitionByRange(name).sortWithinPartitions(name)
-    ordered = materialize(ordered.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "ids")
+def numbered(rows: DataFrame, *order: str | Column, name: str = "id") -> DataFrame:
+    """rows with 0, 1, ... in the given order, which should leave no ties.  Sorted by ranges; each range's offset is added to its own count."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = materialize(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "ids")
     # A row for each partition.
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("low"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ordered.join(F.broadcast(before), "part").select((F.col("before") + F.col("row") - F.col("low")).alias("id"), name)
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_low"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return ordered.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_row") - F.col("_low")).alias(name), *rows.columns)
+
+
+def dense_ids(names: DataFrame, name: str = "file") -> DataFrame:
+    """(id, name): 0, 1, ... in name order."""
+    return numbered(names.select(name).distinct(), name)
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
@@ -130,8 +137,7 @@ def strongly_connected(edges: DataFrame, vertices: DataFrame | None = None, smal
     """(id, scc_id) of each vertex; a component is named by its smallest member.  A self loop is a component of one."""
     vertices = (vertices or vertices_of(edges)).select(F.col("id").cast("bigint")).distinct()
     edges = edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
-    fits = edges.limit(small_edges + 1).count() <= small_edges and vertices.limit(small_edges + 1).count() <= small_edges
-    return _small_components(edges, vertices) if fits else _large_components(edges, vertices)
+    return _small_components(edges, vertices) if fits(edges, vertices, small_edges) else _large_components(edges, vertices)
 
 
 def component_sizes(scc: DataFrame) -> DataFrame:
@@ -154,19 +160,35 @@ def members_of_largest(scc: DataFrame) -> DataFrame:
 
 
 def components_by_size(scc: DataFrame) -> DataFrame:
-    """(size, components): lists of sorted member lists."""
-    each = scc.groupBy("scc_id").agg(F.array_sort(F.collect_list("id")).alias("members"))
-    return each.groupBy(F.size("members").cast("bigint").alias("size")).agg(F.array_sort(F.collect_list("members")).alias("components"))
+    """(size, scc_id, id): members with their component and its size, a row each, so that no row grows with the graph."""
+    return scc.join(component_sizes(scc), "scc_id").select("size", "scc_id", "id")
+
 
+def shared_adjacency(edges: DataFrame, vertices: DataFrame) -> Broadcast:
+    """(ids, heads, targets) of a graph whose size is checked."""
+    ids = np.sort(vertices.toArrow().column(0).to_numpy())
+    e = edges.toArrow()
+    heads, targets = compressed(np.searchsorted(ids, e.column(0).to_numpy()), np.searchsorted(ids, e.column(1).to_numpy()), len(ids))
+    return edges.sparkSession.sparkContext.broadcast((ids, heads, targets))
 
-def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """(s, v, d, sigma): distance and number of shortest paths from each source; a level for each round.
 
-    Parallel edges count each, self loops never lie on a shortest path.  ``most``
-    bounds the rounds: where they do not suffice, this raises.
+def fits(edges: DataFrame, vertices: DataFrame, small_edges: int) -> bool:
+    return edges.limit(small_edges + 1).count() <= small_edges and vertices.limit(small_edges + 1).count() <= small_edges
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, most: int | None = None, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """(s, v, d, sigma): distance and number of shortest paths from each source.
+
+    Parallel edges count each, self loops never lie on a shortest path.  Up to
+    ``small_edges`` edges and vertices each source is one walk over a broadcast
+    adjacency; beyond, a level of all sources is a round.  ``most`` bounds the
+    rounds: where they do not suffice, this raises.
     """
-    sources = sources or vertices_of(edges)
-    edges = materialize(edges.where("src <> dst").select("src", "dst"), "bfs-edges")
+    sources = (sources or vertices_of(edges)).select(F.col("id").cast("bigint"))
+    edges = materialize(edges.where("src <> dst").select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")), "bfs-edges")
+    vertices = vertices_of(edges).union(sources).distinct()
+    if most is None and fits(edges, vertices, small_edges):
+        return _walked_paths(shared_adjacency(edges, vertices), sources)
     frontier = materialize(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "bfs-0")
     out, seen = frontier, frontier.select("s", "v")
     for d in itertools.count(1):
@@ -183,27 +205,46 @@ def shortest_paths(edges: DataFrame, sources: DataFrame | None = None, most: int
     return out
 
 
+def walk(heads: np.ndarray, targets: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Distances (-1: not reached) and numbers of shortest paths from s, and the edges on them, level by level."""
+    n, degree = len(heads) - 1, np.diff(heads)
+    distance, sigma = np.full(n, -1), np.zeros(n)
+    distance[s], sigma[s] = 0, 1.0
+    front, steps, level = np.array([s]), [], 0
+    while len(front):
+        count = degree[front]
+        tail = np.repeat(front, count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(heads[front], count)
+        head = targets[at]
+        level += 1
+        front = np.unique(head[distance[head] < 0])
+        distance[front] = level
+        on_path = distance[head] == level
+        tail, head = tail[on_path], head[on_path]
+        np.add.at(sigma, head, sigma[tail])
+        steps.append((tail, head))
+    return distance, sigma, steps
+
+
+def _walked_paths(shared: Broadcast, sources: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, heads, targets = shared.value
+        for batch in batches:
+            for s in batch.column(0).to_numpy():
+                distance, sigma, _ = walk(heads, targets, int(np.searchsorted(ids, s)))
+                reached = np.flatnonzero(distance >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reached), s)), pa.array(ids[reached]), pa.array(distance[reached].astype(np.int32)), pa.array(sigma[reached])], names=["s", "v", "d", "sigma"])
+
+    spread = sources.repartition(max(1, sources.sparkSession.sparkContext.defaultParallelism * 2), "id")
+    return spread.mapInArrow(run, "s bigint, v bigint, d int, sigma double")
+
+
 def brandes(heads: np.ndarray, targets: np.ndarray, sources: np.ndarray) -> np.ndarray:
     """Summed dependencies of every vertex on the sources, level by level."""
     n = len(heads) - 1
     total = np.zeros(n)
-    degree = np.diff(heads)
     for s in sources:
-        distance, sigma = np.full(n, -1), np.zeros(n)
-        distance[s], sigma[s] = 0, 1.0
-        front, steps = np.array([s]), []
-        while len(front):
-            count = degree[front]
-            tail = np.repeat(front, count)
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(heads[front], count)
-            head = targets[at]
-            new = np.unique(head[distance[head] < 0])
-            distance[new] = distance[front[0]] + 1
-            on_path = distance[head] == distance[front[0]] + 1
-            tail, head = tail[on_path], head[on_path]
-            np.add.at(sigma, head, sigma[tail])
-            steps.append((tail, head))
-            front = new
+        _, sigma, steps = walk(heads, targets, s)
         delta = np.zeros(n)
         for tail, head in reversed(steps):
             np.add.at(delta, tail, sigma[tail] / sigma[head] * (1 + delta[head]))
@@ -221,11 +262,8 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, small_edges
     if not n:
         return vertices.withColumn("score", F.lit(0.0))
     edges = edges.where("src <> dst").select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
-    if n <= small_edges and edges.limit(small_edges + 1).count() <= small_edges:
-        ids = np.sort(np.array([r[0] for r in vertices.collect()], np.int64))  # at most small_edges of them
-        e = edges.toPandas()
-        heads, targets = compressed(np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"]), n)
-        shared = spark.sparkContext.broadcast((ids, heads, targets))
+    if fits(edges, vertices, small_edges):
+        shared = shared_adjacency(edges, vertices)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, h, t = shared.value
@@ -244,7 +282,7 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, small_edges
 
 def _dependencies(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """The same sums by DataFrame rounds: paths forward, then dependencies back from the farthest level."""
-    paths = materialize(shortest_paths(edges, vertices), "paths")
+    paths = materialize(shortest_paths(edges, vertices, small_edges=0), "paths")
     deepest = paths.agg(F.max("d")).first()[0] or 0
     delta = None
     for d in range(deepest, 0, -1):

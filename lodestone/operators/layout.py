@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+from .graph import numbered
+
 
 @dataclass(frozen=True)
 class CircularConfig:
@@ -37,6 +41,16 @@ def circular(ids: DataFrame, config: CircularConfig = CircularConfig(), n: int |
     return ids.select("id", (config.center_x + config.radius * F.cos(angle)).alias("x"), (config.center_y + config.radius * F.sin(angle)).alias("y"))
 
 
+def pairs_at_least(first: list[int], second: list[int]) -> int:
+    """Pairs of a place in first and one in second, both sorted, that is not above it."""
+    total = at = 0
+    for p in first:
+        while at < len(second) and second[at] <= p:
+            at += 1
+        total += at
+    return total
+
+
 class LayeredGraph:
     """The layered layout of one graph, step by step; vertices 0 .. n - 1, neighbours in id order."""
 
@@ -48,9 +62,17 @@ class LayeredGraph:
         self.dummies: set[int] = set()
 
     def break_cycles(self) -> None:
-        """Depth first from every vertex in turn; an edge to a vertex on the path goes, one of a kind at a time."""
+        """Depth first from every vertex in turn; an edge to a vertex on the path goes, one of a kind at a time.
+
+        What an earlier root reached holds no cycle any more and leads nowhere
+        else, so no later root has to enter it again.
+        """
+        seen: set[int] = set()
         for root in range(self.n):
-            seen, path = {root}, {root}
+            if root in seen:
+                continue
+            seen.add(root)
+            path = {root}
             work = [(root, iter(list(self.out[root])))]
             while work:
                 v, rest = work[-1]
@@ -137,17 +159,20 @@ class LayeredGraph:
         return total
 
     def reduce_crossings(self, layers: list[list[int]]) -> None:
-        """Passes over the layers; each takes its best swap of two neighbours, until none helps."""
+        """Passes over the layers; each takes its best swap of two neighbours, until none helps.
+
+        A swap changes only the crossings between the edges of the two.
+        """
         for _ in range(self.config.max_iterations):
             better = False
             for k in range(len(layers) - 1):
-                layer, best, swap = layers[k], self.crossings(layers[k], layers[k + 1]), -1
+                layer, best, swap = layers[k], 0, -1
+                place = {v: j for j, v in enumerate(layers[k + 1])}
+                ends = [sorted(place[w] for w in self.out[v] if w in place) for v in layer]
                 for j in range(len(layer) - 1):
-                    layer[j], layer[j + 1] = layer[j + 1], layer[j]
-                    count = self.crossings(layer, layers[k + 1])
-                    if count < best:
-                        best, swap = count, j
-                    layer[j], layer[j + 1] = layer[j + 1], layer[j]
+                    change = pairs_at_least(ends[j + 1], ends[j]) - pairs_at_least(ends[j], ends[j + 1])
+                    if change < best:
+                        best, swap = change, j
                 if swap >= 0:
                     layer[swap], layer[swap + 1] = layer[swap + 1], layer[swap]
                     better = True
@@ -183,12 +208,12 @@ class LayeredGraph:
 LAYERED = "graph string, id bigint, layer int, ord int, is_dummy boolean, x double, y double"
 
 
-def layered(edges: DataFrame, vertices: DataFrame, config: LayeredConfig = LayeredConfig(), steps: str = "all") -> DataFrame:
+def layered(edges: DataFrame, vertices: DataFrame, config: LayeredConfig = LayeredConfig()) -> DataFrame:
     """LAYERED rows of each graph; edges(graph, src, dst), vertices(graph, id) with any bigint ids.
 
     Breaking cycles and swapping neighbours go one after another by nature, so
-    one graph is one task; many graphs run side by side.  steps: ``all``, or
-    ``layers`` to stop before swaps.
+    one graph is one task; many graphs run side by side.  A large graph without
+    cycles takes ``assign_layers``, ``order_layers`` and ``coordinates``.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,12 +221,7 @@ def layered(edges: DataFrame, vertices: DataFrame, config: LayeredConfig = Layer
         at = {v: k for k, v in enumerate(ids)}
         e = pdf[pdf["kind"] == "e"]
         g = LayeredGraph(len(ids), [(at[a], at[b]) for a, b in zip(e["src"], e["dst"], strict=True)], config)
-        if steps == "all":
-            layers, xy = g.run()
-        else:
-            g.break_cycles()
-            layers = g.assign_layers()
-            xy = g.coordinates(layers)
+        layers, xy = g.run()
         name = pdf["graph"].iloc[0]
         rows = [(name, ids[v] if v < len(ids) else -1 - v, k, j, v in g.dummies, *xy[v]) for k, layer in enumerate(layers) for j, v in enumerate(layer)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in LAYERED.split(", ")])
@@ -216,6 +236,48 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
+def assign_layers(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id, layer) of one graph without cycles, a layer for each round: the least distance from a vertex without predecessors.
+
+    Without any such vertex those with the fewest predecessors begin; what is not reached is in layer 0.
+    """
+    vertices = materialize(vertices.select(F.col("id").cast("bigint")).distinct(), "layer-vertices")
+    edges = materialize(edges.where("src <> dst").select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).distinct(), "layer-edges")
+    back = vertices.join(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    fewest = back.agg(F.min("n")).first()[0]
+    done = front = materialize(back.where(F.col("n") == (fewest or 0)).select("id", F.lit(0).alias("layer")), "layer-0")
+    for layer in itertools.count(1):
+        reached = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        front = materialize(reached.join(done, "id", "left_anti").select("id", F.lit(layer).alias("layer")), f"layer-{layer}")
+        if front.isEmpty():
+            return done.unionByName(vertices.join(done, "id", "left_anti").select("id", F.lit(0).alias("layer")))
+        done = done.unionByName(front)
+        if layer % 50 == 0:  # plans stay short, however many layers
+            done = materialize(done, f"layers-to-{layer}")
+
+
+def order_layers(layers: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, layer, ord): places within a layer by falling degree, then id; numbered over ranges, so that a layer may hold most vertices."""
+    ranked = layers.join(degrees(edges), "id", "left").select("id", "layer", F.coalesce(-(F.col("in_degree") + F.col("out_degree")), F.lit(0)).alias("low"))
+    ranked = materialize(numbered(ranked, "layer", "low", "id", name="rank"), "layer-ranks")
+    first = ranked.groupBy("layer").agg(F.min("rank").alias("first"))
+    return ranked.join(first, "layer").select("id", "layer", (F.col("rank") - F.col("first")).cast("int").alias("ord"))
+
+
+def coordinates(ordered: DataFrame, edges: DataFrame, config: LayeredConfig = LayeredConfig()) -> DataFrame:
+    """(id, x, y) of (id, layer, ord): layers centred on 0, then three times half way to the mean of the neighbours."""
+    sizes = ordered.groupBy("layer").agg(F.count("*").alias("n"))
+    height = (ordered.agg(F.max("layer")).first()[0] or 0) * config.layer_spacing
+    x = (F.col("ord") * config.node_spacing - (F.col("n") - 1) * config.node_spacing / 2) * config.scale_factor
+    y = (F.col("layer") * config.layer_spacing - height / 2) * config.scale_factor
+    xy = materialize(ordered.join(sizes, "layer").select("id", x.alias("x"), y.alias("y")), "layer-xy")
+    near = edges.select(F.col("src").alias("id"), F.col("dst").alias("w")).union(edges.select("dst", "src"))
+    for k in range(3):
+        mean = near.join(xy.select(F.col("id").alias("w"), F.col("x").alias("near_x")), "w").groupBy("id").agg(F.avg("near_x").alias("mean"))
+        xy = materialize(xy.join(mean, "id", "left").select("id", F.when(F.col("mean").isNull(), F.col("x")).otherwise(0.5 * F.col("x") + 0.5 * F.col("mean")).alias("x"), "y"), f"layer-xy-{k}")
+    return xy
+
+
 def crossing_counts(layers: DataFrame, edges: DataFrame) -> DataFrame:
     """(layer, crossings) between each layer and the next; layers(id, layer, ord), edges(src, dst).
 
@@ -243,16 +305,26 @@ def fit_box(positions: DataFrame, size: float = 800.0, center: float = 500.0) ->
     return positions.join(F.broadcast(box)).select("id", place("x", "x0", "x1").alias("x"), place("y", "y0", "y1").alias("y"))
 
 
-LAYOUTS = {"circular": circular, "layered": layered}
+LAYOUTS = ("circular", "layered")
+
+
+def positions(ids: DataFrame, edges: DataFrame, kind: str = LAYOUTS[0]) -> DataFrame:
+    """(id, x, y) of one graph of dense ids by the layout of that name; dummies are left out."""
+    if kind not in LAYOUTS:
+        raise ValueError(f"no such layout: {kind}")
+    if kind == "circular":
+        return circular(ids)
+    one = F.lit("all").alias("graph")
+    return layered(edges.select(one, "src", "dst"), ids.select(one, "id")).where("NOT is_dummy").select("id", "x", "y")
 
 
-def hit_test(points: DataFrame, nodes: DataFrame, reach: float = 40.0) -> DataFrame:
+def hit_test(points: DataFrame, nodes: DataFrame, cell_width: float = 40.0) -> DataFrame:
     """(point, id): the smallest id whose circle holds the point.  points(point, x, y), nodes(id, x, y, radius).
 
-    Both are put on a grid of cells ``reach`` wide; a node meets the points of
-    every cell that its circle's square touches.
+    Both are put on a grid; a node of any radius meets the points of every cell
+    that its circle's square touches, so the cell's width decides costs only.
     """
-    cell = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / reach).cast("bigint")
+    cell = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / cell_width).cast("bigint")
     touched = lambda c: F.explode(F.sequence(cell(F.col(c) - 1.001 * F.col("radius")), cell(F.col(c) + 1.001 * F.col("radius"))))
     p = points.select("point", F.col("x").alias("px"), F.col("y").alias("py"), cell("x").alias("i"), cell("y").alias("j"))
     n = nodes.where("radius > 0").select("id", F.col("x").alias("nx"), F.col("y").alias("ny"), "radius", touched("x").alias("i"), "y").withColumn("j", touched("y"))

@@ -89,7 +89,18 @@ FONT = {
     "3": "11110 00001 00001 01110 00001 00001 11110", "4": "00010 00110 01010 10010 11111 00010 00010", "5": "11111 10000 11110 00001 00001 10001 01110",
     "6": "01110 10000 11110 10001 10001 10001 01110", "7": "11111 00001 00010 00100 01000 01000 01000", "8": "01110 10001 10001 01110 10001 10001 01110",
     "9": "01110 10001 10001 01111 00001 00001 01110",
+    "A": "01110 10001 10001 11111 10001 10001 10001", "B": "11110 10001 10001 11110 10001 10001 11110", "C": "01110 10001 10000 10000 10000 10001 01110",
+    "D": "11110 10001 10001 10001 10001 10001 11110", "E": "11111 10000 10000 11110 10000 10000 11111", "F": "11111 10000 10000 11110 10000 10000 10000",
+    "G": "01110 10001 10000 10111 10001 10001 01110", "H": "10001 10001 10001 11111 10001 10001 10001", "I": "01110 00100 00100 00100 00100 00100 01110",
+    "J": "00111 00010 00010 00010 00010 10010 01100", "K": "10001 10010 10100 11000 10100 10010 10001", "L": "10000 10000 10000 10000 10000 10000 11111",
+    "M": "10001 11011 10101 10101 10001 10001 10001", "N": "10001 11001 10101 10011 10001 10001 10001", "O": "01110 10001 10001 10001 10001 10001 01110",
+    "P": "11110 10001 10001 11110 10000 10000 10000", "Q": "01110 10001 10001 10001 10101 10010 01101", "R": "11110 10001 10001 11110 10100 10010 10001",
+    "S": "01111 10000 10000 01110 00001 00001 11110", "T": "11111 00100 00100 00100 00100 00100 00100", "U": "10001 10001 10001 10001 10001 10001 01110",
+    "V": "10001 10001 10001 10001 10001 01010 00100", "W": "10001 10001 10001 10101 10101 11011 10001", "X": "10001 10001 01010 00100 01010 10001 10001",
+    "Y": "10001 10001 01010 00100 00100 00100 00100", "Z": "11111 00001 00010 00100 01000 10000 11111", " ": "00000 00000 00000 00000 00000 00000 00000",
 }
+#: Stands for a character that the font lacks.
+BOX = "11111 10001 10001 10001 10001 10001 11111"
 
 
 class Canvas:
@@ -125,10 +136,10 @@ class Canvas:
         self.pixels[box][((s[0] >= 0) & (s[1] >= 0) & (s[2] >= 0)) | ((s[0] <= 0) & (s[1] <= 0) & (s[2] <= 0))] = color
 
     def text(self, x: float, y: float, words: str, centered: bool = True) -> None:
-        glyphs = [FONT.get(c.lower()) for c in words]
+        glyphs = [FONT.get(c, BOX) for c in words]
         left, top = int(x - (6 * len(glyphs) / 2 if centered else 0)), int(y - 3)
         for k, glyph in enumerate(glyphs):
-            for row, bits in enumerate((glyph or "").split()):
+            for row, bits in enumerate(glyph.split()):
                 for col, bit in enumerate(bits):
                     px, py = left + 6 * k + col, top + row
                     if bit == "1" and 0 <= px < self.pixels.shape[1] and 0 <= py < self.pixels.shape[0]:

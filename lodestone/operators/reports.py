@@ -40,9 +40,23 @@ def import_partition(nodes: DataFrame) -> DataFrame:
 
 
 def files_by_language(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("language").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    """(language, files, first): how many files, and the first by name; the files themselves are ``nodes`` by language."""
+    return nodes.groupBy("language").agg(F.count("*").alias("files"), F.min("file").alias("first"))
 
 
 def external_nodes(nodes: DataFrame, inventory: DataFrame) -> DataFrame:
     """Nodes whose file is not there."""
     return nodes.join(inventory.select(F.col("path").alias("file")), "file", "left_anti")
+
+
+def details(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, section, item): what the details panel of a node lists, a row each.
+
+    Sections: incoming and outgoing (nodes), local and external (imports), functions, containers.
+    """
+    known = nodes.select(F.col("file").alias("other"))
+    out = edges.select(F.col("src").alias("file"), F.lit("outgoing").alias("section"), F.col("dst").alias("item")).unionByName(edges.select(F.col("dst").alias("file"), F.lit("incoming").alias("section"), F.col("src").alias("item")))
+    out = out.join(known, F.col("item") == F.col("other"), "left_semi").join(nodes.select("file"), "file", "left_semi")
+    imports = nodes.select("file", F.explode("imports").alias("i")).select("file", F.when(F.col("i.is_local"), "local").otherwise("external").alias("section"), F.col("i.path").alias("item"))
+    lists = nodes.select("file", F.explode(F.create_map(*[x for c in ("functions", "containers") for x in (F.lit(c), F.col(c))])).alias("section", "items")).select("file", "section", F.explode("items").alias("item"))
+    return out.unionByName(imports).unionByName(lists)

@@ -1,7 +1,8 @@
 """Imports to files.
 
 A resolver turns each import into an ordered list of keys; a key is ``f:`` and a
-path, or ``m:`` and a Rust module.  One join with the lookup table (inventory and
+path, or ``m:``, a root and a Rust module below it, so that many trees with roots
+of their own can be resolved at once.  One join with the lookup table (inventory and
 module map) finds which keys exist, and the first in order wins.  Resolvers are
 registered by language, so another language is one more function.
 """
@@ -25,6 +26,10 @@ def _file(path: Column) -> Column:
     return F.concat(F.lit("f:"), path)
 
 
+def _module(root: Column, module: Column) -> Column:
+    return F.concat(F.lit("m:"), root, F.lit("|"), module)
+
+
 def python_keys(raw: Column, file: Column, root: Column, module: Column) -> Column:
     """Relative: k dots lead k - 1 folders up, nothing after them is the package itself.  Else from the root."""
     dots = F.length(F.regexp_extract(raw, r"^(\.*)", 1))
@@ -59,7 +64,7 @@ def rust_keys(raw: Column, file: Column, root: Column, module: Column) -> Column
     levels = F.size(parts)
     ups = F.size(F.split(F.regexp_extract(raw, r"^((?:super::)*)", 1), "super::")) - 1
     rest = F.regexp_replace(raw, r"^(?:super::)+", "")
-    m = lambda head, tail: F.concat(F.lit("m:"), head, F.lit("::"), tail)
+    m = lambda head, tail: _module(root, F.concat(head, F.lit("::"), tail))
     above = F.array_join(F.slice(parts, 1, F.greatest(levels - ups, F.lit(0))), "::")
     parent = F.array_join(F.slice(parts, 1, F.greatest(levels - 1, F.lit(0))), "::")
     sibling = F.when(levels > 1, m(parent, F.regexp_replace(raw, "^self::", "")))
@@ -68,7 +73,7 @@ def rust_keys(raw: Column, file: Column, root: Column, module: Column) -> Column
     bare = ~raw.contains("::") & ~raw.startswith("crate")
     return (
         F.when(bare, F.concat(declared, F.filter(F.array(sibling), lambda x: x.isNotNull())))
-        .when(raw.startswith("crate::"), F.array(F.concat(F.lit("m:"), raw)))
+        .when(raw.startswith("crate::"), F.array(_module(root, raw)))
         .when(raw.startswith("super::"), F.when(levels > ups, F.array(m(above, rest))))
         .otherwise(F.when(levels > 1, F.array(sibling)))
     )
@@ -92,10 +97,10 @@ def module_map(files: DataFrame, root: Column) -> DataFrame:
     return files.select("file", module_of(F.col("file"), root).alias("module")).where("module IS NOT NULL")
 
 
-def lookup_table(inventory: DataFrame, modules: DataFrame) -> DataFrame:
+def lookup_table(inventory: DataFrame, modules: DataFrame, root: Column) -> DataFrame:
     """(key, target); of files that claim one module the smallest path has it."""
     paths = inventory.select(_file(F.col("path")).alias("key"), F.col("path").alias("target")).distinct()
-    return paths.unionByName(modules.groupBy(F.concat(F.lit("m:"), "module").alias("key")).agg(F.min("file").alias("target")))
+    return paths.unionByName(modules.groupBy(_module(root, F.col("module")).alias("key")).agg(F.min("file").alias("target")))
 
 
 def first_match(wanted: DataFrame, lookup: DataFrame, by: list[str]) -> DataFrame:
@@ -117,13 +122,13 @@ def resolve_imports(imports: DataFrame, inventory: DataFrame, rust_files: DataFr
         own = own.join(modules, "file", "left") if language == "Rust" else own.withColumn("module", F.lit(None).cast("string"))
         keyed = own.select("file", "language", "raw", make(written, F.col("file"), root, F.col("module")).alias("keys"))
         wanted = keyed if wanted is None else wanted.unionByName(keyed)
-    return first_match(wanted, lookup_table(inventory, modules), ["file", "language", "raw"])
+    return first_match(wanted, lookup_table(inventory, modules, root), ["file", "language", "raw"])
 
 
 def dependency_edges(facts: DataFrame, imports: DataFrame, inventory: DataFrame, nodes: DataFrame, root: Column, compat: bool = False) -> DataFrame:
     """Distinct (src, dst): local imports that lead to a file, and Rust paths that name a module; no file leads to itself."""
     rust = nodes.where("language = 'Rust'").select("file")
     found = resolve_imports(imports.where("is_local"), inventory, rust, root, compat).select(F.col("file").alias("src"), F.col("target").alias("dst"))
-    modules = module_map(rust, root).groupBy("module").agg(F.min("file").alias("dst"))
-    references = facts.where("language = 'Rust' AND kind = 'reference'").select(F.col("file").alias("src"), F.concat(F.lit("crate::"), "name").alias("module"))
-    return found.unionByName(references.join(modules, "module").select("src", "dst")).where("src <> dst").distinct()
+    modules = module_map(rust, root).groupBy(root.alias("root"), "module").agg(F.min("file").alias("dst"))
+    references = facts.where("language = 'Rust' AND kind = 'reference'").select(F.col("file").alias("src"), root.alias("root"), F.concat(F.lit("crate::"), "name").alias("module"))
+    return found.unionByName(references.join(modules, ["root", "module"]).select("src", "dst")).where("src <> dst").distinct()

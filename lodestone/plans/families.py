@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..project import Project
-from ..sources.shared import materialize
+from ..sources.shared import materialize, write_files
+
+__all__ = ["handoff_edges", "materialize", "page_links", "part_files", "part_project", "part_rows", "part_tree", "table", "write_files"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +31,9 @@ def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     joins = last.select(F.col("z.user_id").alias("user_id"), F.lead("a.user_id").over(Window.orderBy("part")).alias("dst"))
     steps = within.select("user_id", "dst").unionByName(joins).where("dst IS NOT NULL AND user_id <> dst")
     counted = steps.groupBy(F.col("user_id").alias("src"), "dst").agg(F.count("*").alias("n"))
-    best = counted.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("low"), "dst"))), 1, 2).alias("top"))
-    return best.select("src", F.explode("top.dst").alias("dst"))
+    # Two per user before and after the shuffle: Spark cuts a rank limit on both sides.
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
+    return counted.withColumn("place", place).where("place <= 2").select("src", "dst")
 
 
 def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

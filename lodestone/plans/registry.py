@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, includes, languages, paths
 from ..operators import extract, graph, layout, render, reports, resolve
+from ..sources import files as sources
 from . import families as fam
+from . import fixtures as cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -52,13 +54,12 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _rows(columns: str, rows: list[tuple]) -> str:
     """SQL of fixed rows, for operators that are held against given cases."""
-    show = lambda x: "NULL" if x is None else ("TRUE" if x else "FALSE") if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({columns})"
+    return f"SELECT * FROM {cases.sql_rows(columns, rows)}"
 
 
 # --- Functions over given cases -------------------------------------------------------------------
 
-PATHS = [("path\\to\\file.h", "path/to/file.h"), ("./file.h", "file.h"), ("path/./file.h", "path/file.h"), ("path/../file.h", "file.h"), ("path/to/../file.h", "path/file.h"), ("path/to/../../file.h", "file.h"), ("../file.h", "../file.h"), ("../../file.h", "../../file.h"), ("path/../../file.h", "../file.h"), ("/path/to/file.h", "/path/to/file.h"), ("/path/./file.h", "/path/file.h"), ("/path/../file.h", "/file.h"), ("path//to///file.h", "path/to/file.h"), ("a/..", "."), ("", ".")]
+PATHS = [("lib/./net/sock.hh", "lib/net/sock.hh"), (r"lib\net\sock.hh", "lib/net/sock.hh"), ("lib//net////sock.hh", "lib/net/sock.hh"), ("lib/net/", "lib/net"), ("lib/net/..", "lib"), ("lib/net/../../x", "x"), ("lib/../../x", "../x"), ("../../../x", "../../../x"), ("../a/../b", "../b"), ("/lib/../x", "/x"), ("/./x", "/x"), ("/", "/"), ("/..", "/.."), (".", "."), ("lib/..", "."), ("", "."), ("...", "..."), (r"..\x/.\y", "../x/y"), (None, None)]
 
 
 @query("path_normalize", _rows("path, normal", PATHS))
@@ -66,7 +67,8 @@ def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p, _ in PATHS], "path string").select("path", paths.normalize_path(F.col("path")).alias("normal"))
 
 
-INCLUDES = [("iostream", True, False), ("vector", True, False), ("string.h", True, False), ("myheader", False, False), ("boost/algorithm.hpp", False, True), ("qt/QApplication", False, True), ("QT/QMainWindow", False, True), ("GL/glew.h", False, True), ("glm/vec3.hpp", False, True), ("glfw/glfw3.h", False, True), ("SDL/SDL.h", False, True), ("sys/socket.h", False, True), ("unistd.h", False, True), ("windows.h", False, True), ("zlib.h", False, True), ("openssl/ssl.h", False, True), ("myheader.h", False, False), ("utils/helper.hpp", False, False), ("project/config.h", False, False), ("glue.h", False, False)]
+# Name, standard header, outside library.
+INCLUDES = [("deque", True, False), ("chrono", True, False), ("memory.hxx", True, False), ("map.h.hpp", False, False), ("ctime.h.h", True, False), ("Regex", False, False), ("mapper", False, False), ("cuda/kernel.cuh", False, True), ("CURL/easy.h", False, True), ("curl_easy.h", False, True), ("curly.h", False, False), ("pthread", False, True), ("own/arpa/inet.h", False, True), ("my_sys/x.h", False, True), ("linux/types.h", False, True), ("bzip2.h", False, True), ("intrin.h", False, True), ("qtree.h", False, False), ("sdlx/a.h", False, False), ("fcntl.h", False, True), ("engine/render.hpp", False, False), ("", False, False)]
 
 
 @query("include_filter", _rows("name, is_standard, is_library, is_filtered", [(n, s, e, s or e) for n, s, e in INCLUDES]))
@@ -75,11 +77,16 @@ def include_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n, _, _ in INCLUDES], "name string").select("name", includes.is_standard_header(name).alias("is_standard"), includes.is_external_library(name).alias("is_library"), includes.is_filtered_include(name).alias("is_filtered"))
 
 
-@query("arrow_geometry", "SELECT n_nationkey AS id, round(10*n_nationkey - 20*cos(atan2(3*n_nationkey+1, 10*n_nationkey)), 6) AS tip_x, round(3*n_nationkey+1 - 20*sin(atan2(3*n_nationkey+1, 10*n_nationkey)), 6) AS tip_y, round(10*n_nationkey - 20*cos(atan2(3*n_nationkey+1, 10*n_nationkey)) - 10*cos(atan2(3*n_nationkey+1, 10*n_nationkey)+0.5), 6) AS left_x FROM nation")
+ARROW = """WITH l AS (SELECT n_nationkey id, 10*n_nationkey x, 3*n_nationkey+1 y, atan2(3*n_nationkey+1, 10*n_nationkey) a FROM nation),
+t AS (SELECT *, x - 20*cos(a) tx, y - 20*sin(a) ty FROM l)
+SELECT id, round(tx, 6) AS tip_x, round(ty, 6) AS tip_y, round(tx - 10*cos(a+0.5), 6) AS left_x, round(ty - 10*sin(a+0.5), 6) AS left_y, round(tx - 10*cos(a-0.5), 6) AS right_x, round(ty - 10*sin(a-0.5), 6) AS right_y FROM t"""
+
+
+@query("arrow_geometry", ARROW)
 def arrow_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_nationkey")
     head = geometry.arrowhead(F.lit(0.0), F.lit(0.0), 10.0 * n, 3.0 * n + 1)
-    return fam.table(spark, sf_dir, "nation").select(n.alias("id"), *[F.round(head[c], 6).alias(c) for c in ("tip_x", "tip_y", "left_x")])
+    return fam.table(spark, sf_dir, "nation").select(n.alias("id"), *[F.round(v, 6).alias(c) for c, v in head.items()])
 
 
 COLORS = [("Python", "Python", "#FFD43B", 255, 212, 59, "black"), ("Rust", "Rust", "#DEA584", 222, 165, 132, "black"), ("TypeScript", "TypeScript", "#007ACC", 0, 122, 204, "white"), ("Cpp", "C++", "#00599C", 0, 89, 156, "white")]
@@ -177,7 +184,7 @@ def import_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("files_by_language", V + " SELECT language, count(*) AS files, min(file) AS first FROM p GROUP BY 1")
 def files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.files_by_language(fam.part_project(spark, sf_dir).nodes).select("language", F.size("files").cast("bigint").alias("files"), F.col("files")[0].alias("first"))
+    return reports.files_by_language(fam.part_project(spark, sf_dir).nodes)
 
 
 @query("loc_bounds", V + f" SELECT min({LOC})::INT AS min_loc, max({LOC})::INT AS max_loc FROM p")
@@ -185,6 +192,36 @@ def loc_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.loc_bounds(fam.part_files(spark, sf_dir).select(paths.line_count(F.col("content")).alias("loc")))
 
 
+@query("node_size_scored", "SELECT n_nationkey AS id, round((20 + n_nationkey / 24.0 * 20) * (1 + 0.4 * n_regionkey / 4.0), 6) AS size FROM nation")
+def node_size_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = geometry.node_size(F.col("n_nationkey"), F.lit(0), F.lit(24), score=F.col("n_regionkey") / 4)
+    return fam.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.round(size, 6).alias("size"))
+
+
+COLORED = V + """, z AS (SELECT *, i % 11 = 0 AS sel, i % 7 = 0 AS hov, i % 5 = 0 AS cyc, i % 3 = 0 AS gone FROM p)
+SELECT file, gone AS is_external, CASE WHEN sel THEN '#ffa500' WHEN hov THEN '#add8e6' WHEN cyc THEN '#ff6464'
+ WHEN gone THEN CASE c WHEN 0 THEN '#ffd43b' WHEN 1 THEN '#dea584' WHEN 2 THEN '#007acc' ELSE '#00599c' END
+ ELSE CASE c WHEN 0 THEN '#7f6a1d' WHEN 1 THEN '#6f5242' WHEN 2 THEN '#003d66' ELSE '#002c4e' END END AS color FROM z"""
+
+
+@query("node_colors", COLORED)
+def node_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of nodes that are selected, hovered, in the largest cycle, missing on disk, or none of these."""
+    i = F.regexp_extract("file", r"mod(\d+)", 1).cast("bigint")
+    nodes = fam.part_files(spark, sf_dir).select(F.col("path").alias("file"))
+    there = nodes.where(i % 3 != 0).select(F.col("file").alias("path"))
+    missing = reports.external_nodes(nodes, there).select("file", F.lit(True).alias("is_external"))
+    rows = nodes.join(missing, "file", "left").select("file", F.coalesce("is_external", F.lit(False)).alias("is_external"))
+    return rows.select("file", "is_external", geometry.node_color(i % 11 == 0, i % 7 == 0, i % 5 == 0, F.col("is_external"), languages.color_of(languages.language_of(F.col("file")))).alias("color"))
+
+
+@query("details_panel", IMPORTS + """ SELECT src AS file, 'outgoing' AS section, dst AS item FROM ed UNION ALL SELECT dst, 'incoming', src FROM ed
+UNION ALL SELECT file, CASE WHEN is_local THEN 'local' ELSE 'external' END, path FROM im UNION ALL SELECT file, 'functions', 'f_'||i FROM p""")
+def details_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fam.part_project(spark, sf_dir)
+    return reports.details(p.nodes, p.edges)
+
+
 @query("node_size", V + f", z AS (SELECT file, {LOC} loc, (SELECT min({LOC}) FROM p) lo, (SELECT max({LOC}) FROM p) hi FROM p) SELECT file, round(CASE WHEN hi = lo THEN 30 ELSE 20 + (loc - lo)::DOUBLE / (hi - lo) * 20 END, 6) AS size FROM z")
 def node_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = fam.part_files(spark, sf_dir).select(F.col("path").alias("file"), paths.line_count(F.col("content")).alias("loc"))
@@ -205,6 +242,58 @@ def svg_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.svg_marks(*fam.part_project(spark, sf_dir).scene()).where(F.length("fragment") > 0).groupBy("z").agg(F.count("*").alias("marks"))
 
 
+# --- Sources and trees written out by hand --------------------------------------------------------
+
+
+@query("extract_cases", cases.sql_numbered("file, kind, name", [(f"/f§/{tail}", kind, name) for tail, _, facts in cases.SOURCES.values() for kind, name in facts]))
+def extract_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cases.files_of(cases.suppliers(spark, sf_dir), "/f", {tail: text for tail, text, _ in cases.SOURCES.values()})
+    return extract.extract_facts(files).select("file", "kind", "name")
+
+
+@query("macro_includes", cases.sql_numbered("kind, name", cases.MACRO_FACTS))
+def macro_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cases.files_of(cases.suppliers(spark, sf_dir), "/f", {"m.cpp": cases.MACRO_SOURCE})
+    return extract.extract_facts(files, macro_includes=True).where("kind LIKE 'import%'").select("kind", "name")
+
+
+@query("import_cases", cases.sql_numbered("file, path, is_local", [("/f§/pkg/a.py", p, local) for p, local in cases.NEIGHBOUR_IMPORTS]))
+def import_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which Python imports are local, as their neighbours tell, and what is left of leading dots."""
+    files = cases.files_of(cases.suppliers(spark, sf_dir), "/f", cases.NEIGHBOURS)
+    return extract.imports_of(extract.extract_facts(files), files.select("path")).select("file", "path", "is_local").distinct()
+
+
+@query("resolve_cases", cases.sql_numbered("src, dst", [(f"/t§/{a}", f"/t§/{b}") for a, b in cases.EDGES]))
+def resolve_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges of a tree in four languages, one for each supplier, each with a root of its own."""
+    rows = cases.suppliers(spark, sf_dir)
+    files = fam.materialize(cases.files_of(rows, "/t", cases.TREE), "tree-files")
+    inventory = files.select("path", "is_node").unionByName(cases.files_of(rows, "/t", cases.NOT_NODES, False).select("path", "is_node"))
+    facts = fam.materialize(extract.extract_facts(files), "tree-facts")
+    nodes = files.select(F.col("path").alias("file"), languages.language_of(F.col("path")).alias("language"))
+    return resolve.dependency_edges(facts, extract.imports_of(facts, inventory), inventory, nodes, F.regexp_extract("file", r"^(/t\d+)/", 1))
+
+
+@query("scan_tree", _rows("file, language, loc", [(name, {"py": "Python", "rs": "Rust", "ts": "TypeScript"}[name.rpartition(".")[2]], data.count(b"\n") + 1) for name, (data, is_node) in cases.RULED.items() if is_node]))
+def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with ignore rules, hidden files and broken bytes, scanned where Spark can read it."""
+    return _scanned(spark, no_gitignore=False)
+
+
+@query("scan_tree_all", _rows("file, language, loc", [(name, lang, data.count(b"\n") + 1) for name, (data, _) in cases.RULED.items() for lang in [{"py": "Python", "rs": "Rust", "ts": "TypeScript"}.get(name.rpartition(".")[2])] if lang and not name.startswith(".")]))
+def scan_tree_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same folder without its ignore rules."""
+    return _scanned(spark, no_gitignore=True)
+
+
+def _scanned(spark: SparkSession, no_gitignore: bool) -> DataFrame:
+    root = fam.write_files(spark, {name: data for name, (data, _) in cases.RULED.items()})
+    files, _ = sources.scan_store(spark, root, no_gitignore)
+    path = F.col("path")
+    return files.select(F.substring(path, F.length("root") + 2, F.length(path)).alias("file"), languages.language_of(path).alias("language"), paths.line_count(F.col("content")).alias("loc"))
+
+
 # --- The hand-off graph ---------------------------------------------------------------------------
 
 
@@ -242,9 +331,9 @@ def largest_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.largest_component(_scc(spark, sf_dir))
 
 
-@query("sccs_by_size", SCC + ", z AS (SELECT scc_id, count(*) size, string_agg(id, ',' ORDER BY id) members FROM comp GROUP BY 1) SELECT size, count(*) AS n, string_agg(members, ';' ORDER BY scc_id) AS components FROM z GROUP BY 1")
+@query("sccs_by_size", SCC + " SELECT count(*) OVER (PARTITION BY scc_id) AS size, scc_id, id FROM comp")
 def sccs_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components_by_size(_scc(spark, sf_dir)).select("size", F.size("components").cast("bigint").alias("n"), F.array_join(F.transform("components", lambda c: F.array_join(c, ",")), ";").alias("components"))
+    return graph.components_by_size(_scc(spark, sf_dir))
 
 
 @query("largest_members", SCC + " SELECT id FROM comp WHERE scc_id = (SELECT scc_id FROM comp GROUP BY 1 ORDER BY count(*) DESC, scc_id LIMIT 1)")
@@ -264,6 +353,18 @@ def bfs_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(edges, graph.vertices_of(edges).orderBy("id").limit(5))
 
 
+CHAIN = "WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part)"
+
+
+@query("bfs_chain", CHAIN + " SELECT 0::BIGINT AS s, i AS v, i::INT AS d, 2.0**least(i, 50) AS sigma FROM p")
+def bfs_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances along one path through all parts, as long as the table; its first fifty steps are doubled."""
+    i = F.col("id")
+    ids = graph.dense_ids(fam.table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    edges = ids.where(i > 0).select((i - 1).alias("src"), i.alias("dst"))
+    return graph.shortest_paths(edges.unionByName(edges.where("dst <= 50")), spark.range(1))
+
+
 @query("bfs_sigma_all", BFS + " SELECT s, v, d::INT AS d, sig AS sigma FROM sp")
 def bfs_sigma_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest paths from every id."""
@@ -336,7 +437,7 @@ od AS (SELECT lay.id, layer, row_number() OVER (PARTITION BY layer ORDER BY g DE
 
 def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, vertices = fam.part_tree(spark, sf_dir)
-    return layout.layered(edges.withColumn("graph", F.lit("tree")), vertices.withColumn("graph", F.lit("tree")), steps="layers")
+    return layout.order_layers(layout.assign_layers(edges, vertices), edges)
 
 
 @query("layer_assign", TREE + " SELECT id, layer::INT AS layer FROM lay")
@@ -354,9 +455,52 @@ def crossing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.crossing_counts(_layers(spark, sf_dir), fam.part_tree(spark, sf_dir)[0])
 
 
+STEP = "SELECT a.id, CASE WHEN count(b.x) > 0 THEN 0.5*any_value(a.x) + 0.5*avg(b.x) ELSE any_value(a.x) END x, any_value(a.y) y FROM {0} a LEFT JOIN near ON near.id = a.id LEFT JOIN {0} b ON b.id = near.w GROUP BY a.id"
+COORDS = (
+    TREE
+    + """, c0 AS (SELECT id, (ord*120.0 - (w-1)*60.0)*1.5 x, (layer*150.0 - (SELECT max(layer) FROM lay)*75.0)*1.5 y FROM od),
+near AS (SELECT src id, dst w FROM te UNION ALL SELECT dst, src FROM te), """
+    + f"c1 AS ({STEP.format('c0')}), c2 AS ({STEP.format('c1')}), c3 AS ({STEP.format('c2')}) SELECT id, round(x, 3)::DOUBLE AS x, round(y, 3)::DOUBLE AS y FROM c3"
+)
+
+
+@query("layer_coords", COORDS)
+def layer_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = fam.materialize(fam.part_tree(spark, sf_dir)[0], "tree")
+    placed = layout.coordinates(fam.materialize(_layers(spark, sf_dir), "layers"), edges)
+    return placed.select("id", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
+
+
+# Graph, vertices, edges, and each vertex's layer, place, x and y.
+LAYERED_CASES = [
+    ("cycle", 4, [(0, 1), (1, 2), (2, 0), (0, 3)], [(0, 0, 0, -2.8125, -225.0), (1, 1, 0, -28.125, 0.0), (3, 1, 1, 11.25, 0.0), (2, 2, 0, -39.375, 225.0)]),
+    ("crossing", 4, [(0, 3), (1, 2)], [(1, 0, 0, -90.0, -112.5), (0, 0, 1, 90.0, -112.5), (2, 1, 0, -90.0, 112.5), (3, 1, 1, 90.0, 112.5)]),
+    ("self loop", 3, [(0, 0), (1, 2)], [(1, 0, 0, -45.0, -112.5), (0, 0, 1, 90.0, -112.5), (2, 1, 0, -45.0, 112.5)]),
+]
+
+
+@query("sugiyama_cases", "SELECT graph || n_nationkey AS graph, 10*n_nationkey + id AS id, layer, ord, FALSE AS is_dummy, x::DOUBLE AS x, y::DOUBLE AS y FROM nation, " + cases.sql_rows("graph, id, layer, ord, x, y", [(g, *r) for g, _, _, rows in LAYERED_CASES for r in rows]))
+def sugiyama_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles broken, layers, swaps and places of small graphs, one of each for every nation; ids do not begin at 0."""
+    n = F.col("n_nationkey")
+    nations = fam.table(spark, sf_dir, "nation").select("n_nationkey")
+    e = nations.select(F.explode(F.array(*[F.struct(F.concat(F.lit(g), n.cast("string")).alias("graph"), (10 * n + a).alias("src"), (10 * n + b).alias("dst")) for g, _, edges, _ in LAYERED_CASES for a, b in edges])).alias("e")).select("e.*")
+    v = nations.select(F.explode(F.array(*[F.struct(F.concat(F.lit(g), n.cast("string")).alias("graph"), (10 * n + k).alias("id")) for g, size, _, _ in LAYERED_CASES for k in range(size)])).alias("v")).select("v.*")
+    return layout.layered(e, v)
+
+
+@query("layout_factory", CIRCLE + " SELECT 'circular' AS kind, k AS id, round(300*cos(2*pi()*k/n), 6) + 0 AS x, round(300*sin(2*pi()*k/n), 6) + 0 AS y FROM q UNION ALL SELECT 'layered', id, x, y FROM (VALUES (0, 0.0, -112.5), (1, 0.0, 112.5)) AS t(id, x, y)")
+def layout_factory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default layout of the hand-off graph, and the other one of a single edge."""
+    ids = graph.dense_ids(graph.vertices_of(fam.handoff_edges(spark, sf_dir)).withColumnRenamed("id", "name"), "name")
+    pair, edge = spark.range(2), spark.range(1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    named = [layout.positions(i, e, kind).select(F.lit(kind).alias("kind"), "id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y")) for i, e, kind in ((ids, edge, layout.LAYOUTS[0]), (pair, edge, "layered"))]
+    return named[0].unionByName(named[1])
+
+
 @query("sugiyama_coords")
 def sugiyama_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole layered layout of the hand-off graph; its steps go one after another, tests hold them."""
+    """The whole layered layout of the hand-off graph; its steps go one after another, small graphs and tests hold them."""
     edges = fam.handoff_edges(spark, sf_dir)
     out = layout.layered(edges.withColumn("graph", F.lit("handoff")), graph.vertices_of(edges).withColumn("graph", F.lit("handoff")))
     return out.select("id", "layer", "ord", "is_dummy", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
@@ -369,6 +513,43 @@ def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.hit_test(points, _circle(spark, sf_dir).withColumn("radius", F.lit(30.0)))
 
 
+@query("hit_test_sizes", U + """, q AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM v),
+c AS (SELECT id, 35.0*(k % 40) x, 35.0*(k // 40) y, (20 + (k % 21))*(1 + 0.4*(k % 3)/2.0) r FROM q),
+pt AS (SELECT s_suppkey point, 11.0*(s_suppkey % 120) px, 7.0*(s_suppkey % 31) py FROM supplier)
+SELECT point, min(id) AS id FROM pt JOIN c ON sqrt((px-x)*(px-x)+(py-y)*(py-y)) < r GROUP BY 1""")
+def hit_test_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping circles as wide as ``node_size`` makes them with a score: radii from 20 to 56."""
+    ids = graph.dense_ids(graph.vertices_of(fam.handoff_edges(spark, sf_dir)).withColumnRenamed("id", "name"), "name")
+    k = F.col("id")
+    size = geometry.node_size(k % 21, F.lit(0), F.lit(20), score=(k % 3) / 2)
+    nodes = ids.select(F.col("name").alias("id"), (35.0 * (k % 40)).alias("x"), (35.0 * F.floor(k / 40)).alias("y"), size.alias("radius"))
+    s = F.col("s_suppkey")
+    return layout.hit_test(fam.table(spark, sf_dir, "supplier").select(s.alias("point"), (11.0 * (s % 120)).alias("x"), (7.0 * (s % 31)).alias("y")), nodes)
+
+
+VIEW, SCREEN = (-750.0, -425.0, 1600.0, 900.0), (800.0, 600.0)
+CAMERA = """WITH p AS (SELECT s_suppkey AS id, s_suppkey % 97 - 40.0 AS x, s_suppkey % 89 - 30.0 AS y FROM supplier),
+z AS (SELECT 50.0 - (50.0 + 750)/2 AS l, 25.0 - (25.0 + 425)/2 AS t, 800.0 AS w, 450.0 AS h)
+SELECT id, round((x - (l - 30 + w/2)) + 400, 6) AS sx, round((y - (t + 12 + h/2)) + 300, 6) AS sy, x::DOUBLE AS wx, y::DOUBLE AS wy,
+ CASE WHEN x < 0.1 THEN 0.1 WHEN x > 1000 THEN 1000 ELSE x END::DOUBLE AS zoom, x BETWEEN -5 AND 45 AND y BETWEEN -5 AND 35 AS inside FROM p, z"""
+
+
+@query("camera_views", CAMERA)
+def camera_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zoomed by two about (50, 25) and dragged by (30, -12): to the screen, back to the world, zoom limits, culling."""
+    s = F.col("s_suppkey")
+    p = fam.table(spark, sf_dir, "supplier").select(s.alias("id"), (s % 97 - 40.0).alias("x"), (s % 89 - 30.0).alias("y"))
+    view = geometry.pan(geometry.zoom_about(VIEW, 2.0, 50.0, 25.0), 30.0, -12.0)
+    sx, sy = geometry.world_to_screen(F.col("x"), F.col("y"), view, SCREEN)
+    wx, wy = geometry.screen_to_world(sx, sy, view, SCREEN)
+    return p.select("id", F.round(sx, 6).alias("sx"), F.round(sy, 6).alias("sy"), (F.round(wx, 6) + 0.0).alias("wx"), (F.round(wy, 6) + 0.0).alias("wy"), geometry.clamp_zoom(F.col("x")).alias("zoom"), geometry.in_canvas(F.col("x"), F.col("y"), 40.0, 30.0, 5.0).alias("inside"))
+
+
+@query("visible_nodes", CIRCLE + ", c AS (SELECT id, 300*cos(2*pi()*k/n) x, 300*sin(2*pi()*k/n) y FROM q) SELECT id FROM c WHERE x BETWEEN -40 AND 240 AND y BETWEEN -40 AND 340")
+def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.visible(_circle(spark, sf_dir), fam.handoff_edges(spark, sf_dir), 200.0, 300.0, 40.0)[0].select("id")
+
+
 # --- Page links -----------------------------------------------------------------------------------
 
 

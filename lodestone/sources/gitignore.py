@@ -43,7 +43,7 @@ def to_regex(glob: str) -> str:
 
 
 def parse(text: str, base: str = "") -> list[Rule]:
-    """Rules of one file that stands in the folder ``base`` (relative to the root, without slashes at the ends)."""
+    """Rules of one file that stands in the folder ``base``, for paths that begin with it; no base: for paths below the folder."""
     rules = []
     for line in text.splitlines():
         line = re.sub(r"(?<!\\)\s+$", "", line)
@@ -55,7 +55,7 @@ def parse(text: str, base: str = "") -> list[Rule]:
         line = line.rstrip("/")
         anchored = "/" in line
         body = to_regex(line.lstrip("/"))
-        prefix = re.escape(base) + "/" if base else ""
+        prefix = re.escape(base.rstrip("/")) + "/" if base else ""
         rules.append(Rule(re.compile(prefix + ("" if anchored else "(?:.*/)?") + body + r"\Z"), keep, directory))
     return rules
 

@@ -25,18 +25,58 @@ def edges_of(project):
     return {(strip(r["src"]), strip(r["dst"])) for r in project.edges.collect()}
 
 
-def test_cpp_tree_and_drawings(spark, tmp_path):
-    tree(tmp_path, {"base.h": "#pragma once\n", "util.cpp": '#include "base.h"\n', "main.cpp": '#include "base.h"\n#include "util.cpp"\n#include <vector>\n', "bad.cpp": b"\xff\xfe"})
+def pixels(data):
+    """Rows of a PNG of 8-bit colours, as this package writes them."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, kinds, packed = 8, [], b""
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + body)
+        kinds.append(kind)
+        if kind == b"IHDR":
+            width, height, depth, colour = struct.unpack(">IIBB", body[:10])
+            assert (depth, colour) == (8, 2)
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + n
+    assert kinds[0] == b"IHDR" and kinds[-1] == b"IEND"
+    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + 3 * width)
+    assert (rows[:, 0] == 0).all()
+    return rows[:, 1:].reshape(height, width, 3)
+
+
+def test_drawings_of_a_mixed_tree(spark, tmp_path):
+    tree(tmp_path, {"engine/Loop.cc": '#include "Clock.hh"\n#include "clock.hpp"\n\n\n', "engine/clock.hpp": "#include <chrono>\n", "tools/gen.py": "import shape\n", "tools/shape.py": "", "broken.cxx": b"int \xc3\x28;"})
     p = Project.scan(spark, str(tmp_path))
-    assert edges_of(p) == {("util.cpp", "base.h"), ("main.cpp", "base.h"), ("main.cpp", "util.cpp")}
-    assert {r["name"]: r["dependencies"] for r in p.summary().collect()} == {"base.h": 0, "util.cpp": 1, "main.cpp": 2}
+    assert edges_of(p) == {("engine/Loop.cc", "engine/clock.hpp")}  # local Python imports are looked up from the root
+    assert {r["name"]: (r["language"], r["loc"], r["dependencies"]) for r in p.summary().collect()} == {"Loop.cc": ("C++", 5, 1), "clock.hpp": ("C++", 2, 0), "gen.py": ("Python", 2, 0), "shape.py": ("Python", 1, 0)}
     svg, png = tmp_path / "o.svg", tmp_path / "o.png"
     assert p.export(str(svg)) and p.export(str(png))
     text = svg.read_text()
-    assert text.startswith("<svg") and text.count("<line") == 3 and text.count("<title>") == 3 and "C++" in text
-    assert png.read_bytes()[:8] == b"\x89PNG\r\n\x1a\n"
-    with pytest.raises(ValueError):
-        p.export(str(tmp_path / "o.gif"))
+    assert text.startswith("<svg") and text.count("<line") == 1 and text.count("<title>") == 4 and ">C++<" in text and ">Python<" in text
+    image = pixels(png.read_bytes())
+    assert image.shape == (900, 1200, 3)
+    # Four nodes stand at the ends of a cross; off their labels they have their language's colour.
+    for (x, y), want in {(920, 450): (0, 89, 156), (600, 770): (0, 89, 156), (280, 450): (255, 212, 59), (600, 130): (255, 212, 59)}.items():
+        assert tuple(image[y - 12, x]) == want
+    assert tuple(image[610, 760]) == (173, 216, 230)  # half way along the edge from the first node to the second
+    assert tuple(image[5, 5]) == (255, 255, 255)
+    for bad in ("o.gif", "o"):
+        with pytest.raises(ValueError):
+            p.export(str(tmp_path / bad))
+
+
+def test_glyphs():
+    canvas = render.Canvas(40, 12)
+    canvas.text(2, 5, "Aa\u00e9", centered=False)
+    ink = (canvas.pixels == 0).all(2)
+    for k, glyph in enumerate((render.FONT["A"], render.FONT["a"], render.BOX)):
+        assert ["".join("1" if x else "0" for x in row) for row in ink[2:9, 2 + 6 * k : 7 + 6 * k]] == glyph.split()
 
 
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
@@ -88,6 +128,34 @@ def test_ignore_rules(tmp_path, spark):
     assert hit("top.txt") and not hit("sub/top.txt") and hit("doc/a/b/x") and hit("doc/x") and hit("q/deep") and hit("z/a1.c") and hit("!odd")
 
 
+def test_ignore_rules_of_a_repository(tmp_path, monkeypatch):
+    """Rules above the root, of info/exclude and of the user, and which of them win."""
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "home/.config"))
+    made = {"home/.gitconfig": "[core]\n\texcludesFile = ~/mine\n", "home/mine": "user_*.py\n", "repo/.git/info/exclude": "local.py\nback.py\n", "repo/.gitignore": "/in/x.py\nup.py\n", "repo/in/.gitignore": "!back.py\n", "repo/in/sub/.gitignore": "deep.py\n", "repo/in/sub/.ignore": "!deep.py\nplain.py\n", ".ignore": "far.py\n"}
+    kept = {"repo/in/a.py", "repo/in/back.py", "repo/in/sub/deep.py", "repo/in/sub/x.py"}
+    for name in [*kept, "repo/in/x.py", "repo/in/up.py", "repo/in/local.py", "repo/in/user_1.py", "repo/in/far.py", "repo/in/sub/plain.py"]:
+        made[name] = ""
+    tree(tmp_path, made)
+    seen = lambda root, no=False: {os.path.relpath(p, tmp_path) for p in files.walk(str(tmp_path / root), no)}
+    assert seen("repo/in") == kept
+    assert len(seen("repo/in", True)) == 10
+    os.rename(tmp_path / "repo/.git", tmp_path / "repo/no")  # outside a repository only the root's .gitignore and .ignore files count
+    assert seen("repo/in") == kept | {"repo/in/x.py", "repo/in/up.py", "repo/in/local.py", "repo/in/user_1.py"}
+
+
+def test_scan_of_a_store(spark, tmp_path):
+    """The scan through Spark's file systems finds what the local one finds, odd names included."""
+    tree(tmp_path / "s", {".gitignore": "gone.py\n", "gone.py": "", "pkg/__init__.py": "import os\n", "pkg/_own/[id].ts": "let a = 1\n", "a b.py": "x", "bad.py": b"\xff", "__pycache__/z.py": "", "b.txt": ""})
+    root = os.path.realpath(tmp_path / "s")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for no in (False, True):
+        local, store = files.scan(spark, root, no), files.scan_store(spark, f"file://{root}", no)
+        assert rows(store[0]) == rows(local[0]) and rows(store[1]) == rows(local[1])
+        assert local[0].count() == 4 + no
+    assert files.scan_store(spark, f"file://{root}", at_once=1)[0].count() == 4
+
+
 def test_empty_and_bad_arguments(spark, tmp_path):
     with pytest.raises(NoSupportedFiles):
         Project.scan(spark, str(tmp_path))
@@ -208,6 +276,65 @@ def test_hit_test_of_wide_circles(spark):
 def test_shortest_paths_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(53)], "src bigint, dst bigint")
     start = spark.createDataFrame([(0,)], "id bigint")
-    assert {r["v"]: (r["d"], r["sigma"]) for r in graph.shortest_paths(chain, start).collect()} == {i: (i, 1.0) for i in range(54)}
+    for small in (graph.SMALL_EDGES, 0):
+        assert {r["v"]: (r["d"], r["sigma"]) for r in graph.shortest_paths(chain, start, small_edges=small).collect()} == {i: (i, 1.0) for i in range(54)}
     with pytest.raises(RuntimeError):
         graph.shortest_paths(chain, start, most=5)
+
+
+def test_layers_of_a_table_as_of_one_graph(spark):
+    """The rounds over DataFrames agree with the steps of one graph."""
+    import random
+
+    rng = random.Random(5)
+    n = 60
+    edges = sorted({(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(90)) if a < b})
+    g = layout.LayeredGraph(n, edges)
+    layers = g.assign_layers()
+    xy = g.coordinates(layers)
+    e, v = spark.createDataFrame(edges, "src bigint, dst bigint"), spark.range(n)
+    ordered = layout.order_layers(layout.assign_layers(e, v), e)
+    got = {r["id"]: (r["layer"], r["ord"]) for r in ordered.collect()}
+    assert got == {v: (k, j) for k, layer in enumerate(layers) for j, v in enumerate(layer)}
+    placed = {r["id"]: (r["x"], r["y"]) for r in layout.coordinates(ordered, e).collect()}
+    assert placed.keys() == xy.keys() and all(placed[v] == pytest.approx(xy[v]) for v in xy)
+
+
+def test_swaps_count_what_a_recount_counts():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(30):
+        edges = [(a, b) for a in range(6) for b in range(6, 12) if rng.random() < 0.4]
+        g = layout.LayeredGraph(12, edges)
+        layer, below = list(range(6)), list(range(6, 12))
+        place = {v: j for j, v in enumerate(below)}
+        ends = [sorted(place[w] for w in g.out[v]) for v in layer]
+        for j in range(5):
+            swapped = layer[:j] + [layer[j + 1], layer[j]] + layer[j + 2 :]
+            change = layout.pairs_at_least(ends[j + 1], ends[j]) - layout.pairs_at_least(ends[j], ends[j + 1])
+            assert g.crossings(swapped, below) - g.crossings(layer, below) == change
+
+
+def test_cycles_go_whatever_root_they_hang_on():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(40):
+        n = 8
+        g = layout.LayeredGraph(n, [(rng.randrange(n), rng.randrange(n)) for _ in range(16)])
+        g.break_cycles()
+        left, alive = {v: set(g.out[v]) for v in range(n)}, set(range(n))
+        while sinks := {v for v in alive if not left[v] & alive}:
+            alive -= sinks
+        assert not alive
+
+
+def test_shortest_paths_both_ways(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(20), rng.randrange(20)) for _ in range(45)]
+    e = spark.createDataFrame(edges, "src bigint, dst bigint")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(graph.shortest_paths(e)) == rows(graph.shortest_paths(e, small_edges=0))
