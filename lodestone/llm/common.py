@@ -29,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; made up only where none is set."""
+    """The folder that driver and executors share; made up only in local mode, where they are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -108,6 +111,16 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
+def carried(docs: DataFrame, *kept: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but ``kept`` under names of no meaning, so that none clashes; and what they were, in order."""
+    names = {c if c in kept else f"_c{k}": c for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(r) for r, c in names.items()]), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(r).alias(c) for r, c in names.items()])
+
+
 def relabel(ids: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     """ids with ``column`` replaced by its label, where it has one.  labels: (id, component)."""
     named = labels.select(F.col("id").alias(column), F.col("component").alias("_label"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, connected_components, materialize, mix, relabel, release, small, word_hashes
+from .common import GOLDEN, carried, connected_components, materialize, mix, relabel, release, restored, small, word_hashes
 from .substring import with_keys
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -242,5 +242,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, **o
     stay or all go; rows without id stay.
     """
     keep = components(docs, width, percent, **options).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("_k", F.xxhash64("text")).dropDuplicates(["doc_id", "_k"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    plain, names = carried(docs, "doc_id", "text")
+    named = plain.where("doc_id IS NOT NULL").join(keep.hint("shuffle_hash"), "doc_id", "left_semi").withColumn("k", F.xxhash64("text")).dropDuplicates(["doc_id", "k"]).drop("k")
+    return restored(named.unionByName(plain.where("doc_id IS NULL")), names)

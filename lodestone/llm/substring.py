@@ -226,7 +226,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, **options) -> DataFrame:
     """
     names = [c for c in docs.columns if c not in ("text", "kept_text", "n_words", "n_removed", "kept_sha256")]
     rest = [f"_c{i}" for i in range(len(names))]  # columns that come along may have any names
-    plain = docs.select("doc_id", "text", *[F.col(c).alias(r) for c, r in zip(names, rest, strict=True)])
+    plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(r) for c, r in zip(names, rest, strict=True)])
     keyed = with_keys(plain).select("d", "k", *rest, "text")
     joined = keyed.join(repeated_spans(docs, window, **options).hint("shuffle_hash"), ["d", "k"], "left")
     out_schema = keyed.select(*rest, "text").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
@@ -247,4 +247,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=[*rest, "text", "n_words", "n_removed", "kept_sha256"])
 
     out = joined.select(*rest, "text", "begins", "ends").mapInArrow(run, out_schema)
-    return out.withColumnsRenamed(dict(zip(rest, names, strict=True)) | {"text": "kept_text"})
+    return out.select(*[F.col(r).alias(c) for r, c in zip(rest, names, strict=True)], F.col("text").alias("kept_text"), "n_words", "n_removed", "kept_sha256")

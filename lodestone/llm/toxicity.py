@@ -12,9 +12,10 @@ be saved, and looks for no match in a block's last bytes; in a frame the length
 of a single word is told to the byte.
 
 Toxic documents are mostly ordinary text.  The toxic dictionary is therefore
-trained on those of their words that hold a run of bytes which toxic documents
-have often and ordinary ones hardly ever; the ordinary dictionary is trained on
-all words of ordinary documents, then again with the words it did worst on.
+trained on all their words as weighted samples: a word weighs more the more
+documents have it, the more its runs of bytes tell the classes apart, and the
+fewer ordinary documents have it.  The ordinary dictionary is trained on all words
+of ordinary documents, then again with the words it did worst on.
 
 Training takes a bounded sample of labelled rows, with whole texts (``sample`` of
 each class, fewer where texts have more than ``sample_chars`` characters on
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, small
+from .common import carried, crc_of_id, restored, small
 
 RUN = 5  # bytes
 FRAME = (b"\x00" * 32 + b" ", b" " + b"\x00" * 16)
@@ -118,8 +119,8 @@ class ToxicityModel:
     distances: Distances
     threshold: int
     weights: list[float]
-    #: Score where there is no window, or where nothing could be learned.
-    empty: float
+    #: Score of text with windows where no weights could be learned; text without windows scores 0.
+    unlearned: float
 
     def features(self, words: list[bytes]) -> np.ndarray:
         d = np.array(self.distances.of(words))
@@ -131,7 +132,7 @@ class ToxicityModel:
     def score(self, text: str | None) -> float:
         words = windows(text) if text else []
         if not words or not self.weights:
-            return self.empty
+            return self.unlearned if words else 0.0
         x = self.features(words)
         return float(1 / (1 + np.exp(-np.clip(self.weights[0] + x @ np.array(self.weights[1:]), -40, 40))))
 
@@ -178,17 +179,15 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> ToxicityModel:
     (ut, ct), (uo, co) = frequencies(bad), frequencies(good)
     at = np.minimum(np.searchsorted(uo, ut), max(0, len(uo) - 1))
     ordinary = np.where(uo[at] == ut, co[at], 0) if len(uo) else np.zeros(len(ut))
-    telling = np.sort(ut[(ct >= max(2, 0.004 * len(bad))) & (ct / len(bad) > 25 * (ordinary + 0.5) / len(good))])
-    tells: dict[bytes, bool] = {}
+    # How a run tells the classes apart: 0 where both have it alike, 1 from 25 times as often in toxic documents on.
+    ratio = (ct / len(bad)) / ((ordinary + 0.5) / len(good))
+    telling = dict(zip(ut.tolist(), (np.clip((ratio - 1) / 24, 0, 1) ** 4 * (ct >= max(2, 0.004 * len(bad)))).tolist(), strict=True))
+    own, common = (Counter(w for words in some for w in set(words)) for some in (bad, good))
 
-    def telling_word(w: bytes) -> bool:
-        if w not in tells:
-            tells[w] = bool(np.isin(runs(w), telling).any())
-        return tells[w]
+    def weight(w: bytes, n: int) -> int:
+        return round(min(n, 50) * n / (n + 8 * common[w]) * max((telling[x] for x in runs(w).tolist()), default=0.0))
 
-    common = {w for words in good for w in words}
-    own = Counter(w for words in bad for w in set(words) if w not in common and telling_word(w))
-    samples = [b" " + w + b" " for w, n in sorted(own.items()) for _ in range(min(n, 50))]
+    samples = [b" " + w + b" " for w, n in sorted(own.items()) for _ in range(weight(w, n))]
     rng.shuffle(samples)
     plain = [b" " + w + b" " for words in good for w in words if len(w) > 3]
     rng.shuffle(plain)
@@ -260,11 +259,15 @@ def fold(of: int, doc_id: str | Column = "doc_id") -> Column:
 
 
 def training_ids(labels: DataFrame) -> DataFrame:
-    """doc_id, toxic of the labelled ids outside the held-out fold (remainder 1 of 3)."""
-    return labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold(3) != 1).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    """doc_id, toxic of the labelled ids outside the held-out fold (remainder 1 of 3); toxic where labels of one id differ."""
+    return labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(fold(3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, at_least: float = 0.7, **options) -> DataFrame:
-    """docs without the rows that score ``at_least`` or more; columns as they were."""
+    """docs without the rows that score ``at_least`` or more; columns as they were, whatever their names.
+
+    Null, empty and blank texts stay; repeated rows are judged alike; texts of any length are read whole.
+    """
     model = fit(docs, labels, **options)
-    return score(docs, model, column="_toxicity").where(F.col("_toxicity") < at_least).select(*docs.columns)
+    plain, names = carried(docs, "text")
+    return restored(score(plain, model, column="score").where(F.col("score") < at_least), names)

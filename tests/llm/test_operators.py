@@ -107,6 +107,14 @@ def test_toxicity_rows(spark):
     assert toxicity.score(empty_docs(spark), model).count() == 0
     none = toxicity.fit(empty_docs(spark), spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert none.score("any text") == 0.0
+    one = toxicity.train(["only toxic texts here"], [1])
+    assert one.score(None) == one.score("") == one.score(" \n") == 0.0 and one.score("more") == 1.0
+
+
+def test_toxicity_labels_of_one_id(spark):
+    rows = [(0, 1), (0, 0), (2, None), (None, 1), (3, 0), (3, 0)]
+    got = toxicity.training_ids(spark.createDataFrame(rows, "doc_id bigint, toxic int")).collect()
+    assert {r["doc_id"]: r["toxic"] for r in got} == {i: y for i, y in ((0, 1), (3, 0)) if zlib.crc32(str(i).encode()) % 3 != 1}
 
 
 def test_toxicity_query(spark):
