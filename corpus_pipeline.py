@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, neardup, packing, substring, toxicity
-from lodestone.llm.common import materialize, table
+from lodestone.llm.common import carried, materialize, release, restored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,28 +31,32 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 35 words or more that occur again anywhere go, wherever they stand; every row stays.
 
-    A text that loses words is its kept words joined by one space; n_chars follows the text.
+    A text that loses words is its kept words joined by one space; n_chars
+    follows the text.  Further columns stay, whatever their names.
     """
-    out = substring.remove_repeats(docs, window=35)
-    chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))
-    out = out.withColumn("n_chars", chars).drop("n_words", "n_removed", "kept_sha256").withColumnRenamed("kept_text", "text")
-    return out.select(*docs.columns)
+    plain, names = carried(docs, "doc_id", "text")
+    out = substring.remove_repeats(plain, window=35)
+    chars = next(r for r, c in names.items() if c == "n_chars")
+    out = out.withColumn(chars, F.when(F.col("n_removed") > 0, F.length("kept_text").cast("bigint")).otherwise(F.col(chars)))
+    return restored(out.withColumnRenamed("kept_text", "text"), names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source comes near its target: a row is there 0, 1 or 2 times, as the mix takes it.
 
     Texts without words weigh nothing in a mix and stay once.  Rows without id
-    stay once too; rows of one id are taken alike.
+    stay once too; rows of one id are taken alike.  Further columns stay,
+    whatever their names.
     """
-    plan = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies"), F.max("size").alias("_size"))
-    times = F.when(F.coalesce("_size", F.lit(0)) == 0, F.lit(1)).otherwise(F.col("_copies")).cast("int")
-    joined = docs.join(plan.hint("shuffle_hash"), "doc_id", "left").withColumn("_copies", times)
-    return joined.where("_copies > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plain, names = carried(docs, "doc_id", "text")
+    plan = mixing.mix_sources(docs.select("doc_id", "text", "source")).groupBy("doc_id").agg(F.max("copies").alias("copies"), F.max("size").alias("size"))
+    times = F.when(F.coalesce("size", F.lit(0)) == 0, F.lit(1)).otherwise(F.col("copies")).cast("int")
+    joined = plain.join(plan.hint("shuffle_hash"), "doc_id", "left").withColumn("copies", times)
+    return restored(joined.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))), names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every row in sequences of 2048 tokens."""
+    """Pieces of every row in sequences of 2048 tokens; repeated rows are packed each by itself."""
     return packing.pack(docs)
 
 
@@ -69,7 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's rows are a written table, deleted once the next one is there; the last stage reads the one before it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
