@@ -32,6 +32,7 @@ from .common import word_hashes
 
 # Element names of the HTML standard by their role here.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source svg path use input object param math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction semantics annotation annotation-xml".split())
+FOREIGN = frozenset("svg path math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg option".split())
 #: Without an end tag these reach to the end of the page.
@@ -39,7 +40,8 @@ TO_THE_END = frozenset("script style textarea title iframe".split())
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+# A quote begins a value only after an equals sign; anywhere else it is a character like others.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PARTS = re.compile(r"[a-z]+")
 
@@ -108,6 +110,7 @@ def blocks_of(page: str) -> list[Block]:
         if m[2] is None:
             continue
         name = m[2].lower()
+        alone = name in VOID or name in FOREIGN and m[3].endswith("/")  # a slash ends nothing else
         if m[1]:
             if name not in INLINE:
                 flush()
@@ -116,7 +119,7 @@ def blocks_of(page: str) -> list[Block]:
             close((name,))
             continue
         if name in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not alone:
                 if name not in unclosed and re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at) is None:
                     unclosed.add(name)
                 if name in unclosed and name in TO_THE_END:
@@ -133,7 +136,7 @@ def blocks_of(page: str) -> list[Block]:
                 close(("p",), frozenset(("td", "th", "button", "table")))
             if name in SIBLINGS:
                 close(SIBLINGS[name], frozenset(("ul", "ol", "dl", "table", "select")))
-        if name not in VOID and not m[3].rstrip().endswith("/"):
+        if not alone:
             parts = [name]
             for attr in NAMES.finditer(m[3]):
                 value = (attr[2] or attr[3] or attr[4] or "").lower()
@@ -319,7 +322,6 @@ class Labeller:
                 self.p[k] -= (pace * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
-MAIN_PARTS = frozenset("article main .article .main .content .post .entry .story .body .text".split())
 OTHER_PARTS = frozenset("nav header footer aside form head title button .ad .ads .advert .sidebar .nav .menu .footer .header .comment .comments .cookie .notice .banner .promo .related .share .newsletter".split())
 
 
@@ -388,7 +390,7 @@ def made_up_page(rng: random.Random) -> tuple[str, list[bool]]:
         out = leaf("h3", 2, False, "") if rng.random() < 0.6 else ""
         for _ in range(rng.randint(1, 6)):
             a2, z2 = named("comment reply comment-body response", "div li div article")
-            out += a2 + (leaf("span", 2, False, "") if False else "") + leaf("p", rng.randint(3, 60), False) + z2
+            out += a2 + leaf("p", rng.randint(3, 60), False) + z2
         return a + out + z
 
     def main_part() -> str:
@@ -435,8 +437,8 @@ def made_up_page(rng: random.Random) -> tuple[str, list[bool]]:
     return page, labels
 
 
-def fit(pages: DataFrame | None, sample: int = 200, made_up: int = 900, size: int = 16, steps: int = 240, seed: int = 0) -> Labeller:
-    """pages: html.  At most about ``sample`` rows of it, by a hash of the text, come to the driver."""
+def fit(pages: DataFrame | None, sample: int = 200, made_up: int = 900, size: int = 16, steps: int = 240, seed: int = 0, sample_chars: int = 200_000) -> Labeller:
+    """pages: html.  The first ``sample`` different pages of up to ``sample_chars`` characters, by a hash of the text, come to the driver, whole."""
     rng = random.Random(seed)
     docs, labels = [], []
     while len(docs) < made_up:
@@ -446,10 +448,11 @@ def fit(pages: DataFrame | None, sample: int = 200, made_up: int = 900, size: in
             docs.append(blocks)
             labels.append(np.array(known[: len(blocks)], float))
     if pages is not None:
-        share = min(1.0, 1.25 * sample / max(1, pages.count()))
-        own = pages.select("html").where("html IS NOT NULL").where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * sample).collect()
-        for text in sorted(r["html"][:200_000] for r in own):
-            blocks = blocks_of(text)
+        short = pages.select("html", F.xxhash64("html").alias("h")).where(F.length("html") <= sample_chars)
+        share = min(1.0, 8 * sample / max(1, pages.count()))  # few need to be sorted; at least ``sample`` are left unless most pages are long
+        own = short.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share * (1 << 20)).distinct().orderBy("h", "html").limit(sample).collect()
+        for r in own:
+            blocks = blocks_of(r["html"])
             known = [teacher(b) for b in blocks]
             if any(known) and len(blocks) <= 200:
                 docs.append(blocks)
