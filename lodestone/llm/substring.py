@@ -18,8 +18,8 @@ about fifteen windows.
 
 Nothing in the corpus is capped: an anchor with more than ``hot_passages``
 different passages (the rim of a passage that very many texts share) would be
-too much for one shard; its windows are counted one by one by 128-bit hash
-instead, which spreads over all tasks.
+too much for one shard; its windows are anchored anew, more finely, and go through
+FM-indexes of their own (``by_finer_anchors``).
 """
 
 from __future__ import annotations
@@ -155,23 +155,68 @@ def match_shard(table: pa.Table, window: int) -> pa.Table:
     return pa.table({"a": a[keep][hit], "c": c[keep][hit], "begins": pa.array(begins, ints), "ends": pa.array(ends, ints)})
 
 
-def hot_windows(hot: DataFrame, window: int) -> DataFrame:
-    """The same for the windows of hot anchors, by counting hashes of windows."""
+def window_keys(words: list[bytes], window: int, rim: int) -> list[tuple[int, int, int]]:
+    """(place, finer anchor, content) of each window: the anchor is a hash of its first and last ``rim`` words."""
+    out = []
+    for t in range(len(words) - window + 1):
+        own = words[t : t + window]
+        rims = own if 2 * rim >= window else own[:rim] + own[-rim:]
+        out.append((t, signed(b" ".join(rims), rim), signed(b" ".join(own), 0)))
+    return out
+
+
+def signed(data: bytes, seed: int) -> int:
+    h = xxhash.xxh3_64_intdigest(data, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def by_finer_anchors(hot: DataFrame, window: int, rim: int, hot_passages: int, shard_passages: int) -> DataFrame:
+    """(a, c, begins, ends) of passages (a, c, w, words) whose anchors have too many for one index.
+
+    Their windows are passages of their own here, anchored by the ``rim`` words
+    at either end: texts around one shared passage differ in one of the two.
+    Anchors seen once are dropped; the rest is dealt to FM-indexes as before.  An
+    anchor that is still too much goes on with rims twice as long, in the end
+    with whole windows, when an anchor has one window only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                rows: list[tuple] = []
-                for one in batch.slice(a, 256).to_pylist():
-                    words = one["words"].split(b" ")
-                    for t in range(len(words) - window + 1):
-                        h = xxhash.xxh3_128_digest(b" ".join(words[t : t + window]))
-                        rows.append((one["a"], one["c"], one["w"], t, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["a", "c", "w", "t", "h1", "h2"])
+            for a in range(0, batch.num_rows, 512):
+                rows = [(one["a"], one["c"], one["w"], *key) for one in batch.slice(a, 512).to_pylist() for key in window_keys(one["words"].split(b" "), window, rim)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["a", "c", "w", "t", "a2", "c2"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                own, rows = words.as_py().split(b" "), wanted.as_py()
+                cols = [pa.array([r[f] for r in rows], pa.int64()) for f in ("a2", "c2", "w")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([b" ".join(own[r["t"] : r["t"] + window]) for r in rows], pa.binary())], names=["a", "c", "w", "words"])
+
+    last = 2 * rim >= window
+    hot = hot.dropDuplicates(["a", "c"]).select("a", "c", "w", "words")
+    rows = materialize(hot.mapInArrow(run, "a bigint, c bigint, w bigint, t bigint, a2 bigint, c2 bigint"), "hot-windows")
+    repeated = materialize(rows.groupBy("a2").agg(F.sum("w").alias("times")).where("times >= 2").select("a2"), "hot-repeated")
+    places = materialize(rows.join(repeated, "a2"), "hot-places")
+    release(rows, repeated)
+    kinds = materialize(places.groupBy("a2", "c2").agg(F.sum("w").alias("w"), F.min(F.struct("a", "c", "t")).alias("at")).select("a2", "c2", "w", "at.a", "at.c", "at.t"), "hot-kinds")
+    wanted = kinds.groupBy("a", "c").agg(F.collect_list(F.struct("a2", "c2", "w", "t")).alias("wanted"))  # at most a passage's windows
+    words = materialize(hot.join(wanted, ["a", "c"]).select("words", "wanted").mapInArrow(cut, "a bigint, c bigint, w bigint, words binary"), "hot-words")
+    crowds = materialize(kinds.groupBy("a2").agg(F.count("*").alias("n")).where(F.lit(not last) & (F.col("n") > hot_passages)).select(F.col("a2").alias("a")), "hot-crowds")
+    shards = max(1, -(-kinds.count() // shard_passages))
+    found = match_shards(words.join(crowds, "a", "left_anti"), window, shards)
+    if not last and not crowds.isEmpty():
+        found = found.unionByName(by_finer_anchors(words.join(crowds, "a", "left_semi"), window, 2 * rim, hot_passages, shard_passages))
+    found = materialize(found.select(F.col("a").alias("a2"), F.col("c").alias("c2")), "hot-found")
+    release(kinds, crowds, words)
+    hits = places.join(found, ["a2", "c2"]).groupBy("a", "c").agg(F.collect_list(F.col("t").cast("int")).alias("begins"))
+    return hits.withColumn("ends", F.transform("begins", lambda t: (t + window).cast("int")))
 
-    rows = hot.dropDuplicates(["a", "c"]).select("a", "c", "w", "words").mapInArrow(run, "a bigint, c bigint, w bigint, t bigint, h1 bigint, h2 bigint")
-    many = rows.groupBy("h1", "h2").agg(F.sum("w").alias("n")).where("n >= 2").drop("n")
-    return rows.join(many, ["h1", "h2"]).groupBy("a", "c").agg(F.collect_list(F.col("t").cast("int")).alias("begins"), F.collect_list((F.col("t") + window).cast("int")).alias("ends"))
+
+def match_shards(words: DataFrame, window: int, shards: int) -> DataFrame:
+    """(a, c, begins, ends) of passages (a, c, w, words), dealt to FM-indexes by anchor."""
+    shard = F.pmod(F.xxhash64("a", F.lit("shard")), F.lit(shards))
+    return words.select("a", "c", "w", "words").withColumn("shard", shard).groupBy("shard").applyInArrow(lambda t: match_shard(t, window), "a bigint, c bigint, begins array<int>, ends array<int>")
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -196,10 +241,12 @@ def repeated_spans(docs: DataFrame, window: int = 35, gram: int = GRAM, hot_pass
     texts = with_keys(docs.select("doc_id", "text")).select("d", "k", "text")
     words = materialize(fetch_words(texts.join(wanted.hint("shuffle_hash"), ["d", "k"])), "passage-words")
     shards = max(1, -(-kinds.count() // shard_passages))
+    any_hot = not hot.isEmpty()
     release(kinds, hot)
-    shard = F.pmod(F.xxhash64("a", F.lit("shard")), F.lit(shards))
-    cold = words.where(~F.col("hot")).withColumn("shard", shard).groupBy("shard").applyInArrow(lambda t: match_shard(t, window), "a bigint, c bigint, begins array<int>, ends array<int>")
-    found = materialize(cold.unionByName(hot_windows(words.where("hot"), window)), "repeated-spans")
+    found = match_shards(words.where(~F.col("hot")), window, shards)
+    if any_hot:
+        found = found.unionByName(by_finer_anchors(words.where("hot"), window, gram, hot_passages, shard_passages))
+    found = materialize(found, "repeated-spans")
     release(words)
     spans = places.join(found, ["a", "c"]).select("d", "k", F.expr("transform(begins, x -> x + s)").alias("begins"), F.expr("transform(ends, x -> x + s)").alias("ends"))
     return spans.groupBy("d", "k").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
