@@ -11,9 +11,11 @@ in either collection.
 3. Half keys that only one set has are dropped; the rest are paired to table keys.
 4. Each bucket's members are held against its first member, on full sets.
 5. A bucket whose members are still in several components has pairs that nobody
-   compared: those are compared too, within groups of such buckets, in blocks of
-   bounded size.  So every pair that shares a bucket is compared or already
-   known to be connected; no bucket is capped.
+   compared.  Such buckets overlap, so the members of those that hang together are
+   dealt to blocks of bounded size, and in a block the pairs that share a bucket
+   (a half key of either collection) are compared, once each.  So every pair that
+   shares a bucket is compared or already known to be connected; no bucket is
+   capped.
 6. Components by minimum labels.
 
 Texts are fetched only for sets that share a bucket.  A leader with many members
@@ -137,8 +139,9 @@ def confirm(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select("xd", "xk", "salt", "y", "text").mapInArrow(run, "src bigint, dst bigint")
 
 
-def compare_block(ids: list[int], labels: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect different labels.  side: 0 and 1 are compared with each other, 2 with all of 2."""
+def compare_block(ids: list[int], labels: list[int], side: np.ndarray, sets: list[np.ndarray], halves: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect different labels, of pairs that share a half key of either collection.  side: 0 and 1 are compared with each other, 2 with all of 2."""
+    m = halves.shape[1] // 2
     first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
     size = np.array([len(s) for s in sets])
@@ -149,10 +152,12 @@ def compare_block(ids: list[int], labels: list[int], side: np.ndarray, sets: lis
         own = local[first[i] : first[i] + size[i]]
         fit = (label != label[i]) & (100 * size >= percent * size[i]) & (percent * size <= 100 * size[i])
         fit &= (np.arange(len(ids)) > i) & ((side == 2) | (side != side[i]))
-        if not fit.any():
+        some = np.flatnonzero(fit)
+        shared = halves[some] == halves[i]
+        some = some[shared[:, :m].any(1) & shared[:, m:].any(1)]
+        if not len(some):
             continue
         mark[own] = 1
-        some = np.flatnonzero(fit)
         if 4 * len(some) < len(ids):
             common = np.array([mark[local[first[j] : first[j] + size[j]]].sum() for j in some])
         else:
@@ -213,13 +218,14 @@ def components(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 3
         blocks = F.when(F.col("n") <= block, F.lit(1)).otherwise(F.ceil(F.col("n") * 2 / block)).cast("int")
         dealt = rows_left.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("d", "k", F.lit("block")), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
-        dealt = dealt.join(texts, ["d", "k"]).select("cluster", "p", "q", "own", "d", "label", "text")
+        dealt = dealt.join(texts, ["d", "k"]).join(sets.select("d", "k", "halves"), ["d", "k"]).select("cluster", "p", "q", "own", "d", "label", "halves", "text")
 
         def compare(part: pa.Table) -> pa.Table:
             sets_here = [shingle_set(t, width) for t in part.column("text").to_pylist()]
             p, q, own = (part.column(c).to_numpy() for c in ("p", "q", "own"))
             sides = np.where(p == q, 2, (own == q).astype(np.int64))
-            got = compare_block(part.column("d").to_pylist(), part.column("label").to_pylist(), sides, sets_here, percent)
+            halves_here = part.column("halves").combine_chunks().flatten().to_numpy().reshape(-1, 2 * m)
+            got = compare_block(part.column("d").to_pylist(), part.column("label").to_pylist(), sides, sets_here, halves_here, percent)
             return pa.table({"src": pa.array([x for x, _ in got], pa.int64()), "dst": pa.array([y for _, y in got], pa.int64())})
 
         more = materialize(dealt.groupBy("cluster", "p", "q").applyInArrow(compare, "src bigint, dst bigint").distinct(), "more-links")
