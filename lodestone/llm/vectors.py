@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, mix, shuffle_partitions
 
+LOG = logging.getLogger(__name__)
 #: Rows of a table that is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -66,47 +68,63 @@ def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tupl
     return query[keep], ids[keep], scores[keep]
 
 
+RINGS = 8
+
+
 class Cells:
-    """Pivots, and of each pivot's cell the radius and some of its rows: the summary of the data."""
+    """Pivots, and each pivot's rows in rings of like norm: the cells.  Of a cell its radius, its largest norm, its size and some of its rows: the summary."""
 
     def __init__(self, pivots: np.ndarray, scale: int):
         self.pivots, self.scale = pivots, scale
-        self.radius = np.full(len(pivots), -1.0)
+        norms = np.sqrt((pivots * pivots).sum(1))
+        self.middle = float(np.median(norms)) or 1.0
+        self.count = len(pivots) * RINGS
+        self.radius, self.norm, self.size = np.full(self.count, -1.0), np.zeros(self.count), np.zeros(self.count, np.int64)
         self.rows, self.ids = np.zeros((0, pivots.shape[1])), np.zeros(0, np.int64)
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        square = (x * x).sum(1)[:, None] - 2 * x @ self.pivots.T + (self.pivots * self.pivots).sum(1)
-        cell = square.argmin(1)
-        return cell, np.sqrt(((x - self.pivots[cell]) ** 2).sum(1))
+        """Cell of each row and how far its pivot is.  Rings are half octaves of norm around the pivots' median."""
+        square = (x * x).sum(1)
+        pivot = (square[:, None] - 2 * x @ self.pivots.T + (self.pivots * self.pivots).sum(1)).argmin(1)
+        ring = np.floor(np.log2(np.maximum(square, 1e-9)) - 2 * math.log2(self.middle)).astype(np.int64) + RINGS // 2
+        return pivot * RINGS + np.clip(ring, 0, RINGS - 1), np.sqrt(((x - self.pivots[pivot]) ** 2).sum(1))
 
     def bounds(self, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each query: a score that rows of k ids reach at least; for each cell a score that no row of it passes."""
+        """Of each query: a score that rows of k ids reach at least; for each cell a score that no row of it passes.
+
+        A row is within the radius of its pivot and within its ring's norm; either bounds the product.
+        """
         reach = products(q, self.rows).astype(float)
         reach[ids[:, None] == self.ids] = -np.inf
         at_least = np.full(len(q), -np.inf)
         if len(self.ids) > k:
             at_least = -np.partition(-reach, k - 1, axis=1)[:, k - 1]
-        most = q @ self.pivots.T + np.sqrt((q * q).sum(1))[:, None] * self.radius
+        norm = np.sqrt((q * q).sum(1))[:, None]
+        most = np.minimum(np.repeat(q @ self.pivots.T, RINGS, axis=1) + norm * self.radius, norm * self.norm)
         most = np.where(self.radius < 0, -np.inf, most + 1e-6 * (1 + np.abs(most)))
         return at_least, most
 
 
 def summarize(data: DataFrame, cells: Cells, kept: int) -> None:
-    """Fill in radius and rows: at most ``kept`` rows of a cell from each partition, then of each cell."""
-    schema = "cell int, id bigint, far double, v array<double>, radius double"
+    """Fill in the summary: at most ``kept`` rows of a cell from each partition, then of each cell."""
+    schema = "cell int, id bigint, far double, v array<double>, radius double, norm double, n bigint"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def table(cell, ids, far, x, radius) -> pa.Table:
-        return pa.table({"cell": pa.array(cell, pa.int32()), "id": pa.array(ids, pa.int64()), "far": pa.array(far, pa.float64()), "v": pa.array(list(x), pa.list_(pa.float64())), "radius": pa.array(radius, pa.float64())})
-
-    def nearest_of(cell, ids, far, x, radius):
+    def reduced(cell, ids, far, x, radius, norm, n) -> pa.Table:
+        """Of each cell the nearest rows, an id once; the cell's measures stand on the first and are neutral on the others."""
         out = []
         for c in np.unique(cell):
             own = np.flatnonzero(cell == c)
             pick = own[np.lexsort((ids[own], far[own]))]
-            pick = pick[np.sort(np.unique(ids[pick], return_index=True)[1])[:kept]]  # an id once
-            out.append(table(cell[pick], ids[pick], far[pick], x[pick], np.full(len(pick), radius[own].max())))
+            pick = pick[np.sort(np.unique(ids[pick], return_index=True)[1])[:kept]]
+            first = np.arange(len(pick)) == 0
+            measures = [np.where(first, f, 0) for f in (radius[own].max(), norm[own].max(), n[own].sum())]
+            out.append(pa.table([pa.array(cell[pick], pa.int32()), pa.array(ids[pick], pa.int64()), pa.array(far[pick]), pa.array(list(x[pick]), pa.list_(pa.float64())), *map(pa.array, measures)], names=names))
         return pa.concat_tables(out)
 
+    def again(t: pa.Table) -> pa.Table:
+        return reduced(*(matrix(t.column(c)) if c == "v" else t.column(c).to_numpy() for c in names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -114,38 +132,54 @@ def summarize(data: DataFrame, cells: Cells, kept: int) -> None:
                 continue
             x = whole_numbers(matrix(batch.column(1), cells.pivots.shape[1]), cells.scale)
             cell, far = cells.nearest(x)
-            t = nearest_of(cell, batch.column(0).to_numpy(), far, x, far)
-            held = t if held is None else pa.concat_tables([held, t])
+            t = reduced(cell, batch.column(0).to_numpy(), far, x, far, np.sqrt((x * x).sum(1)), np.ones(len(x), np.int64))
+            held = t if held is None else again(pa.concat_tables([held, t]))
         if held is not None:
-            yield from nearest_of(*(held.column(c).to_numpy() for c in ("cell", "id", "far")), matrix(held.column("v")), held.column("radius").to_numpy()).to_batches()
-
-    def merge(t: pa.Table) -> pa.Table:
-        return nearest_of(*(t.column(c).to_numpy() for c in ("cell", "id", "far")), matrix(t.column("v")), t.column("radius").to_numpy())
+            yield from held.combine_chunks().to_batches()
 
-    rows = data.mapInArrow(run, schema).groupBy("cell").applyInArrow(merge, schema).collect()  # kept rows of each cell
+    rows = data.mapInArrow(run, schema).groupBy("cell").applyInArrow(again, schema).collect()  # kept rows of each cell
     rows.sort(key=lambda r: (r["cell"], r["far"], r["id"]))
     for r in rows:
-        cells.radius[r["cell"]] = r["radius"]
+        if r["n"]:
+            cells.radius[r["cell"]], cells.norm[r["cell"]], cells.size[r["cell"]] = r["radius"], r["norm"], r["n"]
     rows = list({r["id"]: r for r in reversed(rows)}.values())  # k rows of the summary are k ids, as in the answer
     if rows:
         cells.rows, cells.ids = np.array([r["v"] for r in rows]), np.array([r["id"] for r in rows])
 
 
-def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots: int = 64, kept: int = 8, group_queries: int = 1024, slice_rows: int = 50_000) -> DataFrame:
+def pivots_for(rows: int) -> int:
+    """More pivots for more rows, so that cells get narrower; 1,024 at most, so that they can be broadcast."""
+    return min(1024, max(64, math.isqrt(rows) // 4))
+
+
+def spread_out(sample: np.ndarray, pivots: int) -> np.ndarray:
+    """Rows of the sample, each next one the farthest from those taken, so that every cluster gets one; the first is the nearest to the mean."""
+    taken = [int(((sample - sample.mean(0)) ** 2).sum(1).argmin())]
+    far = ((sample - sample[taken[0]]) ** 2).sum(1)
+    while len(taken) < min(pivots, len(sample)):
+        taken.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[taken[-1]]) ** 2).sum(1))
+    return sample[taken]
+
+
+def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots: int | None = None, kept: int = 8, group_queries: int = 4096, slice_rows: int = 50_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of floor(scale * x), exactly.
 
-    vectors: vec_id, embedding.  Ties go to the smaller vec_id; a query is never
-    its own candidate; fewer than k candidates give fewer rows.  Rows without
-    vec_id, and vectors that are null, empty or hold null or non-finite
-    components take no part.  Shorter vectors count as filled with zeros.  A
-    repeated row counts once.
-
-    Data and queries are put in the cells of a few dozen pivots.  From a summary
-    (each cell's radius and a few of its rows, an id once) every query gets a score
-    that k ids reach, and each cell one that none of its rows passes.  Query cells are
-    gathered into groups of bounded size; a cell's rows go to the groups that
-    may need them, dealt into slices of bounded size, and each group and slice is
-    solved by itself, its cells in order of promise.
+    vectors: vec_id, embedding; further columns are ignored.  Ties go to the
+    smaller vec_id; a query is never its own candidate; fewer than k candidates
+    give fewer rows.  Rows without vec_id, and vectors that are null, empty or
+    hold null or non-finite components take no part.  Shorter vectors count as
+    filled with zeros.  A repeated row counts once.
+
+    Data and queries are put in the cells of the pivots, a cell for each ring of
+    like norm.  From a summary (each cell's radius, largest norm and a few of its
+    rows, an id once) every query gets a score that k ids reach, and each cell one
+    that none of its rows passes.  Query cells are gathered into groups of bounded
+    size; a cell's rows go to the groups that may need them, dealt into slices of
+    bounded size, and each group and slice is solved by itself, its cells in order
+    of promise.  How much of the data is sent is logged.  Where vectors lie
+    without any order in many dimensions no cell can be ruled out: then each
+    group gets all rows, and the work is queries times rows.
     """
     spark = vectors.sparkSession
     data = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("bigint").alias("id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("q"))
@@ -153,14 +187,14 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
     stats = data.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
     if not stats["n"]:
         return spark.createDataFrame([], out_schema)
-    chosen = data.orderBy(F.xxhash64("id", F.lit("pivot")), "id").select("embedding").limit(pivots).collect()  # a bounded sample
-    width = int(stats["width"])
-    start = np.zeros((len(chosen), width))
+    pivots, width = pivots or pivots_for(stats["n"]), int(stats["width"])
+    chosen = data.orderBy(F.xxhash64("id", F.lit("pivot")), "id").select("embedding").limit(8 * pivots).collect()  # a bounded sample
+    sample = np.zeros((len(chosen), width))
     for i, r in enumerate(chosen):
-        start[i, : len(r["embedding"])] = r["embedding"]
-    cells = Cells(np.unique(whole_numbers(start, scale), axis=0), scale)
+        sample[i, : len(r["embedding"])] = r["embedding"]
+    cells = Cells(spread_out(np.unique(whole_numbers(sample, scale), axis=0), pivots), scale)
     summarize(data.select("id", "embedding"), cells, kept)
-    shared = spark.sparkContext.broadcast(cells)
+    shared = spark.sparkContext.broadcast(cells)  # at most 1,024 pivots and ``kept`` rows of a cell
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
@@ -172,7 +206,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
     # Query groups: neighbouring cells together, a full cell in several parts.
     sizes = {r["cell"]: r["n"] for r in placed.where("q").groupBy("cell").agg(F.count("*").alias("n")).collect()}
     rows, group, room = [], 0, group_queries
-    for cell in sorted(sizes, key=lambda c: tuple(cells.pivots[c])):
+    for cell in sorted(sizes, key=lambda c: (*cells.pivots[c // RINGS], c)):
         parts = -(-sizes[cell] // group_queries)
         if parts > 1 or sizes[cell] > room:
             group, room = group + 1, group_queries
@@ -180,7 +214,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
         group, room = (group + parts, group_queries) if parts > 1 else (group, room - sizes[cell])
     if not rows:
         return spark.createDataFrame([], out_schema)
-    # At most one row for each pivot.
+    # At most one row for each cell.
     layout = F.broadcast(spark.createDataFrame(rows, "cell int, first int, parts int"))
     queries = placed.where("q").join(layout, "cell").withColumn("grp", (F.col("first") + F.pmod(F.xxhash64("id"), "parts")).cast("int")).select("id", "embedding", "grp")
 
@@ -191,14 +225,17 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
                 continue
             at_least, most = c.bounds(whole_numbers(matrix(batch.column(1), width), scale), batch.column(0).to_numpy(), k)
             need, grp = most >= at_least[:, None], batch.column(2).to_numpy()
-            pairs = np.unique(np.concatenate([np.stack([grp[q], cell], 1) for q, cell in [np.nonzero(need)]]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1].astype(np.int32))], names=["grp", "cell"])
-
-    needed = queries.mapInArrow(needs, "grp int, cell int").distinct()
-    if (group + 1) * len(cells.pivots) <= BROADCAST_ROWS:
+            for g in np.unique(grp):
+                cell = np.flatnonzero(need[grp == g].any(0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), g, np.int32)), pa.array(cell.astype(np.int32)), pa.array(c.size[cell])], names=["grp", "cell", "size"])
+
+    needed = materialize(queries.mapInArrow(needs, "grp int, cell int, size bigint").distinct(), "needed-cells")
+    sums = needed.agg(F.sum("size").alias("sent"), F.count_distinct("grp").alias("groups"), F.count("*").alias("rows")).first()
+    LOG.info("cells: %d of %d rows for each of %d groups of queries on average", round((sums["sent"] or 0) / max(1, sums["groups"])), stats["n"], sums["groups"])
+    if sums["rows"] <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
     slices = max(1, -(-stats["n"] // slice_rows))
-    sent = placed.select("id", "embedding", "cell").join(needed, "cell").withColumns({"part": F.pmod(F.xxhash64("id", F.lit("slice")), F.lit(slices)).cast("int"), "q": F.lit(False)})
+    sent = placed.select("id", "embedding", "cell").join(needed.drop("size"), "cell").withColumns({"part": F.pmod(F.xxhash64("id", F.lit("slice")), F.lit(slices)).cast("int"), "q": F.lit(False)})
     asked = queries.withColumns({"cell": F.lit(-1), "part": F.explode(F.sequence(F.lit(0), F.lit(slices - 1))), "q": F.lit(True)})
     columns = ["grp", "part", "q", "id", "cell", "embedding"]
 
@@ -214,8 +251,9 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, scale: int =
         for one in sorted(set(here.tolist()), key=lambda v: -most[:, v].max()):
             own = np.flatnonzero(here == one)
             ask = np.flatnonzero(most[:, one] >= at_least)
-            for a in range(0, len(own) if len(ask) else 0, 4096):
-                some = own[a : a + 4096]
+            step = max(64, 4_000_000 // max(1, len(ask)))
+            for a in range(0, len(own) if len(ask) else 0, step):
+                some = own[a : a + step]
                 scores = products(q[ask], d[some])
                 hit = (scores >= at_least[ask][:, None]) & (qid[ask][:, None] != did[some])
                 r, s = np.nonzero(hit)
