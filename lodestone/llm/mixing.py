@@ -23,27 +23,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import numbered
 from .common import WORD, materialize
 
 NEAR = 1e-9
+#: Rows of a table of sources that is broadcast; beyond, the join shuffles.
+BROADCAST_SOURCES = 10_000
 
 
-def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], budget: float, most: float) -> dict[str | None, float]:
-    """Target of each source; sources in code point order, null last, take the weights in turn."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
-    weight = {s: weights[k % len(weights)] for k, (s, _) in enumerate(order)}
-    cap = {s: most * n for s, n in order}
-    left, active, out = budget * sum(n for _, n in order), [s for s, _ in order], {}
-    while active:
-        per = left / sum(weight[s] for s in active)
-        full = [s for s in active if per * weight[s] > cap[s]]
-        if not full:
-            return out | {s: per * weight[s] for s in active}
-        for s in full:
-            out[s] = cap[s]
-            left -= cap[s]
-        active = [s for s in active if s not in out]
-    return out
+def source_targets(sources: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
+    """sources(source, size, ...) with target; sources in code point order, null last, take the weights in turn.
+
+    A source's target is its weight times a common level, at most ``most`` times
+    its size.  The level is found by rounds over the table: what passes its
+    limit at one level stops there, and the next level shares out the rest.
+    """
+    ranked = numbered(sources.withColumn("last", F.col("source").isNull()), "last", "source", name="rank").drop("last")
+    turn = F.array(*[F.lit(float(w)) for w in weights])[F.pmod("rank", F.lit(len(weights))).cast("int")]
+    ranked = materialize(ranked.withColumns({"weight": turn, "limit": F.col("size") * F.lit(float(most))}).drop("rank"), "mix-sources")
+    level, stopped = float("-inf"), -1
+    while True:
+        over = F.col("limit") < F.lit(level) * F.col("weight")
+        row = ranked.agg(F.sum("size").alias("all"), F.count_if(over).alias("stopped"), F.sum(F.when(over, F.col("limit"))).alias("used"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        if row["stopped"] == stopped or not row["open"]:
+            break
+        stopped, level = row["stopped"], (budget * (row["all"] or 0) - (row["used"] or 0.0)) / row["open"]
+    return ranked.withColumn("target", F.least("limit", F.lit(level) * F.col("weight"))).drop("weight", "limit")
 
 
 def pivot(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -81,29 +86,34 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), b
     docs: doc_id, text, source; further columns are ignored.  Size is the number
     of words (null text: 0); a document of size 0 is taken 0 times over.  A null
     source is a source like any other.  Repeated rows are decided each by
-    itself.  Returns doc_id, source, size, source_size, target, copies, taken;
-    an empty table gives an empty result.
+    itself, and dealt to many groups however many they are.  Returns doc_id,
+    source, size, source_size, target, copies, taken; an empty table gives an
+    empty result.
 
-    One row for each source comes to the driver (a name and a sum), nothing
-    that grows with the documents.
+    The table of sources may be of any length: nothing of it comes to the
+    driver but sums, and it is broadcast up to BROADCAST_SOURCES rows only.
     """
-    sized = materialize(docs.select(F.col("doc_id").cast("string"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "mix-sizes")
-    found = [(r["source"], int(r["size"] or 0), r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
-    target = source_targets([x[:2] for x in found], weights, budget, most)
-    plan = docs.sparkSession.createDataFrame(
-        [(s, n, float(target[s]), float(target[s] / n) if n else 0.0, max(1, -(-count // group_documents))) for s, n, count in found],
-        "source string, source_size bigint, target double, rate double, groups bigint",
-    )
-    rows = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    sized = docs.select(F.col("doc_id").cast("string"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    sized = materialize(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "mix-sizes")
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.sum("rows").alias("n"))
+    targets = source_targets(sources, weights, budget, most)
+    plan = targets.select(F.col("source").alias("of"), F.col("size").alias("source_size"), "target", F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0).alias("rate"), F.ceil(F.col("n") / group_documents).cast("bigint").alias("groups"))
+    plan = materialize(plan, "mix-plan")
+    about = plan.agg(F.count("*").alias("sources"), F.max("groups").alias("groups")).first()
+    plan_here = F.broadcast(plan) if about["sources"] <= BROADCAST_SOURCES else plan
+    rows = sized.join(plan_here, sized["source"].eqNullSafe(F.col("of"))).drop("of")
+    # Repeated rows one by one again, a thousand at a time.
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / 1000))))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("rows"), (F.col("part") + 1) * 1000) - 1))).drop("rows", "part")
     rows = rows.withColumns({"base": F.floor("rate").cast("bigint"), "p": F.col("rate") - F.floor("rate")})
     moving = (F.col("size") > 0) & (F.col("p") > NEAR) & (F.col("p") < 1 - NEAR)
     kept = ["doc_id", "source", "size", "source_size", "target", "base", "p", "groups"]
     still = rows.where(~moving).select(*kept).withColumn("p", F.round("p"))
-    groups = F.pmod(F.xxhash64("doc_id", "source", "size", F.lit(seed)), F.col("groups"))
-    open_rows = rows.where(moving).select(*kept).withColumn("grp", groups)
+    groups = F.pmod(F.xxhash64("doc_id", "source", "size", "nth", F.lit(seed)), F.col("groups"))
+    open_rows = rows.where(moving).select(*kept, groups.alias("grp"))
     done: list[DataFrame] = [still]
     schema = open_rows.schema
-    level, most_groups = 0, max([1, *(max(1, -(-c // group_documents)) for _, _, c in found)])
+    level, most_groups = 0, about["groups"] or 1
 
     def decider(level: int):
         def decide(part: pd.DataFrame) -> pd.DataFrame:
@@ -114,9 +124,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), b
 
         return decide
 
+    whole = (F.col("p") <= 0) | (F.col("p") >= 1)
     while True:
         out = materialize(open_rows.groupBy("source", "grp").applyInPandas(decider(level), schema), f"mix-level{level}")
-        whole = (F.col("p") <= 0) | (F.col("p") >= 1)
         done.append(out.where(whole).drop("grp"))
         open_rows = out.where(~whole).withColumn("grp", F.floor(F.col("grp") / fan_in).cast("bigint"))
         if most_groups <= 1:
