@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -159,6 +160,12 @@ def test_blocks():
 
 
 @pytest.mark.parametrize("page, want", [
+    ("<p title=don't>Hello</p><p>World</p>", ["Hello", "World"]),
+    ("<p title = \"a>b\" class='c>d' e='>Hi</p> there", []),
+    ("<p title = \"a>b\" class='c>d' e=f'>Hi</p> there", ["Hi", "there"]),
+    ("<a href=x?a='1&b=\"2\" >one</a><p \"odd'>two", ["one", "two"]),
+    ("<div/>one<br/>two<p/>three<script src=x></script>", ["one", "two", "three"]),
+    ("<math><mspace/><mi/>x</math> y<svg/> z", ["x y z"]),
     ("<form><datalist><option value=a><option value=b></datalist></form><article><p>one</p></article>", ["one"]),
     ("<form><datalist><option>a<option>b</datalist></form><p>one</p><select><option>c</option></select><p>two", ["one", "two"]),
     ("<select><option>a<option>b</select><p>one<select><optgroup><option>c</form><p>two", ["one", "two"]),
@@ -189,13 +196,66 @@ def test_labeller(spark):
     assert html.extract(spark.createDataFrame([], "page_id bigint, html string"), model).count() == 0
 
 
-def test_html_query(spark):
-    got = queries.queries()["op2_html_main_text"](spark, SF).toPandas().set_index("page_id")
-    pages = table("pages")
-    want = {r.page_id: "\n".join(b.text for b in html.blocks_of(r.html) if html.teacher(b)) for r in pages.itertuples()}
+class Plain(HTMLParser):
+    """Blocks by Python's own parser: (text, is it in an article)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.now, self.inside, self.dropped = [], "", 0, 0
+
+    def flush(self):
+        if text := " ".join(self.now.split()):
+            self.blocks.append((text, self.inside > 0))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html.INLINE:
+            self.flush()
+        self.inside += tag == "article"
+        self.dropped += tag in ("script", "style", "title")
+
+    def handle_endtag(self, tag):
+        if tag not in html.INLINE:
+            self.flush()
+        self.inside -= tag == "article"
+        self.dropped -= tag in ("script", "style", "title")
+
+    def handle_data(self, data):
+        self.now += "" if self.dropped else data
+
+
+def plain_blocks(page):
+    p = Plain()
+    p.feed(page)
+    p.close()
+    p.flush()
+    return p.blocks
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_blocks_as_another_parser_finds_them(sf):
+    for page in table("pages", sf).html.dropna():
+        assert [b.text for b in html.blocks_of(page)] == [t for t, _ in plain_blocks(page)]
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_html_query(spark, sf):
+    """The main text of the tables' pages is what stands in their articles."""
+    got = queries.queries()["op2_html_main_text"](spark, sf).toPandas().set_index("page_id")
+    pages = table("pages", sf)
+    want = {r.page_id: "\n".join(t for t, inside in plain_blocks(r.html or "") if inside) for r in pages.itertuples()}
     assert len(got) == len(pages) and np.mean([got.text[i] == t for i, t in want.items()]) > 0.98
 
 
+def test_html_model_of_made_up_pages_alone():
+    """Trained without the tables' pages, the labeller finds their articles too."""
+    model = html.fit(None)
+    pages = table("pages", "/root/testdata/sf0.01").html.dropna().tolist()
+    blocks = [html.blocks_of(p) for p in pages]
+    got = ["\n".join(b.text for b, m in zip(own, main, strict=True) if m) for own, main in zip(blocks, model.label(blocks), strict=True)]
+    assert np.mean([t == "\n".join(x for x, inside in plain_blocks(p) if inside) for t, p in zip(got, pages, strict=True)]) > 0.97
+
+
 # --- 3 substrings ---------------------------------------------------------------------------------
 
 
@@ -241,6 +301,26 @@ def test_substring_query(spark, hot):
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(words(text)), len(words(text)) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_substring_of_a_passage_in_most_texts(spark, hot):
+    """Anchors that stay crowded: one passage in most texts, a template with a varying middle, copies of rims."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    shared, left, right = ([word() for _ in range(n)] for n in (50, 12, 12))
+    texts = []
+    for i in range(60):
+        w = [word() for _ in range(30)]
+        if i % 3:
+            w += shared + [word() for _ in range(rng.randint(0, 30))]
+        if i % 4 == 0:
+            w += left + [word() for _ in range(11)] + right
+        texts.append(" ".join(w))
+    texts += [" ".join(left + ["m"] * 11 + right)] * 2 + [" ".join([word() for _ in range(5)] + shared[:34]) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["kept_text"] for r in substring.remove_repeats(docs, hot_passages=hot, shard_passages=20).collect()}
+    assert [got[i].split() for i in range(len(texts))] == [[x.decode() for x in k] for k in brute_removed(texts, 35)]
+
+
 def test_substring_odd_rows(spark):
     docs = odd_docs(spark)
     got = substring.remove_repeats(docs).toPandas()
@@ -441,6 +521,29 @@ def test_top_products(spark, options):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_products_sends_few_rows_of_clusters(spark, caplog):
+    """Rows in tight clusters, and rows whose norms differ: most cells are ruled out, the answers stay exact."""
+    rng = np.random.default_rng(12)
+    level = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centres = level(rng.normal(size=(40, 32)))
+    clusters = level(centres[rng.integers(0, 40, 4000)] + rng.normal(scale=0.02, size=(4000, 32)))
+    norms = level(rng.normal(size=(4000, 32))) * np.exp(rng.normal(scale=1.5, size=(4000, 1)))
+    for x, most in ((clusters, 0.25), (norms, 0.5)):
+        frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+        caplog.clear()
+        with caplog.at_level("INFO", logger=vectors.__name__):
+            got = vectors.top_products(frame, F.pmod("vec_id", F.lit(50)) == 0, group_queries=8).collect()
+        sent, of, groups = next(r.args for r in caplog.records if "cells" in r.msg)
+        assert sent / of < most and groups >= 10
+        whole = np.floor(256 * x).astype(np.int64)
+        want = []
+        for i in range(0, len(x), 50):
+            score = whole @ whole[i]
+            best = [j for j in np.lexsort((np.arange(len(x)), -score)) if j != i][:5]
+            want += [(i, r + 1, int(j), int(score[j])) for r, j in enumerate(best)]
+        assert sorted(map(tuple, got)) == want
+
+
 def test_top_products_few_rows(spark):
     assert vectors.top_products(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
     two = spark.createDataFrame([(0, [1.0, 2.0]), (7, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
@@ -601,11 +704,34 @@ def test_token_tables(spark, tmp_path):
 # --- 9 mixing -------------------------------------------------------------------------------------
 
 
-def test_targets():
-    got = mixing.source_targets([("b", 100), ("a", 10), (None, 50), ("c", 1000)], (5, 2, 1), 1.5, 2.0)
+def targets(spark, rows, weights=(5.0, 2.0, 1.0), budget=1.5, most=2.0):
+    sources = spark.createDataFrame(rows, "source string, size bigint")
+    return {r["source"]: r["target"] for r in mixing.source_targets(sources, weights, budget, most).collect()}
+
+
+def shared_out(rows, weights, budget, most):
+    """By hand: a source that passes its limit stops there, the rest is shared anew, one at a time."""
+    order = sorted(rows, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
+    weight = {s: weights[k % len(weights)] for k, (s, _) in enumerate(order)}
+    out, open_ = {}, dict(order)
+    while open_:
+        level = (budget * sum(n for _, n in rows) - sum(out.values())) / sum(weight[s] for s in open_)
+        tight = min(open_, key=lambda s: most * open_[s] / weight[s])
+        if most * open_[tight] >= level * weight[tight]:
+            return out | {s: level * weight[s] for s in open_}
+        out[tight] = most * open_.pop(tight)
+    return out
+
+
+def test_targets(spark):
+    got = targets(spark, [("b", 100), ("a", 10), (None, 50), ("c", 1000)])
     assert got["a"] == 20 and got["b"] == 200 and got[None] == 100 and abs(sum(got.values()) - 1.5 * 1160) < 1e-6
-    assert mixing.source_targets([], (1,), 1.5, 2.0) == {}
-    assert mixing.source_targets([("z", 0)], (1,), 1.5, 2.0) == {"z": 0}
+    assert targets(spark, []) == {} and targets(spark, [("z", 0)]) == {"z": 0}
+    rng = random.Random(4)
+    for n in (1, 2, 7, 40):
+        rows = [(f"{chr(rng.choice([65, 97, 0x3B1, 0xFFFF, 0x1F600]))}{i}", rng.choice([0, 1, 5, 1000, 10**6])) for i in range(n)] + [(None, 3)]
+        want, got = shared_out(rows, (5.0, 2.0, 1.0), 1.5, 2.0), targets(spark, rows)
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
 
 
 @given(st.lists(st.tuples(st.integers(1, 50), st.floats(0.01, 0.99)), min_size=1, max_size=60), st.integers(0, 5))
@@ -643,6 +769,20 @@ def test_mix_tree(spark):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 7
 
 
+def test_mix_of_one_row_many_times(spark, monkeypatch):
+    """Copies of one row are dealt to many groups, and a table of sources that is not broadcast gives the same."""
+    rows = [(7, "a b c", "s")] * 5000 + [(i, "d e", "t") for i in range(400)] + [(i, "f", None) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6)
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = key(mixing.mix_sources(docs, group_documents=64, fan_in=4))
+    assert len(got) == 5500
+    for source in ("s", "t", None):
+        own = [r for r in got if r[1] == source]
+        assert abs(sum(r[6] for r in own) - own[0][4]) <= 3
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert key(mixing.mix_sources(docs, group_documents=64, fan_in=4)) == got
+
+
 def test_mix_odd_rows(spark):
     got = mixing.mix_sources(odd_docs(spark)).toPandas()
     assert len(got) == 13 and (got[got["size"] == 0].taken == 0).all() and (got.taken <= 2 * got["size"]).all()
