@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import materialize, release, small
 from .toxicity import fold
 
-SEGMENT, LANES = 160, 1024
+SEGMENT, LANES = 480, 1024
+#: Languages of a table of counts that is broadcast; beyond, the join shuffles.  Rows of all languages that training takes.
+BROADCAST_LANGUAGES, SAMPLE_ROWS = 10_000, 50_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -216,14 +218,18 @@ def train(texts: list[str], langs: list[str], size: int = 16, steps: int = 260,
 
 
 def training_sample(docs: DataFrame, sample: int, sample_chars: int) -> list:
-    """About ``sample`` rows of each language, by a hash of the id; slices begin at a hashed place."""
+    """About ``sample`` rows of each language, by a hash of the id; slices begin at a hashed place.
+
+    Fewer of each where that would be more than SAMPLE_ROWS rows in all.
+    """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(fold(4) != 2)
-    counts = known.groupBy("lang").count()  # a row for each language
-    share = F.least(F.lit(1.0), F.lit(1.25 * sample) / F.col("count"))
-    # One row for each language, of which there are at most some thousands.
-    chosen = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
+    counts = materialize(known.groupBy("lang").count(), "languages")  # a row for each language
+    languages = counts.count()
+    share = F.least(F.lit(1.0), F.lit(1.25 * min(sample, SAMPLE_ROWS / max(1, languages))) / F.col("count"))
+    chosen = known.join(F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
     start = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.greatest(F.lit(1), F.length("text") - sample_chars)).cast("int") + 1
     rows = chosen.select("doc_id", "lang", F.col("text").substr(start, F.lit(sample_chars)).alias("text")).collect()
+    release(counts)
     return sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"]))
 
 
@@ -236,8 +242,10 @@ def fit(docs: DataFrame, sample: int = 500, sample_chars: int = 2000, **options)
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """docs with lang_pred and score.
 
-    ``und`` with score 0 where the text is null, empty or has no letter.
-    Further columns stay; ones named like the results are replaced.
+    ``und`` with score 0 where the text is null, empty or has no letter, and
+    everywhere if nothing was learned.  Texts of any length are read whole;
+    repeated rows are judged alike; of equal probabilities the first language by
+    name wins.  Further columns stay; ones named like the results are replaced.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 100 KB, whatever the input
