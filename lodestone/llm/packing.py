@@ -6,10 +6,12 @@ least room that still takes it.  Open windows are found through a segment tree
 indexed by remaining capacity: one descent gives the tightest non-empty
 capacity at or above a length.
 
-At scale the pieces are dealt by a hash of the document's id into shards of
-about ``shard_documents`` documents.  A shard is packed by itself, so memory is
-bounded however large the corpus is; the only loss is the last, partly filled
-windows of a shard.  Only piece sizes are shuffled, never texts or ids.
+At scale the pieces are dealt by a hash of all that tells them apart into shards
+of about ``shard_documents`` documents; equal pieces are counted first and dealt
+one by one, so that no id and no repeated row fills a shard alone.  A shard is
+packed by itself, so memory is bounded however large the corpus is; the only loss
+is the last, partly filled windows of a shard.  Only piece sizes are shuffled,
+never texts or ids.
 """
 
 from __future__ import annotations
@@ -108,14 +110,18 @@ def pack(docs: DataFrame, sequence: int = 2048, tokenizer: str | None = None, sh
     """
     tokenizer = tokenizer or default_path("byte_bpe_50k.json")
     shards = max(1, -(-docs.count() // shard_documents))
-    pieces = tokenized_pieces(docs, sequence, tokenizer, lead)
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("shard")), F.lit(shards))
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    pieces = tokenized_pieces(docs, sequence, tokenizer, lead).groupBy(*columns).agg(F.count("*").alias("rows"))
+    # Equal pieces one by one again, a thousand at a time.
+    pieces = pieces.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / 1000))))
+    pieces = pieces.withColumn("nth", F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("rows"), (F.col("part") + 1) * 1000) - 1)))
+    shard = F.pmod(F.xxhash64(*columns, "nth", F.lit("shard")), F.lit(shards))
 
     def place(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="first")
         window, offset = best_fit_decreasing(part["length"].to_numpy(), sequence)
         return part.drop(columns="shard").assign(sequence_id=(part["shard"].to_numpy(np.int64) << 40) + window, offset=offset)
 
-    named = pieces.withColumns({"shard": shard, "doc_id": F.col("doc_id").cast("string")})  # text in pandas, where null integers would turn to floats
+    named = pieces.withColumn("shard", shard).select(F.col("doc_id").cast("string"), *columns[1:], "shard")  # text in pandas, where null integers would turn to floats
     out = named.groupBy("shard").applyInPandas(place, PIECES.replace("doc_id bigint", "doc_id string") + ", sequence_id bigint, offset bigint")
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
