@@ -8,7 +8,6 @@ rerun of its tasks and nothing else.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,6 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import run_dir
+
 #: What ends a word: space and the ASCII controls \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,20 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; made up only in local mode, where they are one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="lodestone-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
+    """A new path among this application's tables, which ``sources.shared.clear`` deletes."""
+    return f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -466,7 +466,8 @@ def extract(pages: DataFrame, model: Labeller, html: str = "html") -> DataFrame:
     """pages with text and n_chars in place of the html.
 
     Main blocks in page order, joined by one line feed; white space inside a
-    block is one space.  A null, empty or textless page gives an empty text.
+    block is one space.  A null, empty or textless page gives an empty text;
+    pages of any length are read whole; repeated rows are extracted alike.
     Further columns stay; ones named like the results are replaced.
     """
     rest = [c for c in pages.columns if c not in (html, "text", "n_chars")]

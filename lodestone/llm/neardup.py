@@ -173,7 +173,8 @@ def compare_block(ids: list[int], labels: list[int], side: np.ndarray, sets: lis
 def components(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 3, miss: float = 1e-5, seed: int = 7, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
-    docs: doc_id, text; further columns are ignored.  Words are runs of other
+    docs: doc_id, text; further columns are ignored, texts of any length are
+    read whole, a repeated row gives its result again.  Words are runs of other
     characters than space and the controls 0x09-0x0D, with A-Z lower-cased.  A
     text without words (or null) has an empty set and is linked with nothing; a
     text of fewer words than ``width`` has one shingle.  Sets are linked when
@@ -236,7 +237,9 @@ def components(docs: DataFrame, width: int = 3, percent: int = 85, rows: int = 3
         release(more)
     release(links, buckets, texts, left)
     named = sets.select("h1", "h2", "d").join(comp.withColumnRenamed("id", "d"), "d", "left").select("h1", "h2", F.coalesce("component", "d").alias("component"))
-    out = seen.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(named, ["h1", "h2"], "left")
+    every = seen.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
+    # Empty sets meet nothing; together they would be one key of the join.
+    out = every.where("h1 IS NOT NULL").join(named, ["h1", "h2"], "left").unionByName(every.where("h1 IS NULL").withColumn("component", F.lit(None).cast("bigint")))
     ids = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", ids.alias("component_id"), F.coalesce(F.col("doc_id") == ids, F.lit(True)).alias("kept"))
 
