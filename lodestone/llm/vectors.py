@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, mix, shuffle_partitions
+from .common import GOLDEN, connected_components, materialize, mix, shuffle_partitions
 
 LOG = logging.getLogger(__name__)
 #: Rows of a table that is broadcast; beyond, joins shuffle.
@@ -361,6 +361,13 @@ def crowded(sizes: np.ndarray, keys: np.ndarray, rows: int, room: int) -> dict[t
     return out
 
 
+def group_hash(*tags: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(tags[0]), np.uint64)
+    for t in tags:
+        h = mix((h + t.astype(np.uint64)) * GOLDEN + np.uint64(1))
+    return h.view(np.int64)
+
+
 def group_links(ids: np.ndarray, own: np.ndarray, x: np.ndarray, cosine: float, crossing: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all rows that links of the group connect; ``crossing``: only links between different parts count.
 
@@ -390,10 +397,11 @@ def group_links(ids: np.ndarray, own: np.ndarray, x: np.ndarray, cosine: float,
 
 def projection_links(vectors: DataFrame, rows: int, cosine: float, miss: float, seed: int, room: int, carry: int) -> DataFrame:
     """(src, dst): verified links that connect what the passes found.  vectors: id, embedding."""
+    width = int(vectors.agg(F.max(F.size("embedding"))).first()[0] or 1)
     signs = signs_for(*sampled_keys(vectors, rows, MOST_SIGNS, 3, seed + 1), rows, cosine, miss, room, carry)
     passes = passes_needed(signs, cosine, miss)
     parts_of = crowded(*sampled_keys(vectors, rows, signs, passes, seed), rows, room)
-    names = ["pass", "key", "pair", "own", "id", "embedding"]
+    names = ["g", "pass", "key", "pair", "own", "id", "embedding"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for size, some in by_length(batches):
@@ -408,37 +416,41 @@ def projection_links(vectors: DataFrame, rows: int, cosine: float, miss: float,
                 pair = np.minimum(own[at], other) * parts[at] + np.maximum(own[at], other)
                 for a in range(0, len(at), 10_000):
                     t = at[a : a + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), size * passes + p, np.int64)), pa.array(k[t, p]), pa.array(pair[a : a + 10_000]), pa.array(own[t]), pa.array(ids[t]), some.column(1).take(pa.array(t))], names=names)
+                    tags = np.full(len(t), size * passes + p, np.int64), k[t, p], pair[a : a + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(group_hash(*tags)), *map(pa.array, tags), pa.array(own[t]), pa.array(ids[t]), some.column(1).take(pa.array(t))], names=names)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_group, held = None, []
 
         def links() -> Iterator[pa.RecordBatch]:
-            ids, own, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            src, dst = group_links(ids, own, x, cosine, (own != own[0]).any())
-            if len(src):
-                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+            tags, ids, own, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            for tag in np.unique(tags, axis=0):  # one, but for equal hashes of different groups
+                at = np.flatnonzero((tags == tag).all(1))
+                src, dst = group_links(ids[at], own[at], x[at, : tag[0] // passes], cosine, (own[at] != own[at[0]]).any()) if len(at) > 1 else ((), ())
+                if len(src):
+                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = np.stack([batch.column(c).to_numpy() for c in range(3)], 1)
-            own, ids = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            every = unit(matrix(batch.column(5)))
-            cuts = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1, [len(group)]])
+            group, tags = batch.column(0).to_numpy(), np.stack([batch.column(c).to_numpy() for c in (1, 2, 3)], 1)
+            own, ids = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            every = unit(matrix(batch.column(6), width))
+            cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and tuple(group[a]) != held_group:
-                    yield from links()
+                if held and group[a] != held_group:
+                    if len(held) > 1 or len(held[0][1]) > 1:
+                        yield from links()
                     held = []
-                held_group = tuple(group[a])
-                held.append((ids[a:b], own[a:b], every[a:b, : group[a, 0] // passes]))
+                held_group = group[a]
+                held.append((tags[a:b], ids[a:b], own[a:b], every[a:b]))
         if held:
             yield from links()
 
     tasks = max(shuffle_partitions(vectors.sparkSession), -(-rows * passes // 200_000))
     kind = vectors.schema["embedding"].dataType.simpleString()
-    # A group is within one task, so that no border parts it.
-    dealt = vectors.mapInArrow(keys, f"pass bigint, key bigint, pair bigint, own bigint, id bigint, embedding {kind}").repartition(tasks, "pass", "key", "pair").sortWithinPartitions("pass", "key", "pair", "id")
+    # A group is within one task, so that no border parts it; sorted by one number, its hash, which is the quickest sort there is.
+    dealt = vectors.mapInArrow(keys, f"g bigint, pass bigint, key bigint, pair bigint, own bigint, id bigint, embedding {kind}").repartition(tasks, "g").sortWithinPartitions("g")
     return dealt.mapInArrow(sweep, "src bigint, dst bigint").distinct()
 
 
@@ -496,7 +508,10 @@ def cosine_components(vectors: DataFrame, cosine: float = 0.95, miss: float = 1e
     found = dealt.groupBy("component", "p", "q").applyInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("others"))
     named = classes.join(comp, "id", "left").join(found, "id", "left")
     named = named.select("same", "embedding", "copies", F.col("id").alias("rep"), F.coalesce("component", "id").alias("component"), F.coalesce("others", F.lit(0)).alias("others"))
-    out = rows.join(named.select("same", F.col("embedding").alias("e"), "copies", "component", "others"), (rows["same"] == named["same"]) & (rows["embedding"] == F.col("e")), "left")
+    named = named.select(F.col("same").alias("of"), F.col("embedding").alias("e"), "copies", "component", "others")
+    # Vectors that link with nothing would be one key of the join.
+    some, none = rows.where("same IS NOT NULL"), rows.where("same IS NULL").select("id", *[F.lit(None).cast("bigint").alias(c) for c in ("copies", "component", "others")])
+    out = some.join(named, (F.col("same") == F.col("of")) & (F.col("embedding") == F.col("e")), "left").select("id", "copies", "component", "others").unionByName(none)
     ids = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     links_of = F.when(F.col("id").isNotNull() & F.col("copies").isNotNull(), F.col("others") + F.col("copies") - 1).otherwise(F.lit(0)).cast("bigint")
     return out.select(F.col("id").alias("vec_id"), links_of.alias("n_links"), ids.alias("component_id"), F.coalesce(F.col("id") == ids, F.lit(True)).alias("kept"))
