@@ -351,6 +351,42 @@ def test_gradients():
         assert abs((more - less) / (2 * eps) - grad[name][at]) < 1e-3
 
 
+def test_labels_of_bytes_as_a_plain_network_gives_them():
+    """The fast passes against the equations, a byte at a time, in double precision."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(200)) for _ in range(10)] + ["".join(rng.choice("uvwxyz ") for _ in range(200)) for _ in range(10)]
+    model = langid.train(texts, ["aa"] * 10 + ["zz"] * 10, steps=20)
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(d, data):
+        n = d.keep.shape[1]
+        h = np.zeros(n)
+        for byte in data:
+            x, keep = d.enter[byte].astype(float), d.keep.astype(float)
+            z, r = logistic(2 * (x[:n] + keep[:n] @ h)), logistic(2 * (x[n : 2 * n] + keep[n : 2 * n] @ h))
+            new = np.tanh(x[2 * n :] + r * (keep[2 * n :] @ h))
+            h = z * h + (1 - z) * new
+            yield d.leave.astype(float) @ h
+
+    for text in ("fade", "vwx abc", "é" * 30, "ab cd ef " * 120):
+        data, total = text.encode(), np.zeros(2)
+        for a in range(0, len(data), langid.SEGMENT):
+            own = data[a : a + langid.SEGMENT]
+            for f, b in zip(states(model.forward, own), list(states(model.backward, own[::-1]))[::-1], strict=True):
+                e = np.exp(f + b + model.bias)
+                total += e / e.sum()
+        assert model.probabilities([b"zz", data, b"a" * 700])[1] == pytest.approx(total / len(data), abs=1e-4)
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 40}") for i in range(4000)], "doc_id bigint, text string, lang string")
+    assert 1200 < len(langid.training_sample(docs, 50, 100)) < 3600
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 200)
+    monkeypatch.setattr(langid, "BROADCAST_LANGUAGES", 0)
+    rows = langid.training_sample(docs, 50, 100)
+    assert 100 < len(rows) < 450 and len({r["lang"] for r in rows}) > 30
+
+
 def test_language_held_out(spark):
     got = queries.queries()["op4_gru_language"](spark, "/root/testdata/sf0.01").toPandas().merge(table("documents", "/root/testdata/sf0.01"), on="doc_id")
     held = got[got.held_out]
@@ -394,9 +430,14 @@ def test_best_fit(lengths):
 def check_packing(got, docs, sequence=2048):
     e = tokens.Encoder(tokens.default_path("byte_bpe_50k.json"), True)
     want = Counter()
+    pieces = Counter()
     for doc, ids in zip(docs.doc_id, e.library([t or "" for t in docs.text]), strict=True):
         ids += tokens.END_ID
         want[(None if pd.isna(doc) else int(doc), zlib.crc32(ids), len(ids) // 4)] += 1
+        for start in range(0, len(ids) // 4, sequence):  # full windows, then the rest
+            part = ids[4 * start : 4 * (start + sequence)]
+            pieces[(None if pd.isna(doc) else int(doc), start, len(part) // 4, zlib.crc32(part), len(ids) // 4)] += 1
+    assert Counter((None if pd.isna(r.doc_id) else int(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got.itertuples()) == pieces
     assert got.groupby("sequence_id").length.sum().max() <= sequence
     z = got.sort_values(["sequence_id", "offset"])
     assert (z.groupby("sequence_id").length.cumsum() - z.length == z.offset).all()
@@ -411,6 +452,14 @@ def test_packing_query(spark):
     assert 2048 * got.sequence_id.nunique() - got.length.sum() < 4096
 
 
+def test_packing_of_one_row_many_times(spark):
+    docs = spark.createDataFrame([(1, "the same text again")] * 2500 + [(None, f"text {i}") for i in range(300)], "doc_id bigint, text string").repartition(5)
+    got = packing.pack(docs, sequence=64, shard_documents=300).toPandas()
+    check_packing(got, docs.toPandas(), 64)
+    shards = (got.sequence_id // 2**40).value_counts()
+    assert len(shards) == 10 and shards.max() < 450
+
+
 def test_packing_odd_rows(spark):
     docs = odd_docs(spark)
     check_packing(packing.pack(docs).toPandas(), docs.toPandas())

@@ -98,9 +98,9 @@ def test_packing_of_odd_rows(spark):
 def test_run_leaves_one_table(spark):
     import os
 
-    from lodestone.llm.common import shared_dir
+    from lodestone.sources.shared import run_dir
 
-    folder = shared_dir(spark).removeprefix("file://") + "/lodestone"
+    folder = run_dir(spark).removeprefix("file://")
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     corpus_pipeline.run(spark, SF).count()
     new = sorted(n.rpartition("-")[0] for n in set(os.listdir(folder)) - before)
