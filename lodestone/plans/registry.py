@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, includes, languages, paths
@@ -242,6 +242,39 @@ def svg_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.svg_marks(*fam.part_project(spark, sf_dir).scene()).where(F.length("fragment") > 0).groupBy("z").agg(F.count("*").alias("marks"))
 
 
+PLACED = V + f""", z AS (SELECT *, {LOC} AS loc, 2*pi()*(row_number() OVER (ORDER BY file) - 1)/(count(*) OVER ()) AS a, min({LOC}) OVER () AS lo, max({LOC}) OVER () AS hi FROM p),
+pl AS (SELECT *, round(600+320*cos(a), 4) AS x, round(450+320*sin(a), 4) AS y FROM z)"""
+
+
+def _number(name: str) -> Column:
+    return F.regexp_extract("fragment", rf' {name}="([^"]*)"', 1).cast("double")
+
+
+@query("svg_nodes", PLACED + """ SELECT regexp_extract(file, '([^/]*)$', 1) AS name, regexp_extract(file, '([^/.]*)[.][a-z]*$', 1) AS label, x, y, round(CASE WHEN hi = lo THEN 30 ELSE 20 + (loc - lo)::DOUBLE / (hi - lo) * 20 END, 4) AS r,
+ CASE c WHEN 0 THEN '#FFD43B' WHEN 1 THEN '#DEA584' WHEN 2 THEN '#007ACC' ELSE '#00599C' END AS fill FROM pl""")
+def svg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node's circle and label as they stand in the drawing's text."""
+    marks = fam.materialize(render.svg_marks(*fam.part_project(spark, sf_dir).scene()), "marks")
+    own = lambda tag: marks.where((F.col("z") == 1) & F.col("fragment").startswith(tag))
+    labels = own("<text").select("ord", F.regexp_extract("fragment", ">([^<]*)<", 1).alias("label"))
+    circles = own("<circle").select("ord", F.regexp_extract("fragment", "<title>([^<]*)<", 1).alias("name"), _number("cx").alias("x"), _number("cy").alias("y"), _number("r").alias("r"), F.regexp_extract("fragment", 'fill="([^"]*)"', 1).alias("fill"))
+    return circles.join(labels, "ord").drop("ord")
+
+
+@query("svg_lines", PLACED + " SELECT s.x AS x1, s.y AS y1, d.x AS x2, d.y AS y2 FROM ed JOIN pl s ON s.file = ed.src JOIN pl d ON d.file = ed.dst")
+def svg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = render.svg_marks(*fam.part_project(spark, sf_dir).scene()).where("z = 0")
+    return marks.select(*[_number(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+LEGEND = [("Python", "#FFD43B"), ("C++", "#00599C"), ("Rust", "#DEA584"), ("TypeScript", "#007ACC")]
+
+
+@query("svg_legend", _rows("ord, fragment", [(k, text) for k, (name, color) in enumerate(sorted(LEGEND)) for text in (f'<circle cx="50" cy="{50 + 25 * k}" fill="{color}" r="6" stroke="black" stroke-width="1"/>', f'<text dominant-baseline="middle" font-family="Arial" font-size="12" x="65" y="{50 + 25 * k}">{name}</text>')]))
+def svg_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.svg_marks(*fam.part_project(spark, sf_dir).scene()).where("z = 2").select("ord", "fragment")
+
+
 # --- Sources and trees written out by hand --------------------------------------------------------
 
 

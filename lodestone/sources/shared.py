@@ -19,13 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's tables go."""
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all of this application's intermediate tables; results that are not read yet are lost with them."""
+    fs, at = hadoop_path(spark, run_dir(spark))
+    fs.delete(at, True)
+
+
 def is_local(spark: SparkSession) -> bool:
     master = spark.conf.get("spark.master", "")
     return master == "local" or master.startswith("local[")
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
