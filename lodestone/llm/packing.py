@@ -25,10 +25,11 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .tokens import END_ID, default_path, encoder
 
 #: Parts of texts that a worker remembers, at some 200 bytes each; nothing else is large here.
-KEPT_PARTS = 1_200_000
+KEPT_PARTS = 900_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -111,7 +112,8 @@ def pack(docs: DataFrame, sequence: int = 2048, tokenizer: str | None = None, sh
     tokenizer = tokenizer or default_path("byte_bpe_50k.json")
     shards = max(1, -(-docs.count() // shard_documents))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    pieces = tokenized_pieces(docs, sequence, tokenizer, lead).groupBy(*columns).agg(F.count("*").alias("rows"))
+    # Written, so that counting does not hold memory beside the workers that encode.
+    pieces = materialize(tokenized_pieces(docs, sequence, tokenizer, lead), "pieces").groupBy(*columns).agg(F.count("*").alias("rows"))
     # Equal pieces one by one again, a thousand at a time.
     pieces = pieces.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / 1000))))
     pieces = pieces.withColumn("nth", F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("rows"), (F.col("part") + 1) * 1000) - 1)))
