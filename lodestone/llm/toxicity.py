@@ -166,7 +166,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
 
 def train(texts: list[str], toxic: list[int], seed: int = 0) -> ToxicityModel:
     rng = random.Random(seed)
-    docs = [(windows(t), y) for t, y in zip(texts, toxic, strict=True) if t and t.strip()]
+    same: dict[bytes, bytes] = {}  # a word is one object, however often it occurs
+    docs = [([same.setdefault(w, w) for w in windows(t)], y) for t, y in zip(texts, toxic, strict=True) if t and t.strip()]
     bad, good = distinct([w for w, y in docs if y == 1 and w]), distinct([w for w, y in docs if y != 1 and w])
     if not bad or not good:
         return ToxicityModel(Distances(b"", b""), 1, [], 1.0 if bad and not good else 0.0)
@@ -189,11 +190,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 0) -> ToxicityModel:
 
     samples = [b" " + w + b" " for w, n in sorted(own.items()) for _ in range(weight(w, n))]
     rng.shuffle(samples)
-    plain = [b" " + w + b" " for words in good for w in words if len(w) > 3]
+    plain = [w for words in good for w in words if len(w) > 3]
     rng.shuffle(plain)
+    plain = [b" " + w + b" " for w in plain[:120_000]]
     size_toxic, size_plain = 4096, 24_576
     toxic_content = content_of(samples, size_toxic) if samples else b""
-    ordinary_content = content_of(plain[:120_000], size_plain)
+    ordinary_content = content_of(plain, size_plain)
     # Again, with the ordinary words that came out worst.
     first = Distances(toxic_content, ordinary_content)
     words = sorted({w for some in good[:half] for w in some})
