@@ -99,6 +99,26 @@ def test_toxicity_held_out():
     assert model.score(None) == model.score("") == model.score(" \n") == 0.0
 
 
+def test_toxicity_as_plain_compression_gives_it():
+    """A score from lengths of single compressions and the formula written out."""
+    import zstandard
+
+    texts, labels = toxic_corpus()
+    model = toxicity.train(texts, labels)
+
+    def length(content, word):
+        options = zstandard.ZstdCompressionParameters.from_level(3, source_size=128, dict_size=len(content), write_content_size=False, write_dict_id=False, write_checksum=False)
+        made = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=options)
+        return len(made.compress(b"\x00" * 32 + b" " + word + b" " + b"\x00" * 16))
+
+    for text in ["one", "nastyword", "Blorkish vilething ba", *texts[:6]]:
+        far = sorted(length(model.distances.ordinary, w) - length(model.distances.toxic, w) for w in text.lower().encode().split())[::-1]
+        top = far[:3] + [min(0, far[: 3][-1])] * (3 - len(far))
+        x = [*top, np.log1p(sum(d >= model.threshold for d in far)), np.log1p(len(far))]
+        z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], x, strict=True))
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_toxicity_rows(spark):
     texts, labels = toxic_corpus()
     model = toxicity.train(texts, labels)
@@ -247,6 +267,35 @@ def test_html_query(spark, sf):
     assert len(got) == len(pages) and np.mean([got.text[i] == t for i, t in want.items()]) > 0.98
 
 
+def test_labels_of_blocks_as_a_plain_network_gives_them():
+    """The batched passes against the equations, a block at a time, in double precision."""
+    rng = random.Random(3)
+    pages = [html.blocks_of(html.made_up_page(rng)[0]) for _ in range(12)]
+    model = html.Labeller.new(8, 1)
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+    p = {k: v.astype(float) for k, v in model.p.items()}
+
+    def states(d, x):
+        n, h, c = model.size, np.zeros(model.size), np.zeros(model.size)
+        for v in x:
+            a = v @ p[f"in_{d}"] + p[f"gate_{d}"] + h @ p[f"keep_{d}"]
+            i, f, o, u = logistic(a[:n]), logistic(a[n : 2 * n]), logistic(a[2 * n : 3 * n]), np.tanh(a[3 * n :])
+            c = f * c + i * u
+            h = o * np.tanh(c)
+            yield h
+
+    vectors_ = [model.vectors(html.features(b)) for b in pages]
+    logit = model.forward(vectors_)[0]
+    for lane, (blocks, x) in enumerate(zip(pages, vectors_, strict=True)):
+        paths, own_words, numbers = html.features(blocks)
+        for k, v in enumerate(x):
+            plain = sum(p["path"][i] for i in paths[k]) + numbers[k] @ p["number"] + p["bias"] + (np.mean([p["word"][i] for i in own_words[k]], axis=0) if len(own_words[k]) else 0)
+            assert v == pytest.approx(np.tanh(plain), abs=1e-4)
+        forward, backward = list(states("f", x)), list(states("b", x[::-1]))[::-1]
+        want = [f @ p["out_f"] + b @ p["out_b"] + v @ p["skip"] + p["last"][0] for f, b, v in zip(forward, backward, x, strict=True)]
+        assert logit[: len(x), lane] == pytest.approx(np.array(want), abs=1e-4)
+
+
 def test_html_model_of_made_up_pages_alone():
     """Trained without the tables' pages, the labeller finds their articles too."""
     model = html.fit(None)
@@ -566,6 +615,7 @@ def test_top_products(spark, options):
         if i % 50 == 0:
             best = sorted((-int(x[k] @ x[j]), ids[j]) for j in range(len(ids)) if j != k)[:5]
             want += [(i, r + 1, v, -s) for r, (s, v) in enumerate(best)]
+    frame = frame.withColumns({c: F.lit(7) for c in ("id", "q", "cell", "grp", "part", "score", "rank")})  # names that are used inside
     got = vectors.top_products(frame, F.pmod("vec_id", F.lit(50)) == 0, **options).collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
@@ -631,6 +681,7 @@ def test_cosine_components(spark, block):
     rows, frame = vector_rows(spark)
     want = brute_cosine([i for i, _ in rows], np.array([v for _, v in rows], np.float32).astype(float))
     want |= {i: (0, i, True) for i in (1000, 1001, 1002, 1003, 1004, 1050, 1051)}
+    frame = frame.withColumns({c: F.lit(7) for c in ("id", "same", "g", "pass", "key", "component", "copies", "others", "n_links")})  # names that are used inside
     got = vectors.cosine_components(frame, block=block).collect()
     assert len(got) == len(rows) + 9
     for r in got:
@@ -809,6 +860,42 @@ def test_mix_query(spark):
     assert again.taken.tolist() == got.sort_values("doc_id").taken.tolist()
 
 
+def test_mix_as_by_hand(spark):
+    """Few enough documents for one group of each source: every decision is followed."""
+    import xxhash
+
+    docs = table("documents")
+    docs["source"] = docs.source.where(docs.doc_id % 3 > 0, "one")
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(spark.createDataFrame(docs[["doc_id", "text", "source"]])).collect()}
+    size = {i: len(words(t)) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    own: dict = {}
+    for i, s in zip(docs.doc_id, docs.source, strict=True):
+        own.setdefault(s, []).append(i)
+    goal = shared_out([(s, sum(size[i] for i in ids)) for s, ids in own.items()], (5.0, 2.0, 1.0), 1.5, 2.0)
+    undecided = 0
+    for s, ids in own.items():
+        rate = goal[s] / sum(size[i] for i in ids)
+        part = rate - int(rate)
+        ids = sorted((i for i in ids if size[i]), key=lambda i: (-size[i], str(i)))
+        p, held = dict.fromkeys(ids, part), None
+        for k, i in enumerate(ids) if 1e-9 < part < 1 - 1e-9 else ():
+            if held is None:
+                held = i
+                continue
+            draw = xxhash.xxh3_64_intdigest(f"0:0:{i}:{k}".encode()) / 2**64
+            up, down = min((1 - p[held]) * size[held], p[i] * size[i]), min(p[held] * size[held], (1 - p[i]) * size[i])
+            move = up if draw * (up + down) < down else -down
+            p[held], p[i] = p[held] + move / size[held], p[i] - move / size[i]
+            held = next((x for x in (held, i) if 1e-9 < p[x] < 1 - 1e-9), None)
+        for i in ids:
+            if 1e-9 < p[i] < 1 - 1e-9 and len(ids) > 1:
+                undecided += 1  # the last of a source is drawn
+                assert got[i] in (int(rate) * size[i], (int(rate) + 1) * size[i])
+            else:
+                assert got[i] == (int(rate) + round(p[i])) * size[i]
+    assert undecided <= len(own)
+
+
 def test_mix_tree(spark):
     rows = [(i, "w " * (1 + i % 7), "s" if i % 3 else "t", None) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, size int")
