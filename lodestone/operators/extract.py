@@ -46,12 +46,18 @@ def imports_of(facts: DataFrame, inventory: DataFrame) -> DataFrame:
     return joined.withColumn("is_local", local).withColumn("path", path).select("file", "language", "raw", "path", "is_local")
 
 
-def nodes(files: DataFrame, inventory: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+def base_nodes(files: DataFrame) -> DataFrame:
+    """(file, loc, language) of the files in a known language."""
+    return files.select(F.col("path").alias("file"), line_count(F.col("content")).alias("loc"), language_of(F.col("path")).alias("language")).where("language IS NOT NULL AND loc IS NOT NULL")
+
+
+def nodes(files: DataFrame, inventory: DataFrame, facts: DataFrame | None = None, imported: DataFrame | None = None) -> DataFrame:
     """One row for each file: file, loc, language, imports, functions, containers, external_references; lists sorted."""
     facts = extract_facts(files) if facts is None else facts
+    imported = imports_of(facts, inventory) if imported is None else imported
     lists = facts.groupBy("file").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name")))).alias(name) for kind, name in (("function", "functions"), ("container", "containers"), ("reference", "external_references"))])
-    imports = imports_of(facts, inventory).groupBy("file").agg(F.array_sort(F.collect_set(F.struct("path", "is_local"))).alias("imports"))
-    base = files.select(F.col("path").alias("file"), line_count(F.col("content")).alias("loc"), language_of(F.col("path")).alias("language")).where("language IS NOT NULL AND loc IS NOT NULL")
+    imports = imported.groupBy("file").agg(F.array_sort(F.collect_set(F.struct("path", "is_local"))).alias("imports"))
+    base = base_nodes(files)
     none = F.array().cast("array<string>")
     out = base.join(lists, "file", "left").join(imports, "file", "left")
     return out.select("file", "loc", "language", F.coalesce("imports", F.array().cast("array<struct<path:string,is_local:boolean>>")).alias("imports"), *[F.coalesce(c, none).alias(c) for c in ("functions", "containers", "external_references")])

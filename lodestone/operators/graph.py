@@ -104,14 +104,22 @@ def _small_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return rows.groupBy(F.lit(0).alias("all")).applyInPandas(run, "id bigint, scc_id bigint").select("id", "scc_id")
 
 
-def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest label that reaches each vertex along edges."""
-    for _ in range(100_000):
+def _spread(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that reaches each vertex along edges, itself included.
+
+    A label is a vertex that reaches its bearer, so that vertex's own label does
+    too: labels are taken along the edges and then from the labels' labels, and
+    the rounds grow with the logarithm of a path's length.
+    """
+    labels = vertices.select("id", F.col("id").alias("label"))
+    while True:
         seen = edges.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("seen"))
-        labels = materialize(labels.select("id", "label").join(seen, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("seen", "label")).alias("label")), "spread")
-        if labels.where("was <> label").isEmpty():
-            return labels.select("id", "label")
-    raise RuntimeError("labels did not settle")
+        near = materialize(labels.join(seen, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("seen", "label")).alias("label")), "spread-near")
+        further = near.select(F.col("id").alias("label"), F.col("label").alias("least"))
+        far = materialize(near.join(further, "label").select("id", F.col("least").alias("label"), (F.col("was") != F.col("least")).alias("moved")), "spread")
+        labels = far.select("id", "label")
+        if far.where("moved").isEmpty():
+            return labels
 
 
 def _large_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -122,9 +130,10 @@ def _large_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         inner = live_v.join(live_e.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(live_e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
         alone = live_v.join(inner, "id", "left_anti").select("id", F.col("id").alias("scc_id"))
         inner = materialize(inner, "scc-inner")
-        colour = _spread(inner.withColumn("label", F.col("id")), live_e.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        colour = _spread(inner, live_e.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"))
         same = live_e.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
-        back = _spread(colour.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).otherwise(F.lit((1 << 63) - 1)).alias("label")), materialize(transpose(same.select("src", "dst")), "scc-back"))
+        # A colour is the smallest id of its vertices; those that lead back to it are its component.
+        back = _spread(colour, materialize(transpose(same.select("src", "dst")), "scc-back"))
         found = back.join(colour.withColumnRenamed("label", "colour"), "id").where("label = colour").select("id", F.col("label").alias("scc_id"))
         round_ = materialize(alone.unionByName(found), "scc-round")
         done = round_ if done is None else done.unionByName(round_)

@@ -6,12 +6,13 @@ import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from .graph import numbered
+from .graph import SMALL_EDGES, compressed, fits, numbered
 
 
 @dataclass(frozen=True)
@@ -236,13 +237,36 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def assign_layers(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, layer) of one graph without cycles, a layer for each round: the least distance from a vertex without predecessors.
-
-    Without any such vertex those with the fewest predecessors begin; what is not reached is in layer 0.
+def _layers_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One graph in one task: rows (src, dst, v), v of a vertex's row its id, else -1."""
+    ids = np.sort(pdf.loc[pdf["kind"] == "v", "src"].to_numpy())
+    e = pdf[pdf["kind"] == "e"]
+    a, b = np.searchsorted(ids, e["src"]), np.searchsorted(ids, e["dst"])
+    heads, targets = compressed(a, b, len(ids))
+    back, layer = np.bincount(b, minlength=len(ids)), np.full(len(ids), -1)
+    front, level = np.flatnonzero(back == back.min(initial=len(pdf))), 0
+    while len(front):
+        layer[front] = level
+        level += 1
+        count = heads[front + 1] - heads[front]
+        head = targets[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(heads[front], count)]
+        front = np.unique(head[layer[head] < 0])
+    return pd.DataFrame({"id": ids, "layer": np.maximum(layer, 0)})
+
+
+def assign_layers(edges: DataFrame, vertices: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """(id, layer) of one graph without cycles: the least distance from a vertex without predecessors.
+
+    Without any such vertex those with the fewest predecessors begin; what is not
+    reached is in layer 0.  Up to ``small_edges`` edges and vertices this is one
+    task; beyond, a layer is a round.
     """
-    vertices = materialize(vertices.select(F.col("id").cast("bigint")).distinct(), "layer-vertices")
-    edges = materialize(edges.where("src <> dst").select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).distinct(), "layer-edges")
+    vertices = vertices.select(F.col("id").cast("bigint")).distinct()
+    edges = edges.where("src <> dst").select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).distinct()
+    if fits(edges, vertices, small_edges):
+        rows = edges.withColumn("kind", F.lit("e")).unionByName(vertices.select(F.col("id").alias("src"), F.lit(0).cast("bigint").alias("dst"), F.lit("v").alias("kind")))
+        return rows.groupBy(F.lit(0).alias("all")).applyInPandas(_layers_of, "id bigint, layer int").select("id", "layer")
+    vertices, edges = materialize(vertices, "layer-vertices"), materialize(edges, "layer-edges")
     back = vertices.join(edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
     fewest = back.agg(F.min("n")).first()[0]
     done = front = materialize(back.where(F.col("n") == (fewest or 0)).select("id", F.lit(0).alias("layer")), "layer-0")
@@ -256,9 +280,15 @@ def assign_layers(edges: DataFrame, vertices: DataFrame) -> DataFrame:
             done = materialize(done, f"layers-to-{layer}")
 
 
-def order_layers(layers: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, layer, ord): places within a layer by falling degree, then id; numbered over ranges, so that a layer may hold most vertices."""
+def order_layers(layers: DataFrame, edges: DataFrame, small_rows: int = SMALL_EDGES) -> DataFrame:
+    """(id, layer, ord): places within a layer by falling degree, then id.
+
+    Up to ``small_rows`` vertices a layer is sorted in one task; beyond, all are
+    numbered over ranges, so that a layer may hold most of them.
+    """
     ranked = layers.join(degrees(edges), "id", "left").select("id", "layer", F.coalesce(-(F.col("in_degree") + F.col("out_degree")), F.lit(0)).alias("low"))
+    if layers.limit(small_rows + 1).count() <= small_rows:
+        return ranked.select("id", "layer", (F.row_number().over(Window.partitionBy("layer").orderBy("low", "id")) - 1).alias("ord"))
     ranked = materialize(numbered(ranked, "layer", "low", "id", name="rank"), "layer-ranks")
     first = ranked.groupBy("layer").agg(F.min("rank").alias("first"))
     return ranked.join(first, "layer").select("id", "layer", (F.col("rank") - F.col("first")).cast("int").alias("ord"))

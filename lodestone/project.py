@@ -22,6 +22,7 @@ class Project:
 
     root: str
     inventory: DataFrame
+    files: DataFrame  # file, loc, language
     facts: DataFrame
     imports: DataFrame
     nodes: DataFrame
@@ -32,10 +33,10 @@ class Project:
         """From files(path, root, content) and inventory(path, is_node)."""
         facts = materialize(extract.extract_facts(files, macro_includes), "facts")  # texts are read once
         imports = materialize(extract.imports_of(facts, inventory), "imports")
-        nodes = extract.nodes(files, inventory, facts)
+        nodes = extract.nodes(files, inventory, facts, imports)
         known = files.select(F.col("path").alias("file"), language_of(F.col("path")).alias("language"))
         edges = resolve.dependency_edges(facts, imports, inventory, known, F.lit(root), compat)
-        return cls(root, inventory, facts, imports, nodes, edges)
+        return cls(root, inventory, extract.base_nodes(files), facts, imports, nodes, edges)
 
     @classmethod
     def scan(cls, spark: SparkSession, path: str, no_gitignore: bool = False, **options) -> Project:
@@ -49,7 +50,7 @@ class Project:
 
     def indexed(self) -> tuple[DataFrame, DataFrame]:
         """(ids(id, file), edges(src, dst) by id, between nodes only)."""
-        ids = graph.dense_ids(self.nodes)
+        ids = graph.dense_ids(self.files)
         by = lambda c: ids.select(F.col("file").alias(c), F.col("id").alias(f"{c}_id"))
         return ids, self.edges.join(by("src"), "src").join(by("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
 
@@ -62,7 +63,7 @@ class Project:
         return [f"{r['count']} components of {r['size']}" for r in sizes] + [f"{r['file']}: {r['score']:.6f}" for r in top]
 
     def scene(self) -> tuple[DataFrame, DataFrame]:
-        return render.scene(self.nodes, self.indexed()[0], self.edges)
+        return render.scene(self.files, graph.dense_ids(self.files), self.edges)
 
     def export(self, out: str) -> bool:
         """Write an .svg or a .png; False, and no file, for a graph without nodes."""

@@ -293,13 +293,23 @@ def test_layers_of_a_table_as_of_one_graph(spark):
     layers = g.assign_layers()
     xy = g.coordinates(layers)
     e, v = spark.createDataFrame(edges, "src bigint, dst bigint"), spark.range(n)
-    ordered = layout.order_layers(layout.assign_layers(e, v), e)
-    got = {r["id"]: (r["layer"], r["ord"]) for r in ordered.collect()}
-    assert got == {v: (k, j) for k, layer in enumerate(layers) for j, v in enumerate(layer)}
+    for small in (layout.SMALL_EDGES, 0):
+        ordered = layout.order_layers(layout.assign_layers(e, v, small), e, small)
+        got = {r["id"]: (r["layer"], r["ord"]) for r in ordered.collect()}
+        assert got == {v: (k, j) for k, layer in enumerate(layers) for j, v in enumerate(layer)}
     placed = {r["id"]: (r["x"], r["y"]) for r in layout.coordinates(ordered, e).collect()}
     assert placed.keys() == xy.keys() and all(placed[v] == pytest.approx(xy[v]) for v in xy)
 
 
+def test_layers_where_every_vertex_has_a_predecessor(spark):
+    ring = spark.createDataFrame([(10, 20), (20, 30), (30, 10), (20, 20), (40, 10)], "src bigint, dst bigint")
+    v = spark.createDataFrame([(10,), (20,), (30,), (40,), (50,)], "id bigint")
+    for small in (layout.SMALL_EDGES, 0):
+        assert {r["id"]: r["layer"] for r in layout.assign_layers(ring, v, small).collect()} == {40: 0, 50: 0, 10: 1, 20: 2, 30: 3}
+        alone = layout.assign_layers(ring.where("src < 40"), v.where("id < 40"), small)
+        assert {r["id"]: r["layer"] for r in alone.collect()} == {10: 0, 20: 0, 30: 0}
+
+
 def test_swaps_count_what_a_recount_counts():
     import random
 
@@ -338,3 +348,15 @@ def test_shortest_paths_both_ways(spark):
     e = spark.createDataFrame(edges, "src bigint, dst bigint")
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(graph.shortest_paths(e)) == rows(graph.shortest_paths(e, small_edges=0))
+
+
+def test_large_components_of_long_cycles(spark):
+    """Rings far longer than the rounds it takes, joined one way, and random graphs."""
+    import random
+
+    ring = lambda a, n: [(a + i, a + (i + 1) % n) for i in range(n)]
+    rng = random.Random(2)
+    for edges, n in ((ring(0, 40) + ring(40, 25) + [(3, 50), (65, 5), (60, 66)], 67), ([(rng.randrange(40), rng.randrange(40)) for _ in range(60)], 40)):
+        e, v = frames(spark, edges, n)
+        small, large = ({r["id"]: r["scc_id"] for r in graph.strongly_connected(e, v, small_edges=k).collect()} for k in (graph.SMALL_EDGES, 0))
+        assert large == small
