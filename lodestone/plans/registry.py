@@ -470,7 +470,7 @@ od AS (SELECT lay.id, layer, row_number() OVER (PARTITION BY layer ORDER BY g DE
 
 def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, vertices = fam.part_tree(spark, sf_dir)
-    return layout.order_layers(layout.assign_layers(edges, vertices), edges)
+    return layout.order_layers(fam.materialize(layout.assign_layers(edges, vertices), "layers"), edges)
 
 
 @query("layer_assign", TREE + " SELECT id, layer::INT AS layer FROM lay")

@@ -62,6 +62,12 @@ class Project:
         top = graph.chokepoints(graph.betweenness(edges, vertices)).join(ids, "id").orderBy(F.desc("score"), "id").collect()
         return [f"{r['count']} components of {r['size']}" for r in sizes] + [f"{r['file']}: {r['score']:.6f}" for r in top]
 
+    def details(self, file: str) -> list[str]:
+        """The details panel of one file, named from the root or in full."""
+        rows = reports.details(self.nodes, self.edges).where(F.col("file") == os.path.join(self.root, file))
+        counts = rows.groupBy("section").agg(F.array_sort(F.collect_list("item")).alias("items")).orderBy("section").collect()
+        return [f"{r['section']} ({len(r['items'])}): {', '.join(r['items'])}" for r in counts]
+
     def scene(self) -> tuple[DataFrame, DataFrame]:
         return render.scene(self.files, graph.dense_ids(self.files), self.edges)
 
@@ -98,12 +104,17 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("output", nargs="?")
     parser.add_argument("-v", "--verbose", action="store_true")
     parser.add_argument("--no-gitignore", action="store_true")
+    parser.add_argument("--details", metavar="FILE", help="list what this file depends on, who depends on it, and what it holds")
     parser.add_argument("--version", action="version", version="lodestone 0.1")
     given = parser.parse_args(args)
     try:
         path, out = checked(given.path, given.output)
         spark = SparkSession.builder.appName("lodestone").getOrCreate()
         project = Project.scan(spark, path, given.no_gitignore)
+        if given.details:
+            for line in project.details(given.details):
+                print(line)
+            return 0
         panels = out in (None, "gui")  # no window is opened: its panels are printed
         if given.verbose or panels:
             for r in project.summary().orderBy("file").toLocalIterator():

@@ -87,6 +87,9 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main([str(tmp_path / "t")]) == 0
     said = capsys.readouterr().out
     assert "a.py: Python, 2 lines" in said and "1 components of 2" in said and "a.py: 0.500000" in said
+    assert main([str(tmp_path / "t"), "--details", "a.py"]) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert [line.replace(os.path.realpath(tmp_path), "") for line in said if line.split(" ")[0] in ("incoming", "local", "outgoing")] == ["incoming (2): /t/b.py, /t/c.py", "local (1): b", "outgoing (1): /t/b.py"]
     assert main([str(tmp_path / "t"), "o.svg", "-v"]) == 0 and (tmp_path / "o.svg").exists()
     assert main([str(tmp_path / "none")]) == 1 and main([str(tmp_path / "t"), "o.gif"]) == 1
 
