@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +75,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def small(batches, rows: int = 512):
-    """Batches in slices, so that only a slice's texts are Python objects at a time."""
+    """Batches in slices, so that only a slice's texts are Python objects at a time; unused memory is given back at the end."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+    pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):

@@ -40,7 +40,7 @@ from .common import carried, crc_of_id, restored, small
 RUN = 5  # bytes
 FRAME = (b"\x00" * 32 + b" ", b" " + b"\x00" * 16)
 LONGEST = 64  # bytes of a word in one window; longer words are cut
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 FEATURES = 5
 
 
