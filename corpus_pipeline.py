@@ -9,25 +9,45 @@ rows and whole texts it is given, and each calls one operator of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, neardup, packing, substring, toxicity
-from lodestone.llm.common import carried, materialize, release, restored, table
+from lodestone.llm.common import carried, light_batches, materialize, release, restored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: The stages share executors: what one leaves in the JVM and in the workers is there when the next one runs, so each
+#: holds less than its operator alone would.  Bytes of an Arrow batch, and parts of texts that a worker remembers.
+BATCH_BYTES, KEPT_PARTS = 4 << 20, 200_000
+
+
+def lightly(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage, with small Arrow batches for the tables that it writes inside."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, *args, **named) -> DataFrame:
+        with light_batches(spark, BATCH_BYTES):
+            return stage(spark, *args, **named)
+
+    return run
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score 0.7 or more go; null and empty texts stay.  The model learns from the labelled rows among docs."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@lightly
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id: five-word shingles, similarity 0.8 or more."""
     return neardup.drop_near_duplicates(docs, width=5, percent=80)
 
 
+@lightly
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 35 words or more that occur again anywhere go, wherever they stand; every row stays.
 
@@ -55,9 +75,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return restored(joined.where("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))), names)
 
 
+@lightly
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every row in sequences of 2048 tokens; repeated rows are packed each by itself."""
-    return packing.pack(docs)
+    return packing.pack(docs, kept_parts=KEPT_PARTS)
 
 
 STAGES = [
@@ -72,6 +93,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@lightly
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's rows are a written table, deleted once the next one is there; the last stage reads the one before it."""
     docs, before = table(spark, sf_dir, "documents"), None

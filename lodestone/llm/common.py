@@ -9,6 +9,8 @@ rerun of its tasks and nothing else.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,23 @@ def release(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._scratch_path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def light_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of about ``most`` bytes in what runs inside; afterwards the session's own bound holds again, and a smaller one all along."""
+    own = spark.conf.get(BATCH_BYTES, None)
+    if own is not None and 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own) <= most:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES) if own is None else spark.conf.set(BATCH_BYTES, own)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

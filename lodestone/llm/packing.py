@@ -80,11 +80,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset
 
 
-def tokenized_pieces(docs: DataFrame, sequence: int, tokenizer: str, lead: bool = True) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, sequence: int, tokenizer: str, lead: bool = True, kept_parts: int = KEPT_PARTS) -> DataFrame:
     """PIECES of every document: full windows first, then the rest, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, lead, KEPT_PARTS)
+        enc = encoder(tokenizer, lead, kept_parts)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 ids, texts = (batch.column(i).slice(a, 512).to_pylist() for i in range(2))
@@ -100,20 +100,21 @@ def tokenized_pieces(docs: DataFrame, sequence: int, tokenizer: str, lead: bool
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, sequence: int = 2048, tokenizer: str | None = None, shard_documents: int = 50_000, lead: bool = True) -> DataFrame:
+def pack(docs: DataFrame, sequence: int = 2048, tokenizer: str | None = None, shard_documents: int = 50_000, lead: bool = True, kept_parts: int = KEPT_PARTS) -> DataFrame:
     """One row for each piece of each document.
 
     docs: doc_id and text; further columns are ignored.  A null or empty text
     is a document of the end id alone.  A null doc_id is packed like any other.
     Repeated rows are packed each by itself.  An empty table gives an empty
     result.  Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset.  The same rows give the same sequences, however they are dealt.
+    offset.  The same rows give the same sequences, however they are dealt and
+    however many parts of texts a worker remembers (``kept_parts``).
     """
     tokenizer = tokenizer or default_path("byte_bpe_50k.json")
     shards = max(1, -(-docs.count() // shard_documents))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     # Written, so that counting does not hold memory beside the workers that encode.
-    pieces = materialize(tokenized_pieces(docs, sequence, tokenizer, lead), "pieces").groupBy(*columns).agg(F.count("*").alias("rows"))
+    pieces = materialize(tokenized_pieces(docs, sequence, tokenizer, lead, kept_parts), "pieces").groupBy(*columns).agg(F.count("*").alias("rows"))
     # Equal pieces one by one again, a thousand at a time.
     pieces = pieces.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / 1000))))
     pieces = pieces.withColumn("nth", F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("rows"), (F.col("part") + 1) * 1000) - 1)))

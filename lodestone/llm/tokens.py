@@ -177,10 +177,14 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, lead: bool, kept: int = KEPT_PARTS) -> Encoder:
-    """One for each Python worker."""
+    """One for each Python worker; it remembers ``kept`` parts from now on."""
     if (path, lead) not in _ENCODERS:
         _ENCODERS[path, lead] = Encoder(path, lead, kept)
-    return _ENCODERS[path, lead]
+    enc = _ENCODERS[path, lead]
+    if kept < enc.kept:  # another query's tasks came before
+        enc.known.clear()
+    enc.kept = kept
+    return enc
 
 
 def vocabulary_size(path: str) -> int:

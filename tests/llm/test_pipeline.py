@@ -105,3 +105,51 @@ def test_run_leaves_one_table(spark):
     corpus_pipeline.run(spark, SF).count()
     new = sorted(n.rpartition("-")[0] for n in set(os.listdir(folder)) - before)
     assert [n for n in new if n.startswith("pipeline-")] == ["pipeline-mixing"]
+
+
+def test_stages_hold_little(spark, tmp_path, monkeypatch):
+    """Beside what other stages left: small Arrow batches and few remembered parts, with the same rows; the session's own bound holds again after."""
+    from lodestone.llm import common, neardup, substring
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300)
+    want = {name: sorted(map(tuple, dict(corpus_pipeline.STAGES)[name].__wrapped__(spark, docs, SF).collect()), key=repr) for name in ("minhash_dedup", "substring_dedup")}
+    want["packing"] = sorted(map(tuple, packing.pack(docs).collect()), key=repr)
+    monkeypatch.setattr(corpus_pipeline, "BATCH_BYTES", 9_000)
+    bounds, parts = [], []
+    for module in (packing, neardup, substring):
+        monkeypatch.setattr(module, "materialize", lambda df, tag, write=module.materialize: (bounds.append(spark.conf.get(common.BATCH_BYTES)), write(df, tag))[1])
+    monkeypatch.setattr(packing, "tokenized_pieces", lambda *args, f=packing.tokenized_pieces: (parts.append(args[-1]), f(*args))[1])
+    own = spark.conf.get(common.BATCH_BYTES)
+    for name, rows in want.items():
+        assert sorted(map(tuple, dict(corpus_pipeline.STAGES)[name](spark, docs, SF).collect()), key=repr) == rows
+        assert spark.conf.get(common.BATCH_BYTES) == own
+    assert set(bounds) == {"9000"} and parts == [corpus_pipeline.KEPT_PARTS] and 2 * parts[0] <= packing.KEPT_PARTS
+
+
+def test_smaller_bounds_of_batches_stay(spark):
+    from lodestone.llm.common import BATCH_BYTES, light_batches
+
+    spark.conf.set(BATCH_BYTES, "1k")
+    try:
+        with light_batches(spark, 5000):
+            assert spark.conf.get(BATCH_BYTES) == "1k"
+        spark.conf.set(BATCH_BYTES, "1m")
+        with pytest.raises(ZeroDivisionError), light_batches(spark, 5000):
+            assert spark.conf.get(BATCH_BYTES) == "5000" and 1 / 0
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
+def test_a_worker_remembers_what_the_last_query_allows():
+    from lodestone.llm import tokens
+
+    path = tokens.default_path("byte_bpe_50k.json")
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(100)]
+    many = tokens.encoder(path, True, 10_000)
+    want = many.batch(texts)
+    assert len(many.known) >= 4000
+    few = tokens.encoder(path, True, 100)
+    got = [ids for k in range(0, 100, 5) for ids in few.batch(texts[k : k + 5])]
+    assert got == want and len(few.known) <= 100 + 250
+    tokens._ENCODERS.clear()
