@@ -579,6 +579,18 @@ def test_minhash_copies(spark, block):
     check_groups(neardup.components(docs, block=block).toPandas(), list(range(len(texts))), texts, 3, 85)
 
 
+def test_groups_in_many_batches(spark):
+    """Blocks, shards and buckets that come in many small Arrow batches give what they give in one."""
+    from lodestone.llm.common import light_batches
+
+    texts = near_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = sorted(map(tuple, substring.remove_repeats(docs, hot_passages=3, shard_passages=20).collect()))
+    with light_batches(spark, 3000):
+        check_groups(neardup.components(docs, block=2000).toPandas(), list(range(len(texts))), texts, 3, 85)
+        assert sorted(map(tuple, substring.remove_repeats(docs, hot_passages=3, shard_passages=20).collect())) == spans
+
+
 def test_minhash_odd_rows(spark):
     got = neardup.components(odd_docs(spark)).toPandas()
     assert len(got) == 13
